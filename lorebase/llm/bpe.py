@@ -233,7 +233,7 @@ def encode(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", te
 
     def make():
         codec = encoder(ranks, pattern)
-        return lambda ids, texts: [ids, [codec.encode(t) for t in texts]]
+        return lambda texts: [[codec.encode(t) for t in texts]]
 
     return map_texts(docs, id_col, text_col, "ids array<int>", make)
 
@@ -261,15 +261,15 @@ def roundtrip(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id",
         sha = hashlib.sha256
         decimal = [str(k) for k in range(codec.ranks.size)]
 
-        def work(ids, texts):
-            out: list[list] = [ids, [], [], [], []]
+        def work(texts):
+            out: list[list] = [[], [], [], []]
             for t in texts:
                 tokens = codec.encode(t)
                 data = codec.decode(tokens)
-                out[1].append(len(tokens))
-                out[2].append(sha(",".join(map(decimal.__getitem__, tokens)).encode()).hexdigest())
-                out[3].append(sha(data).hexdigest())
-                out[4].append(data == t.encode())
+                out[0].append(len(tokens))
+                out[1].append(sha(",".join(map(decimal.__getitem__, tokens)).encode()).hexdigest())
+                out[2].append(sha(data).hexdigest())
+                out[3].append(data == t.encode())
             return out
 
         return work

@@ -8,8 +8,11 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 #: Rows and bytes of one Arrow batch: long texts must not make a batch of gigabytes.
 BATCH_ROWS, BATCH_BYTES = "1000", "16m"
@@ -57,37 +60,36 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def map_texts(df: DataFrame, id_col: str, text_col: str, out: pa.Schema | str, make: Callable[[], Callable[[list, list[str]], list[list]]], id_type: str | None = None) -> DataFrame:
-    """Maps each (id, text) by a function of whole batches; null texts count as empty.
+def map_texts(df: DataFrame, id_col: str, text_col: str, out: str, make: Callable[[], Callable[[list[str]], list[list]]]) -> DataFrame:
+    """Maps each text by a function of whole batches and keeps its id; null texts count as empty.
 
-    make() builds that function once per task; it takes ids and texts and gives the output columns. The rest of
+    make() builds that function once per task; it takes texts and gives the columns that out names. The rest of
     df's columns never reach Python, so names that clash with the output's do no harm.
     """
     bounded_batches(df.sparkSession)
     narrow = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    kind = id_type or dict(narrow.dtypes)["id"]
+    fields = StructType.fromDDL(out).fields
+    kinds = [narrow.schema["id"].dataType, *[f.dataType for f in fields]]
+    schema = StructType()
+    for k, kind in enumerate(kinds):
+        schema.add(f"c{k}", kind)
+    arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
         for batch in batches:
             for part in by_bytes(batch):
-                columns = work(part.column(0).to_pylist(), [x or "" for x in part.column(1).to_pylist()])
-                yield pa.RecordBatch.from_pylist([]) if not columns else pa.RecordBatch.from_arrays(
-                    [c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names=[str(k) for k in range(len(columns))]
-                )
+                columns = work([x or "" for x in part.column(1).to_pylist()])
+                yield pa.RecordBatch.from_arrays([part.column(0).cast(arrow.types[0]), *[pa.array(c, t) for c, t in zip(columns, arrow.types[1:])]], schema=arrow)
 
-    names = [x.strip().split()[0] for x in out.split(",")]
-    types = [x.strip().split()[1] for x in out.split(",")]
-    schema = ", ".join(f"`{k}` {t}" for k, t in enumerate([kind, *types]))
-    mapped = narrow.mapInArrow(run, schema)
-    return mapped.select(F.col("`0`").alias(id_col), *[F.col(f"`{k + 1}`").alias(n) for k, n in enumerate(names)])
+    return narrow.mapInArrow(run, schema).select(*[F.col(f"c{k}").alias(n) for k, n in enumerate([id_col, *[f.name for f in fields]])])
 
 
 def by_bytes(batch: pa.RecordBatch, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Cuts a batch so that each part holds about `most` bytes of text, or one row."""
     if batch.num_rows == 0:
         return
-    lengths = pa.compute.fill_null(pa.compute.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
+    lengths = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
     start = held = 0
     for k, n in enumerate(lengths):
         if held and held + n > most:
