@@ -51,6 +51,8 @@ class Counter:
         pieces = map(self.model.id_to_piece, range(self.model.get_piece_size()))
         if any(MARK in p.lstrip(MARK) for p in pieces):
             raise ValueError("a piece of this model crosses a word's end: texts can't be cut")
+        #: Tokens of a last space, behind which nothing follows.
+        self.alone = len(self.model.encode("a ")) - len(self.model.encode("a"))
         self.memo: dict[str, int] = {}
 
     def count(self, texts: list[str]) -> list[int]:
@@ -70,19 +72,17 @@ class Counter:
         known = self.memo
         new = list({s for _, segments in split for s in segments if s not in known})
         # The model puts a mark before each text, which stands for a segment's first space.
-        fresh = dict(zip(new, map(len, self.model.encode([s[1:] for s in new], num_threads=1)))) if new else {}
-        if len(known) + len(fresh) > MEMO_ROWS:
-            known = {s: known[s] for _, segments in split for s in segments if s in known}
-            self.memo = {}
+        coded = self.model.encode([s[1:] for s in new], num_threads=1) if new else []
+        fresh = {s: len(ids) if len(s) > 1 else self.alone for s, ids in zip(new, coded)}
         known.update(fresh)
         for k, segments in split:
             out[k] += sum(map(known.__getitem__, segments))
-        if len(self.memo) or known is self.memo:
+        if len(known) > MEMO_ROWS:
+            known.clear()
+        else:
             for s in fresh:
                 if len(s) > MEMO_CHARS:
                     del known[s]
-        else:
-            self.memo = {s: n for s, n in known.items() if len(s) <= MEMO_CHARS}
 
 
 @lru_cache(2)
