@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, multiset, secrets, tokencount
+from . import bpe, multiset, secrets, simhash, tokencount
 from .common import table
 
 
@@ -26,6 +26,11 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), "spans", "n_confirmed")
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash.show().alias("fingerprint"), "component_id")
+
+
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multiset.edited(table(spark, sf_dir, "documents"))
 
@@ -34,6 +39,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op3_token_counts": op3_token_counts,
     "op5_secrets": op5_secrets,
+    "op7_simhash": op7_simhash,
     "op10_fingerprints": op10_fingerprints,
 }
 
