@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, multiset, secrets, simhash, tokencount
+from . import bpe, multiset, quality, secrets, simhash, tokencount
 from .common import table
 
 
@@ -31,6 +31,13 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.show().alias("fingerprint"), "component_id")
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    held = F.coalesce(quality.remainder("doc_id") == 2, F.lit(False))
+    return quality.score(docs, model).select("doc_id", held.alias("held_out"), "score", "predicted", "n_passages", "top_passage")
+
+
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multiset.edited(table(spark, sf_dir, "documents"))
 
@@ -40,6 +47,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_counts": op3_token_counts,
     "op5_secrets": op5_secrets,
     "op7_simhash": op7_simhash,
+    "op9_quality": op9_quality,
     "op10_fingerprints": op10_fingerprints,
 }
 
