@@ -103,8 +103,8 @@ class Bundle:
 class Writer:
     """Puts records into frames and frames into bundles; keeps one frame in memory."""
 
-    def __init__(self, folder: str):
-        self.folder, self.pack = folder, zstandard.ZstdCompressor(level=3)
+    def __init__(self, folder: str, frame: int = FRAME, bundle: int = BUNDLE):
+        self.folder, self.pack, self.frame_bytes, self.bundle_bytes = folder, zstandard.ZstdCompressor(level=3), frame, bundle
         self.stream = None
 
     def add(self, data: bytes) -> tuple[str, int, int, int]:
@@ -119,9 +119,9 @@ class Writer:
         self.held.append(data)
         self.size += len(data)
         self.total += len(data)
-        if self.size >= FRAME:
+        if self.size >= self.frame_bytes:
             self._frame()
-        if self.total >= BUNDLE:
+        if self.total >= self.bundle_bytes:
             self.close()
         return place
 
@@ -148,7 +148,7 @@ def decisions(pages: DataFrame, least: int = LEAST) -> DataFrame:
     return narrow.where("id is not null").join(first, "digest").where("id <> refers_to").distinct()
 
 
-def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", date: str = DATE) -> DataFrame:
+def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", date: str = DATE, frame: int = FRAME, bundle: int = BUNDLE) -> DataFrame:
     """Writes an archive in `folder` and returns its index: id, bundle, frame, start, length."""
     spark = pages.sparkSession
     bounded_batches(spark)
@@ -160,7 +160,7 @@ def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str =
     arrow = to_arrow_schema(kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        writer, waiting = Writer(f"{folder}/bundles"), []
+        writer, waiting = Writer(f"{folder}/bundles", frame, bundle), []
         for batch in batches:
             for part in by_bytes(batch):
                 waiting += [(i, *writer.add(record(i, url, payload, digest, to, date))) for i, payload, url, digest, to in zip(*(c.to_pylist() for c in part.columns))]
