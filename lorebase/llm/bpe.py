@@ -238,6 +238,21 @@ def encode(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", te
     return map_texts(docs, id_col, text_col, "ids array<int>", make)
 
 
+def encode_checked(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, ids array<int>, n_tokens, lossless: encodes each whole text, decodes the ids and compares."""
+
+    def make():
+        codec = encoder(ranks, pattern)
+
+        def work(texts):
+            ids = [codec.encode(t) for t in texts]
+            return [ids, [len(i) for i in ids], [codec.decode(i) == t.encode() for i, t in zip(ids, texts)]]
+
+        return work
+
+    return map_texts(docs, id_col, text_col, "ids array<int>, n_tokens long, lossless boolean", make)
+
+
 def decode(encoded: DataFrame, ranks: str, pattern: str, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
     """Adds the decoded bytes of an ids column; null ids give null."""
     bounded_batches(encoded.sparkSession)
