@@ -17,7 +17,6 @@ table gives an empty result; other columns are kept by `dedup` and never clash.
 from __future__ import annotations
 
 from bisect import bisect_left
-from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -46,12 +45,11 @@ def align(a: list[int], b: list[int]) -> list[tuple[int, int]]:
             out.append((a1, b1))
         if a0 == a1 or b0 == b1:
             continue
-        once = {x for x, n in Counter(a[a0:a1]).items() if n == 1}
-        where = {}
-        for k in range(b0, b1):
-            if b[k] in once:
-                where[b[k]] = -1 if b[k] in where else k
-        held = rising([(i, where[a[i]]) for i in range(a0, a1) if where.get(a[i], -1) >= 0])
+        left, right = places(a, a0, a1), places(b, b0, b1)
+        both = [x for x in left if x in right]
+        once = [x for x in both if len(left[x]) == len(right[x]) == 1]
+        # Where no line is unique, the first places of repeated ones hold the alignment.
+        held = rising(sorted((left[x][0], right[x][0]) for x in once or both))
         if held:
             for (i, j), (m, n) in zip([(a0 - 1, b0 - 1), *held], [*held, (a1, b1)]):
                 todo.append((i + 1, m, j + 1, n))
@@ -59,6 +57,13 @@ def align(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def places(lines: list[int], start: int, end: int) -> dict[int, list[int]]:
+    out: dict[int, list[int]] = {}
+    for k in range(start, end):
+        out.setdefault(lines[k], []).append(k)
+    return out
+
+
 def rising(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """The longest run of pairs whose second places rise too: cards on piles, each with the top of the pile before."""
     tops: list[int] = []
@@ -82,19 +87,23 @@ def rising(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def common_blocks(own: list[tuple[int, int, int, int]], other: list[tuple[int, int]], least: int) -> list[tuple[int, int]]:
     """First and last line of each aligned block with enough words. own: key, line, hash, words; other: key, hash.
 
-    Keys number a document's key lines, so that a line which the other lacks ends a block.
+    Keys number a document's key lines, so that a line which the other lacks ends a block. What an alignment leaves of
+    the own lines is aligned again with the whole of the other, so that moved and repeated blocks are found too.
     """
-    out, words, first = [], 0, None
-    pairs = align([x[2] for x in own], [x[1] for x in other])
-    for n, (i, j) in enumerate(pairs):
-        if first is None:
-            first = own[i]
-        words += own[i][3]
-        goes_on = n + 1 < len(pairs) and own[pairs[n + 1][0]][0] == own[i][0] + 1 and other[pairs[n + 1][1]][0] == other[j][0] + 1
-        if not goes_on:
-            if words >= least:
-                out.append((first[1], own[i][1]))
-            words, first = 0, None
+    out: list[tuple[int, int]] = []
+    theirs = [x[1] for x in other]
+    while pairs := align([x[2] for x in own], theirs):
+        words, first = 0, None
+        for n, (i, j) in enumerate(pairs):
+            first = own[i] if first is None else first
+            words += own[i][3]
+            goes_on = n + 1 < len(pairs) and own[pairs[n + 1][0]][0] == own[i][0] + 1 and other[pairs[n + 1][1]][0] == other[j][0] + 1
+            if not goes_on:
+                if words >= least:
+                    out.append((first[1], own[i][1]))
+                words, first = 0, None
+        aligned = {i for i, _ in pairs}
+        own = [x for k, x in enumerate(own) if k not in aligned]
     return out
 
 
@@ -107,7 +116,7 @@ def deletions(docs: DataFrame, key_words: int = KEY_WORDS, block_words: int = BL
     spark = docs.sparkSession
     bounded_batches(spark)
     words = lambda x: (F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1).cast("int")
-    trimmed = F.transform(_lines(F.col("text")), F.trim)
+    trimmed = F.transform(_lines(F.col("text")), lambda x: F.trim(x))
     numbered = F.transform(trimmed, lambda x, k: F.struct(k.alias("pos"), F.xxhash64(x).alias("hash"), words(x).alias("words")))
     keyed = docs.where("id is not null and text is not null").select("id", "v", F.filter(numbered, lambda x: x["words"] >= key_words).alias("keys"))
     keyed = materialize(keyed, spark, "lines")
