@@ -78,14 +78,25 @@ def english_alignment(title: Column, text: Column, words: Column, phrases: Colum
     return base + reach + domains
 
 
-def score(pairs: DataFrame, strict: bool = False) -> DataFrame:
-    """Adds score, title_hits, text_hits, product_match to pairs of a query and a chunk.
+def with_norms(chunks: DataFrame, text: str = "chunk_text", strict: bool = False) -> DataFrame:
+    """What score() needs of a chunk, worked out once for each chunk: compact texts and domain groups.
 
-    strict: domain groups of a chunk are found in its text without white space, where hints of several words can't be.
+    strict: domain groups are found in the text without white space, where hints of several words can't be.
     """
-    title, text, product = compact("title"), compact(pairs["chunk_text"]), compact("product_name")
-    out = pairs.withColumns({"__t": title, "__x": text, "__p": product})
-    t, x, p = F.col("__t"), F.col("__x"), F.col("__p")
+    groups = classify.domain_groups(compact(F.concat("title", F.col(text))) if strict else F.concat_ws("\n", "title", text))
+    english = F.when(F.col("product_name") == OMNIBUS, groups).otherwise(F.array().cast("array<string>"))
+    return chunks.withColumns({"title_norm": compact("title"), "text_norm": compact(text), "product_norm": compact("product_name"), "row_groups": english})
+
+
+def with_intents(queries: DataFrame) -> DataFrame:
+    """What score() needs of a query beyond its analysis."""
+    terms = F.concat_ws(" ", F.array_join("keywords", " "), F.array_join("phrases", " "))
+    return queries.withColumns({"intents": classify.query_intents(F.concat_ws(" ", F.col("query_text"), terms)), "query_groups": classify.domain_groups(terms)})
+
+
+def score(pairs: DataFrame) -> DataFrame:
+    """Adds score, title_hits, text_hits, product_match to pairs of a query (with_intents) and a chunk (with_norms)."""
+    out, t, x, p = pairs, F.col("title_norm"), F.col("text_norm"), F.col("product_norm")
     phrases_known = F.array(*map(F.lit, lexicon.DOMAIN_PHRASES))
     in_scope = F.array_contains("products", F.col("product_name"))
     scope = F.when(F.size("products") > 0, F.when(in_scope, 20.0).otherwise(-12.0)).when(F.col("product_name") == OMNIBUS, -8.0).otherwise(0.0)
@@ -127,11 +138,9 @@ def score(pairs: DataFrame, strict: bool = False) -> DataFrame:
         rules = rules + F.when(asked(query_terms) & F.exists(F.array(*map(F.lit, title_terms)), lambda w: t.contains(compact(w))), boost).otherwise(0.0)
     shown = F.when((F.size("image_ids") > 0) & F.exists(F.array(*map(F.lit, ("指示灯", "表带", "尺寸", "安装", "更换"))), lambda w: F.array_contains("keywords", w)), 1.2).otherwise(0.0)
     meta = (F.col("clean_score") - 0.5) * 2 - F.when(F.col("is_toc"), 8.0).otherwise(0.0) - F.when(F.col("has_ocr_noise"), 1.5).otherwise(0.0)
-    about = F.concat_ws(" ", F.col("query_text"), F.array_join("keywords", " "), F.array_join("phrases", " "))
-    fit = semantic_alignment(F.col("semantic_type"), classify.query_intents(about), F.col("is_warning_only"))
+    fit = semantic_alignment(F.col("semantic_type"), F.col("intents"), F.col("is_warning_only"))
     fts = F.when(F.col("fts_hit") == 1, 5.0 + rank_bonus(F.col("fts_rank"))).otherwise(0.0)
-    query_groups = classify.domain_groups(F.concat_ws(" ", F.array_join("keywords", " "), F.array_join("phrases", " ")))
-    row_groups = classify.domain_groups(F.concat(t, x) if strict else F.concat_ws("\n", "title", "chunk_text"))
+    query_groups, row_groups = F.col("query_groups"), F.col("row_groups")
     label = F.when((F.col("domain_label") != "") & (F.size(query_groups) > 0), F.when(F.array_contains(query_groups, F.col("domain_label")), 12.0).otherwise(-10.0)).otherwise(0.0)
     english = F.when(F.col("product_name") == OMNIBUS, english_alignment(t, x, F.col("keywords"), F.col("phrases"), row_groups, query_groups) + label).otherwise(0.0)
     out = out.withColumns({"title_hits": total("title"), "text_hits": total("text"), "product_match": F.greatest(has_scope.cast("int"), F.aggregate("__h", F.lit(0), lambda a, h: F.greatest(a, h["product"]))), "__m": matched})
@@ -141,7 +150,7 @@ def score(pairs: DataFrame, strict: bool = False) -> DataFrame:
     signal = distinct_terms(F.concat(F.col("products"), F.col("models"), F.col("expanded"), F.slice("phrases", 1, 4)))
     coverage = F.when(F.size(signal) > 0, F.least(F.size("__m") / F.greatest(F.lit(1), F.least(F.size(signal), F.lit(6))) * 4.0, F.lit(4.0))).otherwise(0.0)
     whole = scope + points + rules + shown + meta + fit + fts + english + hits_bonus - F.when(only_extra, 4.0).otherwise(0.0) + coverage
-    return out.withColumn("score", F.round(whole, 3)).drop("__t", "__x", "__p", "__h", "__m")
+    return out.withColumn("score", F.round(whole, 3)).drop("__h", "__m")
 
 
 def final(scored: DataFrame, k: int = 10) -> DataFrame:
