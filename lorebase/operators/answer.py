@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.text import bind, col, compact, overlap, sentence_key, squeeze, strip, sub, tidy_sentence
 from . import classify, generate
@@ -86,7 +87,7 @@ def answer_with(prompts: DataFrame, client: Callable[[], Callable[[str], str]] |
     empty answer or no client gives the default column's text, so that one failing call never ends the job."""
     if client is None:
         return prompts.withColumn("answer", F.col(default)).withColumn("error", F.lit(None).cast("string"))
-    kind = prompts.schema.add("answer", "string").add("error", "string")
+    kind = StructType([*prompts.schema.fields]).add("answer", "string").add("error", "string")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ask = client()

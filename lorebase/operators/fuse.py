@@ -33,14 +33,15 @@ def fuse_variants(rows: DataFrame, key: str = "chunk_id") -> DataFrame:
     """query_id, key, fusion_score, variant_hits, score. rows: query_id, variant_no from 0, rank from 0, key, score.
 
     The score folds over the variants in order: the first sets it, each later one takes the larger and adds 1.2. So it
-    is the largest of each variant's own points plus 1.2 for each variant after it, which is one aggregate.
+    is the largest of each variant's own points plus 1.2 for each variant after it, and for itself but for the first,
+    which is one aggregate.
     """
     points = F.col("score") + F.greatest(F.lit(0.0), 2.6 - 0.25 * F.col("rank")) + F.when(F.col("variant_no") > 0, 1.0).otherwise(0.0)
     w = Window.partitionBy("query_id", key).orderBy("variant_no")
     n = Window.partitionBy("query_id", key)
     rows = rows.withColumn("__p", points).withColumn("__k", F.row_number().over(w)).withColumn("__n", F.count(F.lit(1)).over(n))
     return rows.groupBy("query_id", key).agg(
-        F.round(F.max(F.col("__p") + 1.2 * (F.col("__n") - F.col("__k"))), 3).alias("fusion_score"), F.count(F.lit(1)).alias("variant_hits"), F.max("score").alias("score")
+        F.round(F.max(F.col("__p") + 1.2 * (F.col("__n") - F.col("__k") + (F.col("__k") > 1).cast("int"))), 3).alias("fusion_score"), F.count(F.lit(1)).alias("variant_hits"), F.max("score").alias("score")
     )
 
 

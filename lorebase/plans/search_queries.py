@@ -255,7 +255,7 @@ def _variants(spark, sf_dir):
 
 _FUSED = f"""WITH {TITLED}, {_BM25}, {_KEYWORD}, {_VARIANTS},
 po2 AS (SELECT *, s + greatest(0, 2.6 - 0.25 * r) + CASE WHEN v > 0 THEN 1.0 ELSE 0.0 END AS p, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY v) AS k, count(*) OVER (PARTITION BY query_id, doc_id) AS n FROM va),
-fu AS (SELECT query_id, doc_id, round(max(p + 1.2 * (n - k)), 3) AS fusion_score, count(*) AS variant_hits, max(s) AS score FROM po2 GROUP BY 1, 2)"""
+fu AS (SELECT query_id, doc_id, round(max(p + 1.2 * (n - k + CASE WHEN k > 1 THEN 1 ELSE 0 END)), 3) AS fusion_score, count(*) AS variant_hits, max(s) AS score FROM po2 GROUP BY 1, 2)"""
 
 
 @query(f"{_FUSED} SELECT query_id, doc_id AS chunk_id, fusion_score, variant_hits, score FROM fu")
