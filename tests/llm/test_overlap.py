@@ -131,6 +131,44 @@ def test_line_dedup_equals_brute_force(spark):
             assert sum("\n".join(p) in (t or "") for t in kept.values()) <= 1
 
 
+def linked(prints):
+    """Groups of ids of which any two sketches are within four bits, in plain Python."""
+    root = {i: i for i in prints}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    ids = sorted(prints)
+    for a in ids:
+        for b in ids:
+            if a < b and any((x ^ y).bit_count() <= 4 for x, y in zip(prints[a], prints[b])):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    return {i: find(i) for i in ids}
+
+
+def test_similar_groups(spark):
+    from lorebase.llm import simhash
+
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7)))
+    rows = [(k, " ".join(word() for _ in range(rng.randint(50, 300))), "s", 1, "x") for k in range(40)]
+    for k in range(100, 160):
+        words = rng.choice(rows[:40])[1].split(" ")
+        for _ in range(len(words) // 50):
+            words[rng.randrange(len(words))] = word()
+        rows.append((k, " ".join(words), "s", 1, "x"))
+    rows += [(200, None, "s", 1, "x"), (201, "", "s", 1, "x"), (None, rows[0][1], "s", 1, "x"), rows[3]]
+    got = simhash.similar_groups(docs(spark, rows).repartition(3)).collect()
+    want = linked({i: simhash.sketch(t or "", (1, 2, 3, 4)) for i, t, *_ in rows if i is not None})
+    assert {r.doc_id: r.component_id for r in got if r.doc_id is not None} == want
+    assert sum(want[k] < 40 for k in range(100, 160)) > 50 and all(want[k] == k for k in range(40))
+    assert [r.component_id for r in got if r.doc_id is None] == [None]
+    assert simhash.similar_groups(docs(spark, [])).count() == 0
+
+
 @pytest.fixture(scope="module")
 def staged(spark, tmp_path_factory):
     import corpus_pipeline
@@ -157,10 +195,7 @@ def test_pipeline_stages(spark, staged):
     assert sum(right) / len(right) > 0.9
     assert {r.doc_id for r in lines.collect()} == kept
     assert sorted(((r.doc_id, r.text) for r in lines.collect()), key=str) == brute_dedup([(r.doc_id, r.text) for r in good.collect()])
-    prints = {r.doc_id: simhash.fingerprint(r.text) for r in lines.collect()}
-    from test_groups import plain_groups
-
-    groups = plain_groups(prints)
+    groups = linked({r.doc_id: simhash.sketch(r.text, (1, 2, 3, 4)) for r in lines.collect()})
     assert {r.doc_id for r in near.collect()} == set(groups.values())
     bench = [decontam.plain(r.text) for r in spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").collect()]
     left = {r.doc_id for r in clean.collect()}
