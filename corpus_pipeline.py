@@ -38,7 +38,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each near-duplicate group stays; rows without an id stay."""
-    groups = simhash.near_duplicates(docs)
+    groups = simhash.similar_groups(docs)
     gone = groups.where(F.col(ID) != F.col("component_id")).select(ID).distinct()
     return _keep(docs, gone, "left_anti")
 
