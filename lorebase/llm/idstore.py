@@ -42,7 +42,7 @@ LEAST, BITS, MOST, WINDOW = 256, 10, 8192, 32
 #: Bytes of a pack, about; bytes of a digest.
 PACK, DIGEST = 32 << 20, 16
 MAGIC = b"IDPACK01"
-MEMO_ROWS, MEMO_CHARS = 250_000, 48
+MEMO_ROWS, MEMO_CHARS = 1_000_000, 48
 
 
 class Texts:
@@ -382,8 +382,9 @@ def checksums(spark: SparkSession, folder: str) -> DataFrame:
     rows = recipes(spark, folder)
     c = F.col("c")
     parts = rows.select("start", F.posexplode("chunks").alias("k", "c")).select("start", "k", c["digest"].alias("digest"))
+    # Spark takes the chunks for as small as the list of packs that they are read from; a merge never broadcasts them.
     seen = chunks(spark, folder).select("digest", "n", "crc")
-    whole = parts.join(seen, "digest").groupBy("start").agg(F.sort_array(F.collect_list(F.struct("k", "digest", "n", "crc"))).alias("parts"))
+    whole = parts.join(seen.hint("merge"), "digest").groupBy("start").agg(F.sort_array(F.collect_list(F.struct("k", "digest", "n", "crc"))).alias("parts"))
 
     @F.pandas_udf("struct<n:long,crc:long,root:binary>")
     def fold(column):
@@ -408,6 +409,6 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
     rows = recipes(spark, folder)
     c = F.col("c")
     parts = rows.select("id", "start", F.posexplode("chunks").alias("k", "c")).select("id", "start", "k", c["digest"].alias("digest"))
-    joined = parts.join(chunks(spark, folder, data=True), "digest")
+    joined = parts.join(chunks(spark, folder, data=True).hint("merge"), "digest")
     whole = joined.groupBy("id", "start").agg(F.sort_array(F.collect_list(F.struct("k", "ids"))).alias("parts"))
     return whole.select("id", "start", F.flatten(F.col("parts.ids")).alias("ids"))
