@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorebase.llm import bpe, decontam, linededup, quality, simhash
+from lorebase.llm import bpe, decontam, linededup, neardup, quality
 from lorebase.llm.common import shared_dir, table
 
 ID, TEXT = "doc_id", "text"
@@ -37,10 +37,11 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each near-duplicate group stays; rows without an id stay."""
-    groups = simhash.similar_groups(docs)
-    gone = groups.where(F.col(ID) != F.col("component_id")).select(ID).distinct()
-    return _keep(docs, gone, "left_anti")
+    """The document with the smallest id of each group of texts at a five-word similarity of 0.8 stays; rows without an id stay."""
+    groups = neardup.groups(docs, ID, TEXT)
+    gone = groups.where(F.col(ID) != F.col("component_id")).select(F.col(ID).alias("__gone"), F.col("v").alias("__v"))
+    v = F.xxhash64(F.coalesce(F.col(TEXT), F.lit("")))
+    return docs.join(gone, (F.col(ID) == F.col("__gone")) & (v == F.col("__v")), "left_anti")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -261,6 +261,22 @@ def sketch(text: str, seeds: tuple[int, ...]) -> list[int]:
     return out
 
 
+def sketch_links(named: DataFrame, seeds: tuple[int, ...], radius: int = RADIUS) -> DataFrame:
+    """low, high: ids that any of several SimHashes links, enough of them to join all its groups. named: id, bits array<long>."""
+    edges = None
+    for k in range(len(seeds)):
+        own = named.select("id", F.col("bits")[k].alias("bits"))
+        nodes = own.groupBy("bits").agg(F.min("id").alias("first"))
+        ends = links(nodes, radius)
+        for side in ("low", "high"):
+            ends = ends.join(nodes.select(F.col("bits").alias(side), F.col("first").alias(f"{side}_id")), side)
+        found = ends.select(F.least("low_id", "high_id").alias("low"), F.greatest("low_id", "high_id").alias("high"))
+        equal = own.join(nodes, "bits").where("id <> first").select(F.col("first").alias("low"), F.col("id").alias("high"))
+        found = found.union(equal)
+        edges = found if edges is None else edges.union(found)
+    return edges.distinct()
+
+
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seeds: tuple[int, ...] = (1, 2, 3, 4), radius: int = RADIUS) -> DataFrame:
     """id, component_id over links of any of several SimHashes.
 
@@ -273,18 +289,8 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return lambda texts: [[np.array(sketch(t, seeds), np.uint64).view(np.int64) for t in texts]]
 
     prints = materialize(map_texts(docs, id_col, text_col, "bits array<long>", make).select(F.col(id_col).alias("id"), "bits"), spark, "sketches")
-    named, edges = prints.where("id is not null"), None
-    for k in range(len(seeds)):
-        own = named.select("id", F.col("bits")[k].alias("bits"))
-        nodes = own.groupBy("bits").agg(F.min("id").alias("first"))
-        ends = links(nodes, radius)
-        for side in ("low", "high"):
-            ends = ends.join(nodes.select(F.col("bits").alias(side), F.col("first").alias(f"{side}_id")), side)
-        found = ends.select(F.least("low_id", "high_id").alias("low"), F.greatest("low_id", "high_id").alias("high"))
-        equal = own.join(nodes, "bits").where("id <> first").select(F.col("first").alias("low"), F.col("id").alias("high"))
-        found = found.union(equal)
-        edges = found if edges is None else edges.union(found)
-    roots = components(edges.distinct(), spark)
+    edges = sketch_links(prints.where("id is not null"), seeds, radius)
+    roots = components(edges, spark)
     out = prints.join(roots.select(F.col("node").alias("id"), "root"), "id", "left")
     return out.select(F.col("id").alias(id_col), F.coalesce("root", "id").alias("component_id"))
 
