@@ -6,8 +6,10 @@ documents makes n - 1 pairs, not n * n. Each pair's shared lines are aligned by
 both sides, in the longest order that both keep, hold the alignment, and what lies between is aligned in turn. Aligned
 blocks of enough words are deleted from the later document. A line's source always keeps it.
 
-Lines of a few words (blank ones, bullets) are no keys; they go with a block that has them inside. Only hashes of
-shared lines are shuffled for the search, the texts once, to delete lines.
+Lines of a few words (bullets) are no keys; they go with a block that has the same ones inside in both documents, and a
+block ends where they differ. Blank lines hold no text and aren't compared. Words end at spaces, tabs and the like; a
+line of over 20 characters a word (one without spaces: Chinese, a link, encoded data) has a word for each five
+characters instead. Only hashes of shared lines are shuffled for the search, the texts once, to delete lines.
 
 Cases: null texts stay null; empty texts stay empty; a null id is left alone; repeated rows are one document here, and
 all of them keep what it keeps; rows with one id and other texts are documents in the order of their hashes; an empty
@@ -25,10 +27,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from lorebase.functions.text import bind
+
 from .common import bounded_batches, materialize
 
 #: Least words of a line that is a key, and of a block that is deleted.
 KEY_WORDS, BLOCK_WORDS = 4, 20
+#: What ends a word, the most characters a word of a spaced line, and the characters of a word in other lines.
+SPACES, LONGEST, CHARACTERS = " \t\r\f\v\u00a0\u3000", 20, 5
 
 
 def align(a: list[int], b: list[int]) -> list[tuple[int, int]]:
@@ -84,10 +90,11 @@ def rising(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
-def common_blocks(own: list[tuple[int, int, int, int]], other: list[tuple[int, int]], least: int) -> list[tuple[int, int]]:
-    """First and last line of each aligned block with enough words. own: key, line, hash, words; other: key, hash.
+def common_blocks(own: list[tuple[int, ...]], other: list[tuple[int, ...]], least: int) -> list[tuple[int, int]]:
+    """First and last line of each aligned block with enough words. own: key, line, hash, words, gap; other: key, hash, gap.
 
-    Keys number a document's key lines, so that a line which the other lacks ends a block. What an alignment leaves of
+    Keys number a document's key lines, so that a line which the other lacks ends a block; so does another gap (the hash
+    of the lines between a key and the key before; without gaps these lines aren't compared). What an alignment leaves of
     the own lines is aligned again with the whole of the other, so that moved and repeated blocks are found too.
     """
     out: list[tuple[int, int]] = []
@@ -98,6 +105,7 @@ def common_blocks(own: list[tuple[int, int, int, int]], other: list[tuple[int, i
             first = own[i] if first is None else first
             words += own[i][3]
             goes_on = n + 1 < len(pairs) and own[pairs[n + 1][0]][0] == own[i][0] + 1 and other[pairs[n + 1][1]][0] == other[j][0] + 1
+            goes_on = goes_on and own[pairs[n + 1][0]][4:] == other[pairs[n + 1][1]][2:]
             if not goes_on:
                 if words >= least:
                     out.append((first[1], own[i][1]))
@@ -111,24 +119,42 @@ def _lines(text):
     return F.split(text, "\n")
 
 
+def line_words(line):
+    """Words of a trimmed line."""
+    size = F.length(line)
+    words = size - F.length(F.translate(line, SPACES, "")) + 1
+    return F.when(size > LONGEST * words, F.floor(size / CHARACTERS)).otherwise(words).cast("int")
+
+
+def gapped(lines, keys):
+    """Keys with gap, the hash of the lines with text between a key and the key before."""
+
+    def gap(x, k):
+        before = F.when(k > 0, F.get(keys, k - 1)["pos"] + 1).otherwise(0)
+        between = F.filter(F.slice(lines, before + 1, x["pos"] - before), lambda y: y != "")
+        return F.struct(x["pos"].alias("pos"), x["hash"].alias("hash"), x["words"].alias("words"), F.xxhash64(between).alias("gap"))
+
+    return F.transform(keys, gap)
+
+
 def deletions(docs: DataFrame, key_words: int = KEY_WORDS, block_words: int = BLOCK_WORDS) -> DataFrame:
     """id, v, gone array<int>: lines to delete from each later document. docs: id, v (hash of the text), text."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    words = lambda x: (F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1).cast("int")
     trimmed = F.transform(_lines(F.col("text")), lambda x: F.trim(x))
-    numbered = F.transform(trimmed, lambda x, k: F.struct(k.alias("pos"), F.xxhash64(x).alias("hash"), words(x).alias("words")))
-    keyed = docs.where("id is not null and text is not null").select("id", "v", F.filter(numbered, lambda x: x["words"] >= key_words).alias("keys"))
+    numbered = lambda lines: F.transform(lines, lambda x, k: F.struct(k.alias("pos"), F.xxhash64(x).alias("hash"), line_words(x).alias("words")))
+    keys = lambda lines: F.filter(numbered(lines), lambda x: x["words"] >= key_words)
+    keyed = docs.where("id is not null and text is not null").select("id", "v", bind(trimmed, lambda lines: bind(keys(lines), lambda found: gapped(lines, found))).alias("keys"))
     keyed = materialize(keyed, spark, "lines")
     at = keyed.select("id", "v", F.posexplode("keys").alias("k", "x")).select("id", "v", "k", "x.*").distinct()
     me = F.struct("id", "v")
     # One row for each line and holder; summed up before the shuffle, so that a line in most documents is no load.
     source = at.groupBy("hash").agg(F.min(me).alias("source"), F.max(me).alias("last"), F.count(F.lit(1)).alias("n")).where("source <> last").select("hash", "source", "n")
     shared = materialize(at.join(source, "hash"), spark, "shared")
-    held = shared.groupBy("id", "v").agg(F.sort_array(F.collect_list(F.struct("k", "pos", "hash", "words"))).alias("own"))
+    held = shared.groupBy("id", "v").agg(F.sort_array(F.collect_list(F.struct("k", "pos", "hash", "words", "gap"))).alias("own"))
     held = materialize(held, spark, "held")
     pairs = shared.where(me != F.col("source")).groupBy("id", "v", "source").agg(F.min("n").alias("n"))
-    others = pairs.join(held.select(F.struct("id", "v").alias("source"), F.transform("own", lambda x: F.struct(x["k"].alias("k"), x["hash"].alias("hash"))).alias("other")), "source")
+    others = pairs.join(held.select(F.struct("id", "v").alias("source"), F.transform("own", lambda x: F.struct(x["k"].alias("k"), x["hash"].alias("hash"), x["gap"].alias("gap"))).alias("other")), "source")
     later = pairs.select("id", "v").distinct()
     rows = held.join(later, ["id", "v"], "left_semi").select("id", "v", F.lit(0).alias("n"), F.lit(None).cast(others.schema["source"].dataType).alias("source"), "own", F.lit(None).cast(others.schema["other"].dataType).alias("other"))
     rows = rows.unionByName(others.select("id", "v", F.col("n").cast("int").alias("n"), "source", F.lit(None).cast(held.schema["own"].dataType).alias("own"), "other"))
@@ -144,9 +170,9 @@ def deletions(docs: DataFrame, key_words: int = KEY_WORDS, block_words: int = BL
                 if mine is not None:
                     if gone:
                         out.append((*name, sorted(gone)))
-                    name, own, gone = (i, v), [(x["k"], x["pos"], x["hash"], x["words"]) for x in mine], set()
+                    name, own, gone = (i, v), [(x["k"], x["pos"], x["hash"], x["words"], x["gap"]) for x in mine], set()
                 else:
-                    for first, last in common_blocks(own, [(x["k"], x["hash"]) for x in other], block_words):
+                    for first, last in common_blocks(own, [(x["k"], x["hash"], x["gap"]) for x in other], block_words):
                         gone.update(range(first, last + 1))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 3, arrow.types)], schema=arrow)
         if gone:
