@@ -6,6 +6,11 @@ documents makes n - 1 pairs, not n * n. Each pair's shared lines are aligned by
 both sides, in the longest order that both keep, hold the alignment, and what lies between is aligned in turn. Aligned
 blocks of enough words are deleted from the later document. A line's source always keeps it.
 
+A passage's lines may each come from other documents than the passage. So the first document that holds a run of
+adjacent key lines (from each line forward, and backward, until there are enough words) is a source of it too, and a
+run's lines go from all later ones, whichever way an alignment cuts them. Each line of a block that any earlier document
+has is in one of these runs, so this finds what aligning all pairs of documents would, with rows in proportion to lines.
+
 Lines of a few words (bullets) are no keys; they go with a block that has the same ones inside in both documents, and a
 block ends where they differ. Blank lines hold no text and aren't compared. Words end at spaces, tabs and the like; a
 line of over 20 characters a word (one without spaces: Chinese, a link, encoded data) has a word for each five
@@ -18,10 +23,12 @@ table gives an empty result; other columns are kept by `dedup` and never clash.
 
 from __future__ import annotations
 
+import struct
 from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -115,6 +122,59 @@ def common_blocks(own: list[tuple[int, ...]], other: list[tuple[int, ...]], leas
     return out
 
 
+def runs(own: list[tuple[int, ...]], least: int) -> set[tuple[int, int]]:
+    """First and last place of the shortest runs of adjacent keys with enough words, by their first and by their last key.
+
+    Of two neighbours with enough words each, the pair is a run too: else the lines between them were in none.
+    """
+    out, n, begin = set(), len(own), 0
+    while begin < n:
+        end = begin + 1
+        while end < n and own[end][0] == own[end - 1][0] + 1:
+            end += 1
+        last, words = begin, 0
+        for k in range(begin, end):
+            while last < end and words < least:
+                words += own[last][3]
+                last += 1
+            if words >= least:
+                out.add((k, last - 1))
+            words -= own[k][3]
+        first, words = end - 1, 0
+        for k in range(end - 1, begin - 1, -1):
+            while first >= begin and words < least:
+                words += own[first][3]
+                first -= 1
+            if words >= least:
+                out.add((first + 1, k))
+            words -= own[k][3]
+        out |= {(k - 1, k) for k in range(begin + 1, end) if own[k - 1][3] >= least and own[k][3] >= least}
+        begin = end
+    return out
+
+
+def run_rows(held: DataFrame, least: int) -> DataFrame:
+    """id, v, run, first, last: the hash and lines of each run. held: id, v, own."""
+    kind = StructType().add("id", held.schema["id"].dataType)
+    for name, t in (("v", "long"), ("run", "long"), ("first", "integer"), ("last", "integer")):
+        kind.add(name, t)
+    arrow = to_arrow_schema(kind)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for i, v, mine in zip(*(c.to_pylist() for c in batch.columns)):
+                own = [(x["k"], x["pos"], x["hash"], x["words"], x["gap"]) for x in mine]
+                for a, b in runs(own, least):
+                    # The gap before the first line is no part of the run.
+                    parts = [own[a][2], *(y for x in own[a + 1 : b + 1] for y in (x[4], x[2]))]
+                    code = xxhash.xxh64_intdigest(struct.pack(f"<{len(parts)}q", *parts))
+                    out.append((i, v, code - (1 << 64) if code >> 63 else code, own[a][1], own[b][1]))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 5, arrow.types)], schema=arrow)
+
+    return held.select("id", "v", "own").mapInArrow(work, kind)
+
+
 def _lines(text):
     return F.split(text, "\n")
 
@@ -153,24 +213,33 @@ def deletions(docs: DataFrame, key_words: int = KEY_WORDS, block_words: int = BL
     shared = materialize(at.join(source, "hash"), spark, "shared")
     held = shared.groupBy("id", "v").agg(F.sort_array(F.collect_list(F.struct("k", "pos", "hash", "words", "gap"))).alias("own"))
     held = materialize(held, spark, "held")
-    pairs = shared.where(me != F.col("source")).groupBy("id", "v", "source").agg(F.min("n").alias("n"))
+    run = materialize(run_rows(held, block_words), spark, "runs")
+    # A document may hold a run twice; n only orders its sources.
+    begun = run.groupBy("run").agg(F.min(me).alias("source"), F.max(me).alias("end"), F.count(F.lit(1)).alias("n")).where("source <> end").drop("end")
+    later_runs = materialize(run.join(begun, "run").where(me != F.col("source")), spark, "laterruns")
+    spans = later_runs.groupBy("id", "v").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
+    ends = shared.where(me != F.col("source")).select("id", "v", "source", "n").union(later_runs.select("id", "v", "source", "n"))
+    pairs = ends.groupBy("id", "v", "source").agg(F.min("n").alias("n"))
     others = pairs.join(held.select(F.struct("id", "v").alias("source"), F.transform("own", lambda x: F.struct(x["k"].alias("k"), x["hash"].alias("hash"), x["gap"].alias("gap"))).alias("other")), "source")
     later = pairs.select("id", "v").distinct()
-    rows = held.join(later, ["id", "v"], "left_semi").select("id", "v", F.lit(0).alias("n"), F.lit(None).cast(others.schema["source"].dataType).alias("source"), "own", F.lit(None).cast(others.schema["other"].dataType).alias("other"))
-    rows = rows.unionByName(others.select("id", "v", F.col("n").cast("int").alias("n"), "source", F.lit(None).cast(held.schema["own"].dataType).alias("own"), "other"))
-    near = rows.repartition("id", "v").sortWithinPartitions("id", "v", "n", "source").select("id", "v", "own", "other")
+    no_spans = F.lit(None).cast(spans.schema["spans"].dataType).alias("spans")
+    rows = held.join(later, ["id", "v"], "left_semi").join(spans, ["id", "v"], "left").select("id", "v", F.lit(0).alias("n"), F.lit(None).cast(others.schema["source"].dataType).alias("source"), "own", F.lit(None).cast(others.schema["other"].dataType).alias("other"), "spans")
+    rows = rows.unionByName(others.select("id", "v", F.col("n").cast("int").alias("n"), "source", F.lit(None).cast(held.schema["own"].dataType).alias("own"), "other", no_spans))
+    near = rows.repartition("id", "v").sortWithinPartitions("id", "v", "n", "source").select("id", "v", "own", "other", "spans")
     kind = StructType().add("id", docs.schema["id"].dataType).add("v", "long").add("gone", StructType.fromDDL("g array<int>")["g"].dataType)
     arrow = to_arrow_schema(kind)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, own, gone = None, [], set()
         for batch in batches:
             out = []
-            for i, v, mine, other in zip(*(c.to_pylist() for c in batch.columns)):
+            for i, v, mine, other, known in zip(*(c.to_pylist() for c in batch.columns)):
                 if mine is not None:
                     if gone:
                         out.append((*name, sorted(gone)))
                     name, own, gone = (i, v), [(x["k"], x["pos"], x["hash"], x["words"], x["gap"]) for x in mine], set()
+                    for x in known or []:
+                        gone.update(range(x["first"], x["last"] + 1))
                 else:
                     for first, last in common_blocks(own, [(x["k"], x["hash"], x["gap"]) for x in other], block_words):
                         gone.update(range(first, last + 1))
@@ -178,7 +247,7 @@ def deletions(docs: DataFrame, key_words: int = KEY_WORDS, block_words: int = BL
         if gone:
             yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((*name, sorted(gone)), arrow.types)], schema=arrow)
 
-    return near.mapInArrow(run, kind)
+    return near.mapInArrow(work, kind)
 
 
 def dedup(docs: DataFrame, key_words: int = KEY_WORDS, block_words: int = BLOCK_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

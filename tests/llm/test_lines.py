@@ -29,3 +29,48 @@ def test_lines_without_spaces_are_keys(spark):
     a, b = line(rng, 25), line(rng, 25)
     got = dedup(spark, [(1, chinese), (2, f"{chinese}\nown"), (3, tabs), (4, f"own\n{tabs}"), (5, link), (6, link), (7, f"{a}\n{b}"), (8, f"{a}\n{other}\n{b}")])
     assert got == {1: chinese, 2: "own", 3: tabs, 4: "own", 5: link, 6: "", 7: f"{a}\n{b}", 8: other}
+
+
+def all_pairs(rows):
+    """Each document against all earlier ones: lines of common runs of adjacent lines with enough words, in plain Python."""
+    keys = {}
+    for i, text in rows:
+        found, between = [], []
+        for pos, x in enumerate(text.split("\n")):
+            x = x.strip(" ")
+            if x.count(" ") + 1 >= linededup.KEY_WORDS:
+                found.append((pos, x, x.count(" ") + 1, tuple(between)))
+                between = []
+            elif x:
+                between.append(x)
+        keys[i] = found
+    out = {}
+    for i, text in rows:
+        gone = set()
+        for s in (s for s in keys if s < i):
+            own, other = keys[i], keys[s]
+            for a in range(len(own)):
+                for b in range(len(other)):
+                    n = 0
+                    while a + n < len(own) and b + n < len(other) and own[a + n][1] == other[b + n][1] and (not n or own[a + n][3] == other[b + n][3]):
+                        n += 1
+                    if sum(x[2] for x in own[a : a + n]) >= linededup.BLOCK_WORDS:
+                        gone |= set(range(own[a][0], own[a + n - 1][0] + 1))
+        out[i] = "\n".join(x for k, x in enumerate(text.split("\n")) if k not in gone)
+    return out
+
+
+def test_passage_of_lines_from_other_documents(spark):
+    rng = random.Random(23)
+    a, b, c, d = (line(rng, 12) for _ in range(4))
+    rows = [(1, f"{a}\n{line(rng, 30)}"), (2, f"{b}\n{line(rng, 30)}"), (3, f"{a}\n{b}"), (4, f"{c}\n{a}\n{b}\n{d}")]
+    got = dedup(spark, rows)
+    assert got == {**dict(rows), 4: f"{c}\n{d}"} == all_pairs(rows)
+
+
+def test_equals_all_pairs(spark):
+    rng = random.Random(24)
+    pool = [line(rng, rng.choice([4, 5, 9, 13, 19, 20, 31])) for _ in range(16)] + ["", "ok", "Total: 5"]
+    rows = [(k, "\n".join(rng.choice(pool) if rng.random() < 0.8 else line(rng, 8) for _ in range(rng.randint(1, 14)))) for k in range(150)]
+    assert dedup(spark, rows) == all_pairs(rows)
+    assert sum(t != u for (_, t), u in zip(rows, all_pairs(rows).values())) > 30
