@@ -6,7 +6,7 @@ a prefix shingle are all candidates there can be. Shingles that a sample finds i
 which ones it finds changes the cost and never the result.
 
 Pairs are counted in two rounds. The first takes the links of several SimHashes and, under each prefix shingle,
-neighbours by size in an order of its own. The second takes all other pairs whose texts the first left in different
+neighbours by size in one of four orders. The second takes all other pairs whose texts the first left in different
 groups: a pair within a group can't change it. So a large group of copies costs about its size, not its square.
 
 Shingles are compared by 64-bit hashes, texts by theirs. Cases: null texts count as empty; empty texts are equal to one
@@ -29,7 +29,7 @@ from .simhash import components, shingle_hashes, sketch, sketch_links
 
 WORDS, SEEDS, RADIUS = 5, (1, 2, 3, 4), 4
 #: Texts of the sample, the least number of them that makes a shingle frequent, and most frequent shingles sent out.
-SAMPLE, OFTEN, MOST = 20_000, 10, 100_000
+SAMPLE, OFTEN, MOST = 5_000, 5, 100_000
 
 
 def shingle_set(text: str) -> np.ndarray:
@@ -65,7 +65,7 @@ def paired(postings: DataFrame, every: bool) -> DataFrame:
     spark = postings.sparkSession
     bounded_batches(spark)
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = postings.repartition(partitions, "h").sortWithinPartitions("h", "n", F.xxhash64("h", "v"))
+    dealt = postings.repartition(partitions, "h").sortWithinPartitions("h", "n", F.xxhash64(F.pmod("h", F.lit(4)), "v"))
 
     def pairs(h: np.ndarray, v: np.ndarray, n: np.ndarray, root: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         if not every:
@@ -152,8 +152,8 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     sets = materialize(map_texts(needed, "v", "text", "s array<long>", lambda: lambda t: [[shingle_set(x) for x in t]]), spark, "sets")
     good = materialize(verified(tried, sets), spark, "links")
     roots = components(good.select(F.col("a").alias("low"), F.col("b").alias("high")), spark)
-    left = postings.drop("root").join(wanted, "v", "left_semi").join(roots.withColumnRenamed("node", "v"), "v", "left")
-    rest = paired(left.select("h", "v", "n", F.coalesce("root", "v").alias("root")), True).join(tried, ["a", "b"], "left_anti")
+    left = nodes.select("v", "n", "first").join(wanted, "v", "left_semi").join(roots.withColumnRenamed("node", "v"), "v", "left")
+    rest = paired(left.select(F.explode("first").alias("h"), "v", "n", F.coalesce("root", "v").alias("root")), True).join(tried, ["a", "b"], "left_anti")
     good = good.union(verified(rest, sets))
     roots = components(good.select(F.col("a").alias("low"), F.col("b").alias("high")), spark)
     rooted = prints.select("id", "v").distinct().join(roots.withColumnRenamed("node", "v"), "v", "left").withColumn("root", F.coalesce("root", "v"))
