@@ -4,14 +4,14 @@ A candidate of the second kind counts only if its structure holds: a key's neste
 exactly, a signed token's header must be JSON that names an algorithm, an OpenSSH container's length fields must fit.
 
 Cases: null texts count as empty and have no spans; repeated rows give repeated results; an empty table gives an empty
-result; extra columns are ignored; a null id stays null. Texts are searched whole.
+result; extra columns are ignored; a null id stays null. Texts are searched whole. A token header whose JSON nests too
+deeply to be parsed is no header; key envelopes may nest to any depth.
 """
 
 from __future__ import annotations
 
 import base64
 import binascii
-import hashlib
 import json
 import re
 import struct
@@ -54,24 +54,32 @@ def fields(data: bytes, start: int, end: int) -> list[tuple[int, int, int]] | No
 
 
 def private_key(data: bytes) -> bool:
-    """Whether the bytes are one private key: an RSA key, an EC key, or either in a PKCS 8 envelope."""
-    top = fields(data, 0, len(data))
-    if not top or len(top) != 1 or top[0][0] != SEQUENCE:
-        return False
-    parts = fields(data, *top[0][1:])
-    if not parts or parts[0][0] != INTEGER or parts[0][2] - parts[0][1] != 1:
-        return False
-    tags = [tag for tag, _, _ in parts]
-    if tags[:9] == [INTEGER] * 9:
-        modulus = parts[1]
-        return modulus[2] - modulus[1] >= 64
-    if tags[:2] == [INTEGER, OCTETS]:
-        return data[parts[0][1]] == 1 and parts[1][2] - parts[1][1] >= 24
-    if tags[:3] == [INTEGER, SEQUENCE, OCTETS]:
+    """Whether the bytes are one private key: an RSA key, an EC key, or one in PKCS 8 envelopes, however many.
+
+    Goes from envelope to envelope by offsets, so that depth costs neither stack nor copies.
+    """
+    start, end = 0, len(data)
+    while True:
+        top = fields(data, start, end)
+        if not top or len(top) != 1 or top[0][0] != SEQUENCE:
+            return False
+        parts = fields(data, *top[0][1:])
+        if not parts or parts[0][0] != INTEGER or parts[0][2] - parts[0][1] != 1:
+            return False
+        tags = [tag for tag, _, _ in parts]
+        if tags[:9] == [INTEGER] * 9:
+            modulus = parts[1]
+            return modulus[2] - modulus[1] >= 64
+        if tags[:2] == [INTEGER, OCTETS]:
+            return data[parts[0][1]] == 1 and parts[1][2] - parts[1][1] >= 24
+        if tags[:3] != [INTEGER, SEQUENCE, OCTETS]:
+            return False
         algorithm = fields(data, *parts[1][1:])
-        inner = data[parts[2][1] : parts[2][2]]
-        return bool(algorithm) and algorithm[0][0] == OID and (private_key(inner) or inner[:1] == bytes((OCTETS,)) and bool(fields(inner, 0, len(inner))))
-    return False
+        if not algorithm or algorithm[0][0] != OID:
+            return False
+        start, end = parts[2][1:]
+        if data[start : start + 1] == bytes((OCTETS,)):
+            return bool(fields(data, start, end))
 
 
 def openssh_key(data: bytes) -> bool:
@@ -161,7 +169,3 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         return work
 
     return map_texts(docs, id_col, text_col, "n_assign long, n_access long, n_hex long, n_confirmed long, base_spans string, spans string", make)
-
-
-def digest(text: str) -> str:
-    return hashlib.sha256(text.encode()).hexdigest()

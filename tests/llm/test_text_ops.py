@@ -112,6 +112,85 @@ def test_secret_spans():
     assert secrets.joined(secrets.base_spans(text)) == "assign:0:18,access:51:71,hex:72:96"
 
 
+def test_nested_envelopes():
+    """Any depth of envelopes is parsed; a broken key inside is none."""
+    for depth in (0, 1, 1500):
+        for inner, found in ((rsa_key(), True), (rsa_key()[:-1], False), (b"", False)):
+            data = inner
+            for _ in range(depth):
+                body = der(2, b"\0") + der(0x30, der(6, b"\x2a\x86\x48") + der(5, b"")) + der(4, data)
+                data = der(0x30, body)
+            assert len(data) < 1 << 16 and secrets.private_key(data) == found
+    assert secrets.confirmed_spans(base64.b64encode(data).decode()) == []
+    header = base64.urlsafe_b64encode(b'{"alg":' + b"[" * 100_000).decode().rstrip("=")
+    assert secrets.confirmed_spans(f"{header}.{header}.x") == []
+
+
+def plain_assign(text):
+    """The stated rule for assign spans by hand: name, quote, blanks, sign, blanks, quote, value of six at least."""
+    names = ("password", "passwd", "secret", "token", "api_key", "apikey")
+    value = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-")
+    out, at = [], 0
+    while at < len(text):
+        end = None
+        for name in names:
+            k = at + len(name)
+            if "".join(c.lower() if c.isascii() else c for c in text[at:k]) != name:
+                continue
+            ways = [k + 1, k] if text[k : k + 1] in ("'", '"') else [k]
+            for k in ways:
+                while text[k : k + 1] == " ":
+                    k += 1
+                if text[k : k + 1] not in (":", "=") or k >= len(text):
+                    continue
+                k += 1
+                while text[k : k + 1] == " ":
+                    k += 1
+                if text[k : k + 1] in ("'", '"'):
+                    k += 1
+                begin = k
+                while k < len(text) and text[k] in value:
+                    k += 1
+                if k > begin:
+                    end = (k, k - begin)
+                    break
+            if end:
+                break
+        if end:
+            if end[1] >= 6:
+                out.append((at, end[0], "assign"))
+            at = end[0]
+        else:
+            at += 1
+    return out
+
+
+def test_assign_spans_as_stated():
+    rng = random.Random(18)
+    parts = ["token", "Secret", "PASSWORD", "passwd", "apikey", "api_key", "=", "==", ":", " ", "  ", "abc", "a1b2c3", "'", '"', "é", "ſ", "\n", "-", "/x"]
+    n = 0
+    for _ in range(3000):
+        text = "".join(rng.choice(parts) for _ in range(14))
+        want = plain_assign(text)
+        n += len(want)
+        assert [s for s in secrets.base_spans(text) if s[2] == "assign"] == want, text
+    assert n > 500
+
+
+def test_secret_query_on_a_table(spark):
+    """op5 over the whole table: digests and all confirmed spans as the functions give for each text."""
+    from lorebase.llm.queries import op5_secrets
+
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    got = {r.doc_id: r for r in op5_secrets(spark, "/root/testdata/sf0.001").collect()}
+    assert got.keys() == texts.keys()
+    for i, text in texts.items():
+        base = plain_assign(text) + [s for s in secrets.base_spans(text) if s[2] != "assign"]
+        line = ",".join(f"{k}:{s}:{e}" for s, e, k in sorted(base, key=lambda x: (x[0], secrets.KINDS.index(x[2]))))
+        assert got[i].base_sha256 == hashlib.sha256(line.encode()).hexdigest()
+        assert set(line.split(",")) <= set(got[i].spans.split(","))
+
+
 def test_base_spans_as_stated():
     import re
 
