@@ -34,12 +34,14 @@ def bounded_batches(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession, what: str) -> str:
     """A new folder's URI under spark.checkpoint.dir, which the driver and all executors see.
 
-    Only where the setting is absent (a local session) is a folder of this machine used instead.
+    Only a local session may do without the setting and gets a folder of this machine; on a cluster that's an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = spark.sparkContext.getCheckpointDir()
     if not base:
+        if not (spark.sparkContext.master or "").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="lorebase-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/lorebase-{what}-{uuid.uuid4().hex[:12]}"
@@ -60,11 +62,12 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def map_texts(df: DataFrame, id_col: str, text_col: str, out: str, make: Callable[[], Callable[[list[str]], list[list]]]) -> DataFrame:
-    """Maps each text by a function of whole batches and keeps its id; null texts count as empty.
+def map_columns(df: DataFrame, id_col: str, text_col: str, out: str, make: Callable[[], Callable[[pa.Array], list]]) -> DataFrame:
+    """Maps texts by a function of whole columns and keeps their ids; null texts count as empty.
 
-    make() builds that function once per task; it takes texts and gives the columns that out names. The rest of
-    df's columns never reach Python, so names that clash with the output's do no harm.
+    make() builds that function once per task; it takes an Arrow column of texts and gives the columns that out names,
+    as Arrow arrays, numpy arrays or lists. The rest of df's columns never reach Python, so names that clash with the
+    output's do no harm.
     """
     bounded_batches(df.sparkSession)
     narrow = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -79,12 +82,23 @@ def map_texts(df: DataFrame, id_col: str, text_col: str, out: str, make: Callabl
         work = make()
         for batch in batches:
             for part in by_bytes(batch):
-                columns = work([x or "" for x in part.column(1).to_pylist()])
-                yield pa.RecordBatch.from_arrays([part.column(0).cast(arrow.types[0]), *[pa.array(c, t) for c, t in zip(columns, arrow.types[1:])]], schema=arrow)
+                columns = work(pc.fill_null(part.column(1), ""))
+                columns = [c.cast(t) if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, arrow.types[1:])]
+                yield pa.RecordBatch.from_arrays([part.column(0).cast(arrow.types[0]), *columns], schema=arrow)
 
     return narrow.mapInArrow(run, schema).select(*[F.col(f"c{k}").alias(n) for k, n in enumerate([id_col, *[f.name for f in fields]])])
 
 
+def map_texts(df: DataFrame, id_col: str, text_col: str, out: str, make: Callable[[], Callable[[list[str]], list[list]]]) -> DataFrame:
+    """As map_columns, for a function of lists of texts."""
+
+    def columns():
+        work = make()
+        return lambda column: work(column.to_pylist())
+
+    return map_columns(df, id_col, text_col, out, columns)
+
+
 def by_bytes(batch: pa.RecordBatch, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Cuts a batch so that each part holds about `most` bytes of text, or one row."""
     if batch.num_rows == 0:
@@ -118,3 +132,9 @@ def write_file(uri: str, data: bytes) -> None:
     with system.open_output_stream(draft) as f:
         f.write(data)
     system.move(draft, path)
+
+
+def spread_files(names: DataFrame) -> DataFrame:
+    """Deals out a list of files, so that many tasks read them: by itself Spark takes so short a list for one task's work."""
+    partitions = 8 * int(names.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return names.repartition(max(1, min(names.count(), partitions)))

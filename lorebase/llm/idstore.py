@@ -28,25 +28,27 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from .bpe import SEGMENT
-from .common import bounded_batches, by_bytes, local_path, remove
+from .common import bounded_batches, by_bytes, local_path, remove, spread_files
+from .segments import SPACE, Memo
 
 #: Least, usual (as bits of the rolling hash) and most ids of a chunk; ids that the hash sees.
 LEAST, BITS, MOST, WINDOW = 256, 10, 8192, 32
 #: Bytes of a pack, about; bytes of a digest.
 PACK, DIGEST = 32 << 20, 16
 MAGIC = b"IDPACK01"
-MEMO_ROWS, MEMO_CHARS = 1_000_000, 48
+#: Bytes of new segments that one call of the library encodes, about; documents of a shard at most, about.
+JOINED, SHARD = 1 << 18, 500_000
 
 
 class Texts:
-    """Encodes texts with the library; segments that were met before are remembered."""
+    """Encodes columns of texts with the library; segments that were met before are remembered."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -58,31 +60,67 @@ class Texts:
         #: Only for this way of cutting texts is a segment's encoding that of the whole text at its place.
         self.by_segment = rules["normalizer"] is None and first.get("type") == "ByteLevel" and first.get("use_regex") and not first.get("add_prefix_space")
         self.special = [t["content"] for t in rules["added_tokens"]]
-        self.memo: dict[str, bytes] = {}
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        whole = [k for k, t in enumerate(texts) if not self.by_segment or any(s in t for s in self.special)]
-        out: list = [None] * len(texts)
-        if whole:
-            for k, e in zip(whole, self.library.encode_batch([texts[k] for k in whole], add_special_tokens=False)):
-                out[k] = np.array(e.ids, np.uint32)
-        split = [None if x is not None else SEGMENT.findall(t) for t, x in zip(texts, out)]
-        known = self.memo
-        new = list({s for segments in split if segments for s in segments if s not in known})
-        for k in range(0, len(new), 4096):
-            part = new[k : k + 4096]
-            for s, e in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False)):
-                known[s] = np.array(e.ids, "<u4").tobytes()
-        for k, segments in enumerate(split):
-            if segments is not None:
-                out[k] = np.frombuffer(b"".join(map(known.__getitem__, segments)), "<u4")
-        if len(known) > MEMO_ROWS:
-            known.clear()
-        else:
-            for s in new:
-                if len(s) > MEMO_CHARS:
-                    del known[s]
-        return out
+        self.memo = Memo(self._segments)
+        if self.by_segment:
+            #: Bytes of each id: a token is written with one character for each byte.
+            self.bytes_of = np.zeros(self.library.get_vocab_size(), np.int64)
+            for token, i in self.library.get_vocab(with_added_tokens=False).items():
+                self.bytes_of[i] = len(token)
+            self.line_end = self._one("\n")[0]
+
+    def _one(self, text: str) -> list[int]:
+        return self.library.encode(text, add_special_tokens=False).ids
+
+    def _segments(self, segments: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Encodes many segments as few texts and cuts the ids where the segments' bytes end.
+
+        A segment that begins with white space keeps apart from the one before it; others are put behind a line end,
+        whose id is taken out again. Segments that end with white space would take in what follows: these go alone.
+        """
+        ids: list[np.ndarray] = [np.empty(0, np.uint32)] * len(segments)
+        texts, held, size = [], [], 0
+        for k, s in enumerate(segments):
+            t = s.decode()
+            if t[-1].isspace() or t[0].isspace() and s[0] >= 0x80:
+                ids[k] = np.array(self._one(t), np.uint32)
+                continue
+            texts.append(t if SPACE[s[0]] else "\n" + t)
+            held.append(k)
+            size += len(s)
+            if size > JOINED:
+                self._joined(texts, held, segments, ids)
+                texts, held, size = [], [], 0
+        if held:
+            self._joined(texts, held, segments, ids)
+        return np.concatenate(ids), np.fromiter(map(len, ids), np.int64, len(ids))
+
+    def _joined(self, texts: list[str], held: list[int], segments: list[bytes], out: list[np.ndarray]) -> None:
+        found = np.array(self.library.encode_batch_fast(["".join(texts)], add_special_tokens=False)[0].ids, np.uint32)
+        sizes = np.fromiter((len(segments[k]) for k in held), np.int64, len(held))
+        behind = np.fromiter((not SPACE[segments[k][0]] for k in held), bool, len(held))
+        upto = np.cumsum(self.bytes_of[found])
+        ends = np.searchsorted(upto, np.cumsum(sizes + behind)) + 1
+        if (upto[ends - 1] != np.cumsum(sizes + behind)).any():
+            raise ValueError("a token crosses from one segment to the next")
+        starts = np.r_[0, ends[:-1]] + behind
+        if (found[starts[behind] - 1] != self.line_end).any():
+            raise ValueError("a line end was merged with the segment behind it")
+        for k, s, e in zip(held, starts.tolist(), ends.tolist()):
+            out[k] = found[s:e]
+
+    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of a column in a row, and where each text's begin (one more than texts)."""
+        column = pc.fill_null(column, "")
+        whole = np.full(len(column), not self.by_segment)
+        for s in self.special:
+            whole |= pc.match_substring(column, s).to_numpy(zero_copy_only=False)
+        if not whole.any():
+            return self.memo.encode(column)
+        rest, at = self.memo.encode(pc.if_else(pa.array(whole), "", column))
+        parts = [rest[s:e] for s, e in zip(at, at[1:])]
+        for k in np.flatnonzero(whole).tolist():
+            parts[k] = np.array(self._one(column[k].as_py()), np.uint32)
+        return np.concatenate(parts), np.r_[0, np.cumsum([len(x) for x in parts])]
 
 
 @lru_cache(2)
@@ -199,9 +237,11 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, id_col:
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool, pack, waiting, places = zstandard.ZstdCompressor(level=3), None, [], {}
         for batch in batches:
-            for part in by_bytes(batch, 4 << 20):
-                for i, ids in zip(part.column(0).to_pylist(), texts_of(tokenizer).encode([x or "" for x in part.column(1).to_pylist()])):
-                    ids, chunks, start = np.append(ids, np.uint32(end_id)).astype("<u4"), [], 0
+            for part in by_bytes(batch):
+                every, at = texts_of(tokenizer).encode(part.column(1))
+                every, at = np.insert(every.astype("<u4"), at[1:], end_id), at + np.arange(len(at))
+                for i, first, last in zip(part.column(0).to_pylist(), at.tolist(), at[1:].tolist()):
+                    ids, chunks, start = every[first:last], [], 0
                     for end in chunk_ends(ids):
                         raw = ids[start:end]
                         name = digest(raw.tobytes())
@@ -255,9 +295,9 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, id_col:
     spread.mapInArrow(copy, place).write.parquet(f"{folder}/index")
     remove(spark, f"{folder}/drafts")
 
-    shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-drafts.count() // SHARD))
     recipe = drafts.select("id", "n_ids", "root", F.transform("chunks", lambda x: F.struct(x["digest"].alias("digest"), x["n"].alias("n"))).alias("chunks"))
-    recipe.repartitionByRange(shards, "id").sortWithinPartitions("id", "root").withColumn("shard", F.spark_partition_id()).write.parquet(f"{folder}/recipes")
+    recipe.repartitionByRange(shards, "id", "root").sortWithinPartitions("id", "root").withColumn("shard", F.spark_partition_id()).write.parquet(f"{folder}/recipes")
     remove(spark, f"{folder}/drafts-index")
     manifest(spark, folder).write.parquet(f"{folder}/manifest")
 
@@ -266,12 +306,15 @@ def recipes(spark: SparkSession, folder: str) -> DataFrame:
     """id, shard, start, n_ids, root, chunks. start: ids of all documents before.
 
     Each shard is a range of ids, so that a running sum within shards and one total for each shard are enough; what
-    the driver sees is one row for each shard.
+    the driver sees is one row for each shard. The shards' roots are made anew from the recipes and must be those of
+    the stored manifest, so that lost, changed or swapped recipes are found.
     """
     rows = spark.read.parquet(f"{folder}/recipes")
-    totals = sorted(tuple(r) for r in rows.groupBy("shard").agg(F.sum("n_ids")).collect())
+    stored, found = ({r.shard: (r.n_docs, r.n_ids, bytes(r.root)) for r in m.collect()} for m in (spark.read.parquet(f"{folder}/manifest"), manifest(spark, folder)))
+    if stored != found:
+        raise ValueError(f"shards {sorted(k for k in stored.keys() | found.keys() if stored.get(k) != found.get(k))} don't match the manifest")
     begins, total = [], 0
-    for shard, n in totals:
+    for shard, (_, n, _) in sorted(found.items()):
         begins.append((shard, total))
         total += n
     before = F.broadcast(spark.createDataFrame(begins, "shard int, base long"))
@@ -308,7 +351,7 @@ def store_root(spark: SparkSession, folder: str) -> str:
 
 def chunks(spark: SparkSession, folder: str, data: bool = False) -> DataFrame:
     """digest, n, crc, ids (with data): every stored chunk, read from its pack and held against its digest."""
-    packs = spark.read.parquet(f"{folder}/index").select("pack").distinct()
+    packs = spread_files(spark.read.parquet(f"{folder}/index").select("pack").distinct())
     kind = StructType.fromDDL("digest binary, n int, crc long, ids array<int>")
     shape = to_arrow_schema(kind)
 
@@ -399,16 +442,27 @@ def checksums(spark: SparkSession, folder: str) -> DataFrame:
         return pd.DataFrame(out, columns=["n", "crc", "root"])
 
     read = whole.withColumn("f", fold("parts")).select("start", "f")
-    out = rows.select("id", "start", "root").join(read, "start", "left")
-    right = (F.col("f.root") == F.col("root")) | F.raise_error(F.lit("a recipe's chunks are missing or damaged")).cast("boolean")
-    return out.where(F.coalesce(right, F.raise_error(F.lit("a recipe's chunks are missing")).cast("boolean"))).select("id", "start", F.col("f.n").alias("n_tokens"), F.col("f.crc").alias("ids_crc32"))
+    out = rows.select("id", "start", "n_ids", "root").join(read, "start", "left")
+    return out.where(_right(F.col("f.n"), F.col("f.root"))).select("id", "start", F.col("f.n").alias("n_tokens"), F.col("f.crc").alias("ids_crc32"))
+
+
+def _right(n, root):
+    """True where what was read is what the recipe says; otherwise an error."""
+    return F.coalesce((n == F.col("n_ids")) & (root == F.col("root")), F.lit(False)) | F.raise_error(F.lit("a recipe's chunks are missing or damaged")).cast("boolean")
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
-    """id, start, ids array<int>: the documents, put together again."""
+    """id, start, ids array<int>: the documents, put together again and held against their recipes."""
     rows = recipes(spark, folder)
     c = F.col("c")
-    parts = rows.select("id", "start", F.posexplode("chunks").alias("k", "c")).select("id", "start", "k", c["digest"].alias("digest"))
+    parts = rows.select("start", F.posexplode("chunks").alias("k", "c")).select("start", "k", c["digest"].alias("digest"))
     joined = parts.join(chunks(spark, folder, data=True).hint("merge"), "digest")
-    whole = joined.groupBy("id", "start").agg(F.sort_array(F.collect_list(F.struct("k", "ids"))).alias("parts"))
-    return whole.select("id", "start", F.flatten(F.col("parts.ids")).alias("ids"))
+    whole = joined.groupBy("start").agg(F.sort_array(F.collect_list(F.struct("k", "digest", "ids"))).alias("parts"))
+
+    @F.pandas_udf("binary")
+    def root(digests):
+        return digests.map(lambda own: merkle([bytes(d) for d in own]))
+
+    read = whole.select("start", F.flatten(F.col("parts.ids")).alias("ids"), root(F.col("parts.digest")).alias("found"))
+    out = rows.select("id", "start", "n_ids", "root").join(read, "start", "left")
+    return out.where(_right(F.size("ids"), F.col("found"))).select("id", "start", "ids")
