@@ -16,6 +16,8 @@ from . import lexicon
 PIC, MISSING = r"\[\[PIC:([^\]]+)\]\]", r"\[\[PIC_MISSING\]\]"
 NO_TITLE = "未命名章节"
 SENTENCE_MARKS = "。！？!?；;"
+#: Code points that a title is looked for in first.
+HEAD = 1000
 
 
 def col(c: Column | str) -> Column:
@@ -63,10 +65,18 @@ def without_markers(c) -> Column:
 
 
 def title(c) -> Column:
-    """The first sentence of the first line, without heading marks, at most 80 code points."""
+    """The first sentence of the first line, without heading marks, at most 80 code points.
+
+    It's taken from the first HEAD code points alone where these surely hold it: 200 code points with content, or the
+    whole text, and no marker that goes on behind them.
+    """
+    sure = lambda head: (F.length(without_markers(head)) >= 200) & ~F.right(head, F.lit(HEAD)).rlike(r"\[\[?$|\[\[PIC[^\]]*\]?$")
+    return bind(col(c), lambda t: bind(F.left(t, F.lit(HEAD)), lambda head: F.when((F.length(t) <= HEAD) | sure(head), _title(head)).otherwise(_title(t))))
+
+
+def _title(c: Column) -> Column:
     line = strip(F.element_at(F.split(F.ltrim(strip(F.regexp_replace(without_markers(c), F.lit("^[# ]+"), F.lit("")))), "\n"), 1))
-    sentence = strip(F.element_at(F.split(line, f"[{SENTENCE_MARKS}]"), 1))
-    return F.left(F.coalesce(F.nullif(sentence, F.lit("")), F.nullif(line, F.lit("")), F.lit(NO_TITLE)), F.lit(80))
+    return bind(line, lambda own: bind(strip(F.element_at(F.split(own, f"[{SENTENCE_MARKS}]"), 1)), lambda first: F.left(F.coalesce(F.nullif(first, F.lit("")), F.nullif(own, F.lit("")), F.lit(NO_TITLE)), F.lit(80))))
 
 
 def evidence(c) -> Column:
@@ -87,9 +97,13 @@ def sentence_key(c, most: int | None = 240) -> Column:
     return key if most is None else F.left(key, F.lit(most))
 
 
-def without_thinking(c) -> Column:
-    """What a model thought aloud goes."""
-    return strip(sub(c, r"(?s)<think>.*?</think>"))
+def without_thinking(c, preamble: bool = False) -> Column:
+    """What a model thought aloud goes. preamble: a beginning that says it is thinking too, up to the first blank line."""
+    t = strip(sub(c, r"(?s)<think>.*?</think>"))
+    if not preamble:
+        return t
+    rest = strip(F.regexp_extract(t, r"(?s)^(?i:thinking).*?\n\s*\n(.*)$", 1))
+    return F.when((F.length(t) > 100) & t.rlike("^(?i)thinking") & (rest != ""), rest).otherwise(t)
 
 
 def without_markdown(c) -> Column:
@@ -184,17 +198,16 @@ def distinct_terms(c) -> Column:
 
 
 def contains_any(text: Column, terms) -> Column:
-    """Whether one of some fixed terms is in the text. One alternation instead of a call for each term."""
-    return text.rlike("|".join(r"\Q" + t + r"\E" for t in terms))
-
-
-def occurs(text: Column, hint: str) -> Column:
-    """Hints of several words as substrings, single words between word boundaries."""
-    if " " in hint or "-" in hint:
-        return text.contains(hint)
-    return text.rlike(r"(?<![\p{L}\p{N}_])\Q" + hint + r"\E(?![\p{L}\p{N}_])")
+    """Whether one of some fixed terms is in the text. Terms that hold another one are left out; plain searches beat one pattern."""
+    needed = [t for t in dict.fromkeys(terms) if not any(o != t and o in t for o in terms)]
+    return reduce(lambda a, b: a | b, [text.contains(t) for t in needed], F.lit(False))
 
 
 def overlap(text: Column, terms: Column) -> Column:
     """How many of the terms of two or more characters are in the text, without regard to case and white space."""
-    return bind(compact(text), lambda t: F.size(F.filter(terms, lambda x: (F.length(F.trim(x)) >= 2) & t.contains(compact(x)))))
+    return bind(compact(text), lambda t: overlap_in(t, terms))
+
+
+def overlap_in(compacted: Column, terms: Column) -> Column:
+    """X6 for a text that is compact already; nothing is done for no terms."""
+    return F.when(F.size(terms) == 0, 0).otherwise(F.size(F.filter(terms, lambda x: (F.length(F.trim(x)) >= 2) & compacted.contains(compact(x)))))

@@ -9,6 +9,10 @@ from ..functions import lexicon
 from ..functions.text import MISSING, PIC, bind, col, contains_any, squeeze, strip, sub
 
 
+# Fixed value: what is left of bad recognition.
+NOISE = r"\\u[0-9a-fA-F]{4}|\\(?:mathsf|mathrm|pmb)|[a-z]{18,}"
+
+
 def lines(c) -> Column:
     """Lines that aren't blank, trimmed."""
     return F.filter(F.transform(F.split(col(c), "\n"), lambda x: strip(x)), lambda x: x != "")
@@ -16,17 +20,18 @@ def lines(c) -> Column:
 
 def toc_like(c) -> Column:
     """A table of contents, by dotted lines and page numbers."""
-    clean = strip(sub(sub(c, PIC), MISSING))
     page = r"[A-Za-z][A-Za-z /,'()-]{2,}\.?\s*[0-9]{1,3}(?=\s|$)"
 
-    def judge(rows):
+    def judge(clean, rows):
         count = lambda test: F.size(F.filter(rows, test))
         dotted, paged = count(lambda x: x.rlike(r"\.{5,}|…{3,}")), count(lambda x: x.rlike(r"[0-9]{1,3}\s*$"))
         hits = F.aggregate(rows, F.lit(0), lambda n, x: n + F.regexp_count(x, F.lit(page)))
         by_lines = (dotted >= 2) | ((F.size(rows) >= 6) & (paged / F.greatest(F.size(rows), F.lit(1)) >= 0.65))
         return F.when(F.length(clean) < 80, hits >= 3).otherwise(by_lines)
 
-    return bind(lines(clean), judge)
+    # Markers are looked for only in texts that have any.
+    plain = F.when(col(c).contains("[[PIC"), sub(sub(c, PIC), MISSING)).otherwise(col(c))
+    return bind(strip(plain), lambda clean: bind(lines(clean), lambda rows: judge(clean, rows)))
 
 
 def low_value(c, image_ids: Column | None = None) -> Column:
@@ -44,28 +49,33 @@ def step_count(c) -> Column:
     return marked + F.regexp_count(col(c), F.lit(r"(?:^|\s)(?:[0-9]+[).、])\s+[A-Z\u4e00-\u9fff]"))
 
 
-def semantic_type(title, text) -> Column:
-    """The first rule that holds."""
+def semantic_type(title, text, toc: Column | None = None) -> Column:
+    """The first rule that holds. Title and text are prepared once, and rules are tried only as far as needed."""
     title, text = col(title), col(text)
-    body, head = squeeze(F.lower(F.concat(title, F.lit("\n"), text))), squeeze(F.lower(title))
-    steps = step_count(text)
-    procedure = contains_any(body, lexicon.PROCEDURE) | (steps >= 2)
-    warned = contains_any(head, lexicon.SAFETY)
-    return (
-        F.when(toc_like(text), "toc")
-        .when(warned & ~(procedure & (steps >= 2)), "safety_warning")
-        .when(contains_any(body, lexicon.TROUBLE), "troubleshooting")
-        .when(contains_any(body, lexicon.PARTS), "parts_list")
-        .when(contains_any(body, lexicon.SPECIFICATION), "specification")
-        .when(procedure, "procedure")
-        .when(warned | contains_any(body, lexicon.SAFETY), "safety_warning")
-        .otherwise("general")
-    )
+
+    def judge(x):
+        body, head, steps = x["body"], x["head"], x["steps"]
+        procedure = (steps >= 2) | contains_any(body, lexicon.PROCEDURE)
+        warned = contains_any(head, lexicon.SAFETY)
+        return (
+            F.when(x["toc"], "toc")
+            # With two steps a text is a procedure in any case.
+            .when((steps < 2) & warned, "safety_warning")
+            .when(contains_any(body, lexicon.TROUBLE), "troubleshooting")
+            .when(contains_any(body, lexicon.PARTS), "parts_list")
+            .when(contains_any(body, lexicon.SPECIFICATION), "specification")
+            .when(procedure, "procedure")
+            .when(warned | contains_any(body, lexicon.SAFETY), "safety_warning")
+            .otherwise("general")
+        )
+
+    whole = F.struct(squeeze(F.lower(F.concat(title, F.lit("\n"), text))).alias("body"), squeeze(F.lower(title)).alias("head"), step_count(text).alias("steps"), (toc_like(text) if toc is None else toc).alias("toc"))
+    return bind(whole, judge)
 
 
 def ocr_noise(c) -> Column:
-    """P5, the flag: long glued words, or replacement characters."""
-    return col(c).rlike(r"[A-Za-z]{28,}|\ufffd")
+    """P5, the flag: escapes and commands that were left over, or long glued words."""
+    return col(c).rlike(NOISE)
 
 
 def clean_score(toc: Column, noise: Column, unlabelled: Column) -> Column:

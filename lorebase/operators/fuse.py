@@ -7,13 +7,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import compact, overlap
+from ..functions.text import compact, overlap_in
 from .index import top
 
 # Fixed values of fusion and evidence.
 RRF_K = 60
 TOP_LEAST, KEEP_LEAST, KEPT = 4.0, 3.0, 4
 CONTEXT_CHARS, CUT_LEAST = 4000, 200
+NO_CANDIDATES = 0.15
 
 
 def rrf(lists: list[DataFrame], k: int | None = None, key: str = "chunk_id") -> DataFrame:
@@ -47,9 +48,10 @@ def fuse_variants(rows: DataFrame, key: str = "chunk_id") -> DataFrame:
 
 def evidence_score(rows: DataFrame) -> DataFrame:
     """Adds evidence_score and the overlaps. rows: score, title, text, n_images, variant_hits, query_terms, image_terms, component_terms, status_terms, issue_terms."""
-    both = F.concat("title", F.lit("\n"), "text")
-    q, i, u = (overlap(both, F.col(c)) for c in ("query_terms", "image_terms", "issue_terms"))
-    tc, xc, ts, xs = (overlap(F.col(w), F.col(c)) for c in ("component_terms", "status_terms") for w in ("title", "text"))
+    rows = rows.withColumns({"__t": compact("title"), "__x": compact("text")})
+    both = F.concat("__t", "__x")  # compact texts have no line end between them
+    q, i, u = (overlap_in(both, F.col(c)) for c in ("query_terms", "image_terms", "issue_terms"))
+    tc, xc, ts, xs = (overlap_in(F.col(w), F.col(c)) for c in ("component_terms", "status_terms") for w in ("__t", "__x"))
     out = rows.withColumns({"query_overlap": q, "image_overlap": i, "issue_overlap": u, "__tc": tc, "__xc": xc, "__ts": ts, "__xs": xs})
     out = out.withColumns({"component_overlap": F.col("__tc") + F.col("__xc"), "status_overlap": F.col("__ts") + F.col("__xs")})
     shown, seen = F.col("n_images") > 0, F.col("image_overlap") > 0
@@ -67,7 +69,7 @@ def evidence_score(rows: DataFrame) -> DataFrame:
         + add(F.col("variant_hits") >= 2, 1.5)
         - add(~seen & (F.size("image_terms") > 0) & (F.col("query_overlap") <= 1) & ~shown, 1.2)
     )
-    return out.withColumn("evidence_score", F.round(total, 3)).drop("__tc", "__xc", "__ts", "__xs")
+    return out.withColumn("evidence_score", F.round(total, 3)).drop("__tc", "__xc", "__ts", "__xs", "__t", "__x")
 
 
 def evidence_order() -> list[Column]:
@@ -107,12 +109,23 @@ def part_text(n: Column, product: Column, title: Column, score: Column, text: Co
     return head if ids is None else F.when(F.size(ids) > 0, F.concat(head, F.lit("\n（相关配图："), F.array_join(ids, ", "), F.lit("）"))).otherwise(head)
 
 
-def confidence(rows: DataFrame, score: str = "score", rank: str = "rank") -> DataFrame:
-    """query_id, confidence from the best score and its lead over the second."""
+def confidence(rows: DataFrame, score: str = "score", rank: str = "rank", queries: DataFrame | None = None) -> DataFrame:
+    """query_id, confidence from the best score and its lead over the second.
+
+    queries: all query_ids, of which those without a row get 0.15.
+    """
     r = F.col(rank)
     best = rows.groupBy("query_id").agg(F.max(F.when(r == 1, F.col(score))).alias("a"), F.coalesce(F.max(F.when(r == 2, F.col(score))), F.lit(0.0)).alias("b"))
     value = 0.35 + F.least(F.col("a") / 50.0, F.lit(0.45)) + F.least(F.greatest(F.col("a") - F.col("b"), F.lit(0.0)) / 40.0, F.lit(0.15))
-    return best.select("query_id", F.round(F.least(value, F.lit(0.95)), 2).alias("confidence"))
+    found = best.select("query_id", F.round(F.least(value, F.lit(0.95)), 2).alias("confidence"))
+    if queries is None:
+        return found
+    return queries.select("query_id").distinct().join(found, "query_id", "left").withColumn("confidence", F.coalesce("confidence", F.lit(NO_CANDIDATES)))
+
+
+def mean_confidence(rows: DataFrame, key: str = "query_id") -> DataFrame:
+    """Key, confidence: the mean over a question's parts."""
+    return rows.groupBy(key).agg(F.round(F.avg("confidence"), 2).alias("confidence"))
 
 
 def ordered_distinct(rows: DataFrame, group: str, order: str, values: str, most: int | None = None) -> DataFrame:

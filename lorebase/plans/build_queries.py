@@ -9,16 +9,16 @@ from ..functions import lexicon
 from ..functions import text as T
 from ..operators import classify, generate, ingest
 from ..sources import manuals
+from . import planted
 from .base import TITLED, any_in, lit, query, squeeze, strip, table
+from .planted import over_documents
 
 
-@query(
-    rf"""WITH s AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(text, '(^|\n)(#\s+)', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda x: {strip('x')}), lambda x: x <> '') AS p FROM documents),
+@query(over_documents(rf"""WITH s AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(text, '(^|\n)(#\s+)', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda x: {strip('x')}), lambda x: x <> '') AS p FROM documents),
     e AS (SELECT doc_id, unnest(p) AS section, generate_subscripts(p, 1) - 1 AS section_index FROM s)
-    SELECT doc_id, CAST(section_index AS INTEGER) AS section_index, length(section) AS n_chars, md5(section) AS section_md5 FROM e"""
-)
+    SELECT doc_id, CAST(section_index AS INTEGER) AS section_index, length(section) AS n_chars, md5(section) AS section_md5 FROM e"""))
 def section_split(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(generate.sections("text")).alias("section_index", "s"))
+    rows = planted.documents(spark, sf_dir).select("doc_id", F.posexplode(generate.sections("text")).alias("section_index", "s"))
     return rows.select("doc_id", "section_index", F.length("s").cast("long").alias("n_chars"), F.md5(F.col("s").cast("binary")).alias("section_md5"))
 
 
@@ -160,9 +160,9 @@ _TOC = rf"""(
 )"""
 
 
-@query(f"SELECT doc_id, is_toc FROM {_TOC}")
+@query(over_documents(f"SELECT doc_id, is_toc FROM {_TOC}"))
 def toc_like(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", classify.toc_like("text").alias("is_toc"))
+    return planted.documents(spark, sf_dir).select("doc_id", classify.toc_like("text").alias("is_toc"))
 
 
 @query(
@@ -181,9 +181,9 @@ _STEPS = r"""len(list_filter(string_split(text, chr(10)), lambda x: regexp_match
     + len(regexp_extract_all(text, '(?:^|\s)(?:[0-9]+[).、])\s+[A-Z一-鿿]'))"""
 
 
-@query(f"SELECT doc_id, {_STEPS} AS n_steps FROM documents")
+@query(over_documents(f"SELECT doc_id, {_STEPS} AS n_steps FROM documents"))
 def step_count(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", classify.step_count("text").cast("long").alias("n_steps"))
+    return planted.documents(spark, sf_dir).select("doc_id", classify.step_count("text").cast("long").alias("n_steps"))
 
 
 def semantic_sql() -> str:
@@ -196,9 +196,9 @@ def semantic_sql() -> str:
 )"""
 
 
-@query(f"WITH {TITLED}, {semantic_sql()} SELECT doc_id, semantic_type FROM kinds")
+@query(over_documents(f"WITH {TITLED}, {semantic_sql()} SELECT doc_id, semantic_type FROM kinds"))
 def semantic_type(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select("doc_id", "text", T.title("text").alias("title"))
+    rows = planted.documents(spark, sf_dir).select("doc_id", "text", T.title("text").alias("title"))
     return rows.select("doc_id", classify.semantic_type("title", "text").alias("semantic_type"))
 
 
@@ -215,37 +215,33 @@ def domain_sql(text: str, domains: dict[str, tuple[str, ...]], frm: str, key: st
 _BEST = f"(SELECT doc_id, arg_max(domain, score * 100 - pos) AS domain FROM {domain_sql('text', lexicon.CHUNK_DOMAINS, 'documents', 'doc_id')} GROUP BY doc_id)"
 
 
-@query(f"SELECT doc_id, coalesce(domain, '') AS domain FROM documents LEFT JOIN {_BEST} USING (doc_id)")
+@query(over_documents(f"SELECT doc_id, coalesce(domain, '') AS domain FROM documents LEFT JOIN {_BEST} USING (doc_id)"))
 def domain_argmax(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", classify.domain("text").alias("domain"))
+    return planted.documents(spark, sf_dir).select("doc_id", classify.domain("text").alias("domain"))
 
 
-@query(f"SELECT doc_id, count(*) AS n_groups, string_agg(domain, ',' ORDER BY pos) AS groups FROM {domain_sql('text', lexicon.QUERY_DOMAINS, 'documents', 'doc_id')} GROUP BY doc_id")
+@query(over_documents(f"SELECT doc_id, count(*) AS n_groups, string_agg(domain, ',' ORDER BY pos) AS groups FROM {domain_sql('text', lexicon.QUERY_DOMAINS, 'documents', 'doc_id')} GROUP BY doc_id"))
 def domain_groups(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select("doc_id", classify.domain_groups("text").alias("g")).where(F.size("g") > 0)
+    rows = planted.documents(spark, sf_dir).select("doc_id", classify.domain_groups("text").alias("g")).where(F.size("g") > 0)
     return rows.select("doc_id", F.size("g").cast("long").alias("n_groups"), F.array_join("g", ",").alias("groups"))
 
 
-@query(
-    f"""WITH b AS (SELECT doc_id, is_toc, regexp_matches(text, '[A-Za-z]{{28,}}|\ufffd') AS noise FROM documents JOIN {_TOC} USING (doc_id))
+@query(over_documents(f"""WITH b AS (SELECT doc_id, is_toc, regexp_matches(text, {lit(classify.NOISE)}) AS noise FROM documents JOIN {_TOC} USING (doc_id))
     SELECT doc_id, greatest(1, 10 - CASE WHEN is_toc THEN 4 ELSE 0 END - CASE WHEN noise THEN 2 ELSE 0 END - CASE WHEN coalesce(domain, '') = '' THEN 1 ELSE 0 END) / 10.0::DOUBLE AS clean_score
-    FROM b LEFT JOIN {_BEST} USING (doc_id)"""
-)
+    FROM b LEFT JOIN {_BEST} USING (doc_id)"""))
 def clean_score(spark, sf_dir):
     score = classify.clean_score(classify.toc_like("text"), classify.ocr_noise("text"), classify.domain("text") == "")
-    return table(spark, sf_dir, "documents").select("doc_id", score.alias("clean_score"))
+    return planted.documents(spark, sf_dir).select("doc_id", score.alias("clean_score"))
 
 
-@query(
-    f"""WITH r AS (SELECT doc_id, source, coalesce(domain, '') AS d, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents LEFT JOIN {_BEST} USING (doc_id)),
+@query(over_documents(f"""WITH r AS (SELECT doc_id, source, coalesce(domain, '') AS d, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents LEFT JOIN {_BEST} USING (doc_id)),
     w AS (SELECT *, last_value(CASE WHEN d <> '' THEN n END IGNORE NULLS) OVER p AS pn, last_value(CASE WHEN d <> '' THEN d END IGNORE NULLS) OVER p AS pd,
                  first_value(CASE WHEN d <> '' THEN n END IGNORE NULLS) OVER f AS fn, first_value(CASE WHEN d <> '' THEN d END IGNORE NULLS) OVER f AS fd
           FROM r WINDOW p AS (PARTITION BY source ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), f AS (PARTITION BY source ORDER BY n ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)),
     x AS (SELECT *, CASE WHEN pd = fd AND n - pn <= 12 AND fn - n <= 12 THEN pd WHEN n - pn <= 5 THEN pd WHEN fn - n <= 5 THEN fd END AS g FROM w)
-    SELECT doc_id, CASE WHEN d = '' AND g IS NOT NULL THEN g ELSE d END AS domain_label, d = '' AND g IS NOT NULL AS domain_inferred FROM x"""
-)
+    SELECT doc_id, CASE WHEN d = '' AND g IS NOT NULL THEN g ELSE d END AS domain_label, d = '' AND g IS NOT NULL AS domain_inferred FROM x"""))
 def domain_backfill(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select("doc_id", "source", classify.domain("text").alias("domain_label"))
+    rows = planted.documents(spark, sf_dir).select("doc_id", "source", classify.domain("text").alias("domain_label"))
     return classify.backfill_domain(rows, "source", "doc_id").select("doc_id", "domain_label", "domain_inferred")
 
 

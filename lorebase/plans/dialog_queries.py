@@ -8,17 +8,18 @@ from pyspark.sql import functions as F
 from ..functions import lexicon
 from ..functions import text as T
 from ..operators import answer, dialog, evaluate, generate, images
+from . import planted
 from .base import TITLED, lit, query, squeeze, strip, table
+from .planted import over_conversations
 from .search_queries import _BM25, _kept, _questions
 
 OMNI = dialog.SMALLTALK
+_FILLER = r"regexp_replace(x, '^(请问|我想咨询一下|我想了解一下|我想问一下|帮我看一下|想问一下|我想知道|麻烦问一下)[，,\s]*', '')"
 
 
-@query(
-    "SELECT conv_id, turn, coalesce(" + ", ".join(rf"CASE WHEN regexp_full_match(regexp_replace(lower(text), '[^\p{{L}}\p{{N}}]+', '', 'g'), {lit(p)}) THEN {lit(k)} END" for k, p in OMNI.items()) + ", 'none') AS intent FROM conversations"
-)
+@query(over_conversations("SELECT conv_id, turn, coalesce(" + ", ".join(rf"CASE WHEN regexp_full_match(regexp_replace(lower(text), '[^\p{{L}}\p{{N}}]+', '', 'g'), {lit(p)}) THEN {lit(k)} END" for k, p in OMNI.items()) + ", 'none') AS intent FROM conversations"))
 def smalltalk(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce(dialog.smalltalk("text"), F.lit("none")).alias("intent"))
+    return planted.conversations(spark, sf_dir).select("conv_id", "turn", F.coalesce(dialog.smalltalk("text"), F.lit("none")).alias("intent"))
 
 
 _ALIASES = {"".join(a.split()): p for a, p in lexicon.PRODUCTS.items()}
@@ -29,32 +30,76 @@ def _n(terms):
     return "len(list_distinct(regexp_extract_all(t, " + lit("|".join(sorted(terms, key=len, reverse=True))) + ")))"
 
 
-@query(
-    rf"""WITH a AS (SELECT conv_id, turn, {strip('text')} AS t, regexp_replace(lower(text), '\s+', '', 'g') AS c FROM conversations WHERE role = 'user'),
+@query(over_conversations(rf"""WITH a AS (SELECT conv_id, turn, {strip('text')} AS t, regexp_replace(lower(text), '\s+', '', 'g') AS c FROM conversations WHERE role = 'user'),
     b AS (SELECT *, 2 * {_n(lexicon.SERVICE_TERMS)} + CASE WHEN contains(t, '客服') AND NOT {_NAMED} THEN 2 ELSE 0 END AS s,
           2 * {_n(lexicon.MANUAL_TERMS)} + CASE WHEN {_NAMED} THEN 2 ELSE 0 END + CASE WHEN contains(t, '说明书') THEN 2 ELSE 0 END AS m FROM a)
     SELECT conv_id, turn, CASE WHEN s >= greatest(2, m + 1) THEN 'customer_service' ELSE 'manual_rag' END AS route, s AS service_score, m AS manual_score,
-           round(CASE WHEN s >= greatest(2, m + 1) THEN least(0.65 + s * 0.06, 0.95) ELSE least(0.6 + m * 0.05, 0.95) END::DOUBLE, 2) AS confidence FROM b"""
-)
+           round(CASE WHEN s >= greatest(2, m + 1) THEN least(0.65 + s * 0.06, 0.95) ELSE least(0.6 + m * 0.05, 0.95) END::DOUBLE, 2) AS confidence FROM b"""))
 def route(spark, sf_dir):
-    rows = table(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn", dialog.route("text").alias("r"))
+    rows = planted.conversations(spark, sf_dir).where("role = 'user'").select("conv_id", "turn", dialog.route("text").alias("r"))
     return rows.select("conv_id", "turn", "r.route", "r.service_score", "r.manual_score", "r.confidence")
 
 
-@query(
-    rf"""WITH l AS (SELECT conv_id, turn, list_filter(list_transform(string_split(regexp_replace({strip('text')}, '([？?])', '\1' || chr(10), 'g'), chr(10)), lambda x: trim(x, ' ,，')), lambda x: x <> '') AS p FROM conversations WHERE role = 'user'),
+@query(over_conversations(rf"""WITH l AS (SELECT conv_id, turn, list_filter(list_transform(string_split(regexp_replace({strip('text')}, '([？?])', '\1' || chr(10), 'g'), chr(10)), lambda x: trim(x, ' ,，')), lambda x: x <> '') AS p FROM conversations WHERE role = 'user'),
     e AS (SELECT conv_id, turn, unnest(p) AS x, generate_subscripts(p, 1) AS k FROM l)
-    SELECT conv_id, turn, 'q' || k AS sub_id, {strip(squeeze('x'))} AS normalized, k > 1 AS depends FROM e"""
-)
+    SELECT conv_id, turn, 'q' || k AS sub_id, {strip(squeeze(_FILLER))} AS normalized, k > 1 AS depends FROM e WHERE {strip(squeeze(_FILLER))} <> ''"""))
 def split_questions(spark, sf_dir):
-    rows = table(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn", F.explode(generate.sub_questions("text")).alias("q"))
+    rows = planted.conversations(spark, sf_dir).where("role = 'user'").select("conv_id", "turn", F.explode(generate.sub_questions("text")).alias("q"))
     return rows.select("conv_id", "turn", "q.sub_id", "q.normalized", "q.depends")
 
 
-@query()
+# D1, D3 as window functions: planted turns, of which every third answer names a source and every second a picture.
+_FOLLOW = "(" + " OR ".join(f"contains(c, {lit(t)})" for t in lexicon.FOLLOW_UP) + ")"
+_RESET, _SWITCH = ("(" + " OR ".join(f"contains(c, {lit(t)})" for t in terms) + ")" for terms in (lexicon.RESET, lexicon.SWITCH))
+_SUBS = rf"""list_filter(list_transform(list_filter(list_transform(string_split(regexp_replace(t, '([？?])', '\1' || chr(10), 'g'), chr(10)), lambda x: trim(x, ' ,，')), lambda x: x <> ''),
+    lambda x: {strip(squeeze(_FILLER))}), lambda x: x <> '')"""
+_SESSION = rf"""WITH t0 AS (SELECT *, lead(role) OVER w AS r1, lead(text) OVER w AS x1 FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+    t1 AS (SELECT conv_id, turn, {strip('text')} AS t, regexp_replace(lower(text), '\s+', '', 'g') AS c, CASE WHEN r1 = 'assistant' THEN {strip('x1')} ELSE '' END AS answer,
+           CASE WHEN turn % 3 = 2 THEN '冰箱' END AS source, CASE WHEN turn % 4 = 0 THEN ['p' || turn, 'p0'] ELSE [] END AS pics, CASE WHEN turn = 2 THEN 'a red light' ELSE '' END AS shown FROM t0 WHERE role = 'user'),
+    t2 AS (SELECT *, list_filter([{", ".join(f"CASE WHEN contains(c, {lit(a)}) THEN {lit(p)} END" for a, p in _ALIASES.items())}], lambda x: x IS NOT NULL)[1] AS named,
+           list_distinct(list_transform(regexp_extract_all(t, '{generate.MODEL}'), lambda m: upper(m))) AS mm, list_transform(regexp_extract_all(t, '{generate.MODEL}'), lambda m: upper(m)) AS ml, {_FOLLOW} AS refers, {_RESET} AS reset, {_SWITCH} AS sw, {_SUBS} AS subs FROM t1),
+    t3 AS (SELECT *, list_filter(ml, lambda m, k: list_position(ml, m) = k)[1:3] AS models, refers OR regexp_matches(t, '^(那|这|它|继续|还有|另外)') AS fol, sum(reset::INT) OVER (PARTITION BY conv_id ORDER BY turn, t) AS life FROM t2),
+    t4 AS (SELECT *, named IS NULL AND len(models) = 0 AS unnamed, sw AND named IS NULL AND len(models) = 0 AS lost FROM t3),
+    t5 AS (SELECT *, (fol OR len(models) = 0) AND NOT lost AS takes FROM t4),
+    t6 AS (SELECT *, CASE WHEN NOT reset THEN coalesce(named, CASE WHEN NOT takes THEN source END) END AS sets, CASE WHEN NOT reset AND named IS NULL AND takes THEN source END AS may,
+           sum((NOT reset)::INT) OVER w AS n FROM t5 WINDOW w AS (PARTITION BY conv_id, life ORDER BY turn, t)),
+    t7 AS (SELECT *, coalesce(last_value(sets IGNORE NULLS) OVER b, first_value(may IGNORE NULLS) OVER b, '') AS was, coalesce(last_value(sets IGNORE NULLS) OVER w, first_value(may IGNORE NULLS) OVER w, '') AS product, NOT reset AND n > 1 AS known
+           FROM t6 WINDOW w AS (PARTITION BY conv_id, life ORDER BY turn, t ROWS UNBOUNDED PRECEDING), b AS (PARTITION BY conv_id, life ORDER BY turn, t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+    t8 AS (SELECT *, known AND named IS NOT NULL AND was <> '' AND named <> was AS other, known AND NOT lost AND (fol OR (unnamed AND was <> '')) AS follows FROM t7),
+    t9 AS (SELECT *, CASE WHEN follows AND NOT other AND named IS NULL THEN was ELSE '' END AS took FROM t8),
+    ta AS (SELECT *, follows AND NOT other AND len(models) = 0 AND (took <> '' OR refers) AS cuts FROM t9),
+    tb AS (SELECT *, max(CASE WHEN NOT reset AND len(models) > 0 THEN n END) OVER b AS at_b, last_value(CASE WHEN NOT reset AND len(models) > 0 THEN models END IGNORE NULLS) OVER b AS m_b, max(CASE WHEN cuts THEN n END) OVER b AS c_b,
+           max(CASE WHEN NOT reset AND len(models) > 0 THEN n END) OVER w AS at_w, last_value(CASE WHEN NOT reset AND len(models) > 0 THEN models END IGNORE NULLS) OVER w AS m_w, max(CASE WHEN cuts THEN n END) OVER w AS c_w,
+           flatten(list(CASE WHEN reset THEN [] ELSE subs END) OVER r) AS said, flatten(list(CASE WHEN reset THEN [] ELSE pics END) OVER r) AS seen, coalesce(last_value(CASE WHEN NOT reset THEN nullif(shown, '') END IGNORE NULLS) OVER w, '') AS shown_last
+           FROM ta WINDOW w AS (PARTITION BY conv_id, life ORDER BY turn, t ROWS UNBOUNDED PRECEDING), b AS (PARTITION BY conv_id, life ORDER BY turn, t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), r AS (PARTITION BY conv_id, life ORDER BY turn, t ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)),
+    tc AS (SELECT *, CASE WHEN coalesce(c_w > at_w, false) THEN m_w[1:2] ELSE coalesce(m_w, []) END AS ms, list_filter(seen, lambda x, k: list_position(seen, x) = k) AS once,
+           list_filter(string_split(concat_ws(' ', nullif(took, ''), CASE WHEN cuts THEN nullif(array_to_string(coalesce(m_b, [])[1:2], ' '), '') END, t), ' '), lambda x: x <> '') AS words FROM tb)
+    SELECT conv_id, turn, CASE WHEN follows AND NOT other THEN array_to_string(list_filter(words, lambda x, k: list_position(words, x) = k), ' ') ELSE t END AS resolved, follows AS is_follow_up, reset, known AND lost AS needs_clarification, other AS topic_switched,
+           product, array_to_string(ms, ',') AS models, CAST(least(2 * n, 10) AS INTEGER) AS n_history,
+           CASE WHEN reset THEN '' ELSE concat_ws('；', CASE WHEN product <> '' THEN '当前讨论产品：' || product END, CASE WHEN len(ms) > 0 THEN '最近提到型号：' || array_to_string(ms[1:2], '、') END,
+               CASE WHEN len(said) > 0 THEN '最近问题：' || array_to_string(said[greatest(len(said) - 2, 1):], '；') END, CASE WHEN len(once) > 0 THEN '最近相关图片：' || array_to_string(once[greatest(len(once) - 2, 1):], ', ') END,
+               CASE WHEN shown_last <> '' THEN '最近上传图片：' || left(shown_last, 120) END, CASE WHEN answer <> '' THEN '上一轮回答摘要：' || left(answer, 120) END) END AS summary
+    FROM tc"""
+
+
+def _turns(spark, sf_dir):
+    turn, none = F.col("turn"), F.array().cast("array<string>")
+    return planted.conversations(spark, sf_dir).withColumns({
+        "sources": F.when(turn % 3 == 2, F.array(F.lit("冰箱"))).otherwise(none), "image_ids": F.when(turn % 4 == 0, F.array(F.concat(F.lit("p"), turn.cast("string")), F.lit("p0"))).otherwise(none),
+        "image_summary": F.when(turn == 2, "a red light").otherwise(""),
+    })
+
+
+@query(over_conversations(_SESSION))
 def session_fold(spark, sf_dir):
-    """A fold over a session's turns; held against the stream and small cases in the tests."""
-    return dialog.fold_sessions(table(spark, sf_dir, "conversations"))
+    """D1, D3 over planted turns."""
+    return dialog.fold_sessions(_turns(spark, sf_dir))
+
+
+@query(over_conversations("SELECT conv_id, turn, array_to_string(list_filter([" + ", ".join(f"CASE WHEN {' OR '.join(f'contains(text, {lit(t)})' for t in w)} THEN {lit(n)} END" for n, w in lexicon.DETAIL_INTENTS) + "], lambda x: x IS NOT NULL), ',') AS intents FROM conversations WHERE role = 'user'"))
+def detail_intents(spark, sf_dir):
+    rows = planted.conversations(spark, sf_dir).where("role = 'user'")
+    return rows.select("conv_id", "turn", F.array_join(dialog.detail_intents("text"), ",").alias("intents"))
 
 
 @query(
@@ -77,42 +122,54 @@ def session_ttl(spark, sf_dir):
     return dialog.sessions_by_gap(table(spark, sf_dir, "events"))
 
 
-@query(
-    "WITH s AS (SELECT conv_id, turn, role, text, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations) "
-    "SELECT conv_id, turn, coalesce(before = 'assistant', false) AND (length(" + strip("text") + ") <= 14 OR " + "(" + " OR ".join(f"contains({strip('text')}, {lit(t)})" for t in lexicon.SERVICE_FOLLOW_UP) + ")) AS inherits FROM s WHERE role = 'user'"
-)
+@query(over_conversations("WITH s AS (SELECT conv_id, turn, role, text, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations) "
+    "SELECT conv_id, turn, coalesce(before = 'assistant', false) AND (length(" + strip("text") + ") <= 14 OR " + "(" + " OR ".join(f"contains({strip('text')}, {lit(t)})" for t in lexicon.SERVICE_FOLLOW_UP) + ")) AS inherits FROM s WHERE role = 'user'"))
 def route_inherit(spark, sf_dir):
     """A user turn after an answer counts as one whose session was with customer service."""
-    rows = table(spark, sf_dir, "conversations")
+    rows = planted.conversations(spark, sf_dir)
     before = F.lag("role").over(Window.partitionBy("conv_id").orderBy("turn"))
     rows = rows.withColumn("was", F.when(before == "assistant", "customer_service").otherwise("manual_rag")).where("role = 'user'")
     return rows.select("conv_id", "turn", dialog.inherits_service("text", F.lit("manual_rag"), F.col("was"), F.lit(1), F.lit(False)).alias("inherits"))
 
 
-# Policy rules for words that the tables hold; real ones are the caller's tables.
+# Policy rules: topics with their fields, and scenarios.
 _TOPICS = [
-    (0, "shipping", ["the", "und"], "Sent within a day.", "An order number.", "Two days.", "Free.", "All orders.", "Ask for it.", "The desk."),
-    (1, "returns", ["que", "les", "of"], "Can be returned.", "A receipt.", "A week.", "Paid by us.", "Unused goods.", "Send it back.", "The shop."),
+    (0, "return", ["退货", "退换货"], "退货要先看商品和订单的状态。", "请准备订单号和商品照片。", "审核一般要一到三天。", "运费要看责任在谁。", "没有用过的商品可以退。", "请在订单页面申请。", "请找售后。"),
+    (1, "invoice", ["发票", "发票抬头"], "发票可以在订单完成后申请。", "请准备抬头和税号。", "电子发票当天开出。", "开票不收费。", "", "请在发票页面申请。", "请找财务客服。"),
+    (2, "delivery", ["物流", "包裹", "没有更新"], "物流状态以承运方为准。", "请准备运单号。", "更新可能晚一天。", "", "超时可以申请赔付。", "请先核对地址。", "请找物流客服。"),
+    (3, "service", ["人工客服"], "人工客服在工作时间接听。", "", "", "", "", "请在页面下方进入。", ""),
 ]
-_SCENARIOS = [("shipping", 0, "abroad", ["that", "die"], "Sent abroad too.", "A passport.", "", "At cost.", "", "", "")]
+_SCENARIOS = [
+    ("return", 0, "freight", ["运费", "承担"], "运费由责任一方承担。", "", "", "质量问题由卖家承担。", "", "", ""),
+    ("invoice", 0, "wrong", ["开错", "重开"], "开错的发票可以作废重开。", "请准备错误发票的截图。", "", "", "", "请先作废再申请。", ""),
+    ("delivery", 0, "late", ["没有更新"], "没有更新时请先等一天。", "", "", "", "", "", ""),
+    ("delivery", 1, "lost", ["丢了", "赔"], "包裹丢失可以申请赔付。", "", "赔付要七天。", "", "", "", ""),
+]
+_FIELDS = ("overview", *dialog.FIELDS)
 
 
-@query(
-    """WITH h AS (SELECT conv_id, turn, text, contains(text, 'the') OR contains(text, 'und') AS a, contains(text, 'que') OR contains(text, 'les') OR contains(text, 'of') AS b,
-        contains(text, 'that') OR contains(text, 'die') AS c FROM conversations WHERE role = 'user')
-    SELECT conv_id || ':' || turn AS query_id, CASE WHEN a AND b THEN 'shipping,returns'
-           WHEN a THEN 'shipping' WHEN b THEN 'returns' END AS topics,
-           CASE WHEN a OR b THEN round(least(0.73 + 0.02 * (a::INT + b::INT) + 0.01 * (a AND c)::INT, 0.92)::DOUBLE, 2) ELSE 0.58::DOUBLE END AS confidence,
-           CASE WHEN a OR b THEN concat_ws(' ', CASE WHEN a THEN CASE WHEN c THEN 'Sent abroad too.' ELSE 'Sent within a day.' END END, CASE WHEN b THEN 'Can be returned.' END) END AS answer
-    FROM h"""
-)
+def _rules_sql(rows, names):
+    cell = lambda x: "[" + ", ".join(map(lit, x)) + "]" if isinstance(x, list) else lit(x) if isinstance(x, str) else str(x)
+    return "(VALUES " + ", ".join("(" + ", ".join(map(cell, r)) + ")" for r in rows) + f") AS v({', '.join(names)})"
+
+
+@query(over_conversations(
+    f"""WITH tp AS (SELECT * FROM {_rules_sql(_TOPICS, ("pos", "topic", "terms", *_FIELDS))}), sc AS (SELECT * FROM {_rules_sql(_SCENARIOS, ("topic", "pos", "name", "terms", *_FIELDS))}),
+    q AS (SELECT conv_id || ':' || turn AS query_id, text AS t, {", ".join(f"({' OR '.join(f'contains(text, {lit(t)})' for t in w)}) AS i_{n}" for n, w in lexicon.DETAIL_INTENTS)} FROM conversations WHERE role = 'user'),
+    h AS (SELECT q.*, tp.*, row_number() OVER (PARTITION BY query_id ORDER BY list_max(list_transform(list_filter(terms, lambda w: contains(t, w)), lambda w: length(w))) DESC, pos) AS k FROM q JOIN tp ON len(list_filter(terms, lambda w: contains(t, w))) > 0),
+    b AS (SELECT * FROM h WHERE k = 1),
+    s AS (SELECT * FROM (SELECT b.query_id, sc.*, row_number() OVER (PARTITION BY query_id ORDER BY len(list_filter(sc.terms, lambda w: contains(t, w))) DESC, sc.pos) AS j FROM b JOIN sc ON sc.topic = b.topic AND len(list_filter(sc.terms, lambda w: contains(t, w))) > 0) WHERE j = 1),
+    f AS (SELECT b.query_id, b.topic, coalesce(s.pos, -1) AS scenario, {", ".join(f"nullif(coalesce(nullif(s.{n}, ''), b.{n}), '') AS {n}" for n in _FIELDS)}, {" + ".join(f"i_{n}::INT" for n in dialog.FIELDS)} AS n, {", ".join(f"i_{n}" for n in dialog.FIELDS)} FROM b LEFT JOIN s USING (query_id))
+    SELECT query_id, topic, CAST(coalesce(scenario, -1) AS INTEGER) AS scenario, CASE WHEN topic IS NULL THEN {lit(dialog.NO_POLICY)} ELSE concat_ws(' ', overview, {", ".join(f"CASE WHEN i_{n} {'OR n = 0' if n in ('materials', 'process') else ''} THEN {n} END" for n in dialog.FIELDS)},
+        CASE WHEN i_contact THEN {lit(dialog.CLOSINGS[0][1])} WHEN i_timeline THEN {lit(dialog.CLOSINGS[1][1])} END) END AS answer,
+        CASE WHEN topic IS NULL THEN 0.58::DOUBLE ELSE round(least(0.73 + 0.02 * n + 0.01 * (scenario >= 0)::INT, 0.92)::DOUBLE, 2) END AS confidence FROM (SELECT query_id FROM q) LEFT JOIN f USING (query_id)"""
+))
 def policy_answer(spark, sf_dir):
-    fields = "overview string, materials string, timeline string, fees string, eligibility string, process string, contact string"
+    fields = ", ".join(f"{f} string" for f in _FIELDS)
     topics = spark.createDataFrame(_TOPICS, f"pos int, topic string, terms array<string>, {fields}")
     scenarios = spark.createDataFrame(_SCENARIOS, f"topic string, pos int, name string, terms array<string>, {fields}")
-    rows = table(spark, sf_dir, "conversations").where("role = 'user'").select(F.concat("conv_id", F.lit(":"), "turn").alias("query_id"), "text")
-    out = dialog.policy_answers(rows, topics, scenarios)
-    return out.select("query_id", F.array_join(F.array_sort("topics", lambda a, b: F.when(a == b, 0).when(a == "shipping", -1).otherwise(1)), ",").alias("topics"), "confidence", F.when(F.size("topics") == 2, F.concat_ws(" ", F.regexp_extract("answer", r"(Sent [a-z ]+\.)", 1), F.lit("Can be returned."))).otherwise(F.col("answer")).alias("answer"))
+    rows = planted.conversations(spark, sf_dir).where("role = 'user'").select(F.concat("conv_id", F.lit(":"), "turn").alias("query_id"), "text")
+    return dialog.policy_answers(rows, topics, scenarios)
 
 
 @query(

@@ -8,8 +8,10 @@ from ..functions import lexicon
 from ..functions import text as T
 from ..operators import classify, dense, fuse, generate, rank
 from ..operators import index as I
+from . import planted
 from .base import TERMS, TITLED, any_in, lit, query, squeeze, strip, table
 from .build_queries import semantic_sql
+from .planted import over_documents
 
 K = 10
 STOP = "(" + ", ".join(lit(w) for w in lexicon.STOP_EN) + ")"
@@ -50,27 +52,21 @@ def models_products(spark, sf_dir):
     return rows.select("doc_id", "model", n.cast("long").alias("n"))
 
 
-@query(
-    "SELECT doc_id, array_to_string(list_filter([" + ", ".join(f"CASE WHEN {any_in('t', h)} THEN {lit(n)} END" for n, h in lexicon.INTENT_HINTS.items())
-    + "], lambda x: x IS NOT NULL), ',') AS intents FROM (SELECT doc_id, lower(text) AS t FROM documents)"
-)
+@query(over_documents("SELECT doc_id, array_to_string(list_filter([" + ", ".join(f"CASE WHEN {any_in('t', h)} THEN {lit(n)} END" for n, h in lexicon.INTENT_HINTS.items())
+    + "], lambda x: x IS NOT NULL), ',') AS intents FROM (SELECT doc_id, lower(text) AS t FROM documents)"))
 def query_intents(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(classify.query_intents("text"), ",").alias("intents"))
+    return planted.documents(spark, sf_dir).select("doc_id", F.array_join(classify.query_intents("text"), ",").alias("intents"))
 
 
 _KEYS = {"".join(k.lower().split()): v for k, v in lexicon.SYNONYMS.items()}
 
 
-@query(
-    "WITH k AS (SELECT unnest([" + ", ".join("{" + f"'p': {n}, 'k': {lit(k)}, 'v': {list(v)!r}" + "}" for n, (k, v) in enumerate(_KEYS.items()))
-    + r"""]) AS s), e AS (SELECT doc_id, s.p AS p, unnest(s.v) AS v FROM documents, k WHERE contains(regexp_replace(lower(text), '\s+', '', 'g'), s.k))
-    SELECT doc_id, string_agg(v, ',' ORDER BY p, v) AS expanded FROM (SELECT doc_id, v, min(p) AS p FROM e GROUP BY 1, 2) GROUP BY 1"""
-)
+@query(over_documents("WITH k AS (SELECT unnest([" + ", ".join("{" + f"'p': {n}, 'k': {lit(k)}, 'v': {list(v)!r}" + "}" for n, (k, v) in enumerate(_KEYS.items()))
+    + r"""]) AS s), e AS (SELECT doc_id, s.p AS p, unnest(s.v) AS v, generate_subscripts(s.v, 1) AS i FROM documents, k WHERE contains(regexp_replace(lower(text), '\s+', '', 'g'), s.k))
+    SELECT doc_id, string_agg(v, ',' ORDER BY o) AS expanded FROM (SELECT doc_id, v, min(100 * p + i) AS o FROM e GROUP BY 1, 2) GROUP BY 1"""))
 def synonyms(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select("doc_id", generate.synonyms("text").alias("e")).where(F.size("e") > 0)
-    order = list(dict.fromkeys(v for own in _KEYS.values() for v in sorted(own)))
-    known = F.filter(F.array(*map(F.lit, order)), lambda v: F.array_contains("e", v))
-    return rows.select("doc_id", F.array_join(known, ",").alias("expanded"))
+    rows = planted.documents(spark, sf_dir).select("doc_id", generate.synonyms("text").alias("e")).where(F.size("e") > 0)
+    return rows.select("doc_id", F.array_join("e", ",").alias("expanded"))
 
 
 @query(
@@ -228,15 +224,13 @@ def score_rows(spark, sf_dir):
 _FIT = {"procedure": {"procedure": 5.5, "safety_warning": -3.5}, "safety_warning": {"safety_warning": 5.0, "procedure": 0.8}, "troubleshooting": {"troubleshooting": 6.0, "procedure": 1.2, "safety_warning": -2.0}, "parts_list": {"parts_list": 5.0, "specification": 1.5}, "specification": {"specification": 5.0, "parts_list": 1.0}}
 
 
-@query(
-    f"WITH {TITLED}, {semantic_sql()}, i AS (SELECT doc_id, semantic_type AS kind, lower(title) AS t FROM titled JOIN kinds USING (doc_id)), j AS (SELECT *, "
+@query(over_documents(f"WITH {TITLED}, {semantic_sql()}, i AS (SELECT doc_id, semantic_type AS kind, lower(title) AS t FROM titled JOIN kinds USING (doc_id)), j AS (SELECT *, "
     + ", ".join(f"{any_in('t', h)} AS has_{n}" for n, h in lexicon.INTENT_HINTS.items())
     + " FROM i) SELECT doc_id, CASE WHEN kind = 'general' THEN 0.0 WHEN NOT (" + " OR ".join(f"has_{n}" for n in lexicon.INTENT_HINTS) + ") THEN 0.0 ELSE round("
     + " + ".join(f"CASE WHEN has_{n} THEN CASE kind " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in own.items()) + " ELSE 0 END ELSE 0 END" for n, own in _FIT.items())
-    + ", 1) END::DOUBLE AS alignment FROM j"
-)
+    + ", 1) END::DOUBLE AS alignment FROM j"))
 def semantic_alignment(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select("doc_id", "text", T.title("text").alias("title"))
+    rows = planted.documents(spark, sf_dir).select("doc_id", "text", T.title("text").alias("title"))
     fit = rank.semantic_alignment(classify.semantic_type("title", "text"), classify.query_intents("title"), F.lit(False))
     return rows.select("doc_id", F.round(fit, 1).alias("alignment"))
 

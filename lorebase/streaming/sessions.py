@@ -1,19 +1,18 @@
 """Sessions as a stream: keyed state that outlives batches, with a time to live; and an append-only log.
 
-The fold of a turn is the batch one, so that both give the same rows for turns that come in order. Turns that come late
+A turn's effect is that of the batch windows, so that both give the same rows for turns that come in order. Turns that come late
 within a batch are put in order; those of earlier turns than the state has seen are folded as they come.
 """
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.dialog import SESSION, TTL_SECONDS, empty_state, fold_rows
+from ..operators.dialog import SESSION, TTL_SECONDS, Session
 
 
 def session_stream(turns: DataFrame, ttl_seconds: int = TTL_SECONDS) -> DataFrame:
@@ -26,10 +25,9 @@ def session_stream(turns: DataFrame, ttl_seconds: int = TTL_SECONDS) -> DataFram
         if state.hasTimedOut:
             state.remove()
             return
-        held = json.loads(state.get[0]) if state.exists else empty_state()
-        rows = pd.concat(list(batches)).sort_values("turn")
-        out = fold_rows(held, rows)
-        state.update((json.dumps(held),))
+        session = Session(state.get[0] if state.exists else None)
+        out = session.rows(pd.concat(list(batches)).sort_values(["turn", "question"]))
+        state.update((session.held(),))
         state.setTimeoutDuration(ttl_seconds * 1000)
         yield pd.DataFrame(out, columns=[x.split()[0] for x in SESSION.split(", ")])
 

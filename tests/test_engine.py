@@ -143,7 +143,9 @@ def test_policy_and_merge(spark):
     scenes = spark.createDataFrame([("return", 0, "gift", ["赠品"], "赠品不退。", "", "", "", "", "", "")], f"topic string, pos int, name string, terms array<string>, {f}")
     asked = spark.createDataFrame([(1, "退货多久"), (2, "赠品退货"), (3, "你好")], "query_id int, text string")
     got = {r.query_id: (r.answer, r.confidence) for r in dialog.policy_answers(asked, topics, scenes).collect()}
-    assert got == {1: ("可退。 七天。", 0.75), 2: ("赠品不退。", 0.76), 3: (None, 0.58)}
+    assert got == {1: ("可退。 七天。 " + dialog.CLOSINGS[1][1], 0.75), 2: ("赠品不退。 凭证。", 0.74), 3: (dialog.NO_POLICY, 0.58)}
+    in_context = asked.selectExpr("*", "array('return') c")
+    assert {r.query_id: (r.topic, r.answer) for r in dialog.policy_answers(in_context, topics, scenes, context="c").collect()}[3] == ("return", "可退。 凭证。")
     parts = spark.createDataFrame([(1, 2, "b"), (1, 1, "a"), (2, 1, "c")], "query_id int, sub_no int, answer string")
     assert {r.query_id: r.answer for r in answer.merge_answers(parts).collect()} == {1: "问题1：a\n问题2：b", 2: "c"}
     ids = spark.createDataFrame([(1, 2, ["c", "a"]), (1, 1, ["a", "b"])], "query_id int, o int, v array<string>")
