@@ -13,22 +13,21 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import re
 from functools import lru_cache
 from typing import NamedTuple
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, map_texts
+from .common import bounded_batches, map_columns
+from .segments import Memo, raw
 
-#: White space and what follows, up to the next white space. The characters 1c to 1f are white space for Python alone.
-#: No match of the pattern crosses from a character that isn't white space to one that is, so such a segment can be
-#: encoded by itself.
-SEGMENT = re.compile("[^\\S\x1c-\x1f]*[\\S\x1c-\x1f]+|[^\\S\x1c-\x1f]+")
-#: Segments and pieces that a worker remembers; beyond that it starts anew, which costs time and changes nothing.
-MEMO_ROWS, MEMO_BYTES = 300_000, 48
+#: Pieces that a worker remembers, and the longest one; beyond that it starts anew, which costs time and changes nothing.
+PIECES, PIECE_BYTES = 200_000, 48
 
 
 class Node(NamedTuple):
@@ -178,48 +177,57 @@ class PrefixTable:
 
 
 class Encoder:
-    """Encodes texts: segments, then matches of the pattern, then the table of each match."""
+    """Encodes texts: distinct segments, then matches of the pattern, then the table of each match."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks, self.pieces = Ranks(ranks), regex.compile(pattern)
-        self.memo: dict[str, tuple[int, ...]] = {}
-        self.by_piece: dict[str, list[int]] = {}
+        self.memo = Memo(self._segments)
+        self.by_piece: dict[bytes, list[int]] = {}
+        self.tokens = pa.array([self.ranks.bytes_of.get(k, b"") for k in range(self.ranks.size)], pa.binary())
 
-    def piece(self, text: str) -> list[int]:
+    def piece(self, data: bytes) -> list[int]:
         """A piece that is itself a token is that token, as in the library."""
-        known = self.by_piece.get(text)
+        known = self.by_piece.get(data)
         if known is None:
-            data = text.encode()
             whole = self.ranks.ranks.get(data)
             known = [whole] if whole is not None else PrefixTable(self.ranks, data).ids()
-            if len(text) <= MEMO_BYTES:
-                if len(self.by_piece) >= MEMO_ROWS:
+            if len(data) <= PIECE_BYTES:
+                if len(self.by_piece) >= PIECES:
                     self.by_piece.clear()
-                self.by_piece[text] = known
+                self.by_piece[data] = known
         return known
 
-    def segment(self, text: str) -> tuple[int, ...]:
-        known = tuple(i for p in self.pieces.findall(text) for i in self.piece(p))
-        if len(text) <= MEMO_BYTES:
-            if len(self.memo) >= MEMO_ROWS:
-                self.memo.clear()
-            self.memo[text] = known
-        return known
+    def _segments(self, segments: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        ids, sizes, piece, find = [], [], self.piece, self.pieces.findall
+        for s in segments:
+            before = len(ids)
+            if s[1:].isalpha() and s[0] == 32:
+                ids += piece(s)  # a space and ASCII letters: one match
+            else:
+                for p in find(s.decode()):
+                    ids += piece(p.encode())
+            sizes.append(len(ids) - before)
+        return np.array(ids, np.uint32), np.array(sizes, np.int64)
+
+    def encode_column(self, column: pa.Array) -> pa.ListArray:
+        """The ids of each text of a column."""
+        ids, texts = self.memo.encode(column)
+        return pa.ListArray.from_arrays(pa.array(texts, pa.int32()), pa.array(ids.view(np.int32)))
+
+    def decode_column(self, ids: pa.ListArray) -> pa.BinaryArray:
+        """The bytes of each list of ids."""
+        flat, texts = ids.flatten(), np.r_[0, np.cumsum(pc.fill_null(pc.list_value_length(ids), 0).to_numpy())]
+        taken = self.tokens.take(flat)
+        at = np.frombuffer(taken.buffers()[1], np.int32)[: len(taken) + 1] if len(taken) else np.zeros(1, np.int32)
+        data = taken.buffers()[2] if len(taken) else pa.py_buffer(b"")
+        return pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(at[texts].astype(np.int32)), data])
 
     def encode(self, text: str) -> list[int]:
-        get, out = self.memo.get, []
-        for s in SEGMENT.findall(text):
-            out += get(s) or self.segment(s)
-        return out
+        return self.encode_column(pa.array([text]))[0].as_py()
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.ranks.bytes_of.__getitem__, ids))
 
-    def boundary(self, text: str, edit: int) -> int:
-        """The last place at or before edit where a segment surely begins, whatever follows."""
-        begins = [m.start() for m in SEGMENT.finditer(text, max(0, edit - 4096), edit)]
-        return begins[-2] if len(begins) > 1 else 0 if edit <= 4096 else self.boundary(text, edit - 4096)
-
 
 @lru_cache(4)
 def encoder(path: str, pattern: str) -> Encoder:
@@ -230,12 +238,15 @@ def encoder(path: str, pattern: str) -> Encoder:
 
 def encode(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, ids array<int>: the encoding of each whole text."""
+    return map_columns(docs, id_col, text_col, "ids array<int>", lambda: lambda texts: [encoder(ranks, pattern).encode_column(texts)])
 
-    def make():
-        codec = encoder(ranks, pattern)
-        return lambda texts: [[codec.encode(t) for t in texts]]
 
-    return map_texts(docs, id_col, text_col, "ids array<int>", make)
+def unchanged(decoded: pa.BinaryArray, texts: pa.Array) -> np.ndarray:
+    """Whether the bytes of each row are those of its text."""
+    (a, at), (b, of) = raw(decoded), raw(texts)
+    if len(at) == len(of) and (at == of).all() and np.array_equal(a, b):
+        return np.ones(len(texts), bool)
+    return np.fromiter((x == y.encode() for x, y in zip(decoded.to_pylist(), texts.to_pylist())), bool, len(texts))
 
 
 def encode_checked(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -245,12 +256,12 @@ def encode_checked(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc
         codec = encoder(ranks, pattern)
 
         def work(texts):
-            ids = [codec.encode(t) for t in texts]
-            return [ids, [len(i) for i in ids], [codec.decode(i) == t.encode() for i, t in zip(ids, texts)]]
+            ids = codec.encode_column(texts)
+            return [ids, pc.list_value_length(ids), unchanged(codec.decode_column(ids), texts)]
 
         return work
 
-    return map_texts(docs, id_col, text_col, "ids array<int>, n_tokens long, lossless boolean", make)
+    return map_columns(docs, id_col, text_col, "ids array<int>, n_tokens long, lossless boolean", make)
 
 
 def decode(encoded: DataFrame, ranks: str, pattern: str, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
@@ -265,6 +276,13 @@ def decode(encoded: DataFrame, ranks: str, pattern: str, ids_col: str = "ids", o
     return encoded.withColumn(out, run(F.col(ids_col)))
 
 
+def sha256_of(rows: pa.Array) -> list[str]:
+    """Lowercase hex digests of texts or bytes, read where they are."""
+    data, at = raw(rows)
+    view, sha = memoryview(np.ascontiguousarray(data)), hashlib.sha256
+    return [sha(view[s:e]).hexdigest() for s, e in zip(at[:-1].tolist(), at[1:].tolist())]
+
+
 def roundtrip(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_tokens, ids_sha256, decoded_sha256, lossless: encodes each whole text and decodes the ids.
 
@@ -273,20 +291,14 @@ def roundtrip(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id",
 
     def make():
         codec = encoder(ranks, pattern)
-        sha = hashlib.sha256
-        decimal = [str(k) for k in range(codec.ranks.size)]
+        decimal = pa.array([str(k) for k in range(codec.ranks.size)])
 
         def work(texts):
-            out: list[list] = [[], [], [], []]
-            for t in texts:
-                tokens = codec.encode(t)
-                data = codec.decode(tokens)
-                out[0].append(len(tokens))
-                out[1].append(sha(",".join(map(decimal.__getitem__, tokens)).encode()).hexdigest())
-                out[2].append(sha(data).hexdigest())
-                out[3].append(data == t.encode())
-            return out
+            ids = codec.encode_column(texts)
+            decoded = codec.decode_column(ids)
+            listed = pc.binary_join(pa.ListArray.from_arrays(ids.offsets, decimal.take(ids.values)), ",")
+            return [pc.list_value_length(ids), sha256_of(listed), sha256_of(decoded), unchanged(decoded, texts)]
 
         return work
 
-    return map_texts(docs, id_col, text_col, "n_tokens long, ids_sha256 string, decoded_sha256 string, lossless boolean", make)
+    return map_columns(docs, id_col, text_col, "n_tokens long, ids_sha256 string, decoded_sha256 string, lossless boolean", make)

@@ -25,7 +25,7 @@ SPACE[[*range(9, 14), 32]] = True
 WIDE2 = np.array([0xC285, 0xC2A0])
 WIDE3 = np.array([0xE19A80, *range(0xE28080, 0xE2808B), 0xE280A8, 0xE280A9, 0xE280AF, 0xE2819F, 0xE38080])
 #: Segments that a worker remembers, and the longest one; beyond that it starts anew, which costs time and changes nothing.
-MOST_ROWS, MOST_BYTES = 1_000_000, 48
+MOST_ROWS, MOST_BYTES = 300_000, 48
 
 
 def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
