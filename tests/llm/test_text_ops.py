@@ -5,6 +5,7 @@ import hashlib
 import random
 import struct
 
+import numpy as np
 import public_tokenizers as P
 import pytest
 
@@ -207,6 +208,24 @@ def test_secret_frame(spark):
     assert got[2].spans == "assign:0:13" and got[1].spans == "" and got[None].n_assign == 0
 
 
+def plain_vector(text):
+    """Signs and wide lanes of a text by whole numbers, one paragraph after the other."""
+    signs, wide = [0] * multiset.SIGNS, [0] * multiset.WIDE
+    for p in multiset.paragraphs(text):
+        h = hashlib.blake2b(p.encode(), digest_size=multiset.SIGNS // 8 + multiset.WIDE * 8).digest()
+        for k in range(multiset.SIGNS):
+            signs[k] += 1 if h[k // 8] >> (7 - k % 8) & 1 else -1
+        wide = [(w + int.from_bytes(h[multiset.SIGNS // 8 + 8 * k :][:8], "little")) % (1 << 64) for k, w in enumerate(wide)]
+    return signs, wide
+
+
+def plain_near(a, b):
+    if a == b:
+        return 1.0
+    total = sum(x * x for x in a[0] + b[0])
+    return max(0.0, min(1.0, 2 * sum(x * y for x, y in zip(a[0], b[0])) / total)) if total else 0.0
+
+
 def brute_edit(rows):
     order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, hashlib.sha256((r[1] or "").encode()).hexdigest()))
     out = []
@@ -214,19 +233,39 @@ def brute_edit(rows):
         text, after = row[1] or "", order[(k + 1) % len(order)][1] or ""
         half = len(text) // 2
         new = text[: len(text) - half] + after[:half]
-        out.append((row[0], len(text), hashlib.sha256(new.encode()).hexdigest()))
+        own, edit, behind = map(plain_vector, (text, new, after))
+        hexed = ["".join((x % (1 << 32)).to_bytes(4, "little").hex() for x in v[0]) + "".join(x.to_bytes(8, "little").hex() for x in v[1]) for v in (own, edit)]
+        out.append((row[0], len(text), hashlib.sha256(new.encode()).hexdigest(), *hexed, round(plain_near(own, edit), 9), round(plain_near(own, behind), 9)))
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("n", [0, 1, 2, 60])
+@pytest.mark.parametrize("n", [0, 1, 2, 60, 61])
 def test_edited_fingerprints(spark, n):
     rng = random.Random(n)
-    rows = [(rng.randint(0, 2 * n), "".join(rng.choice(["Some words here. ", "é ü\n", "x", "Other ones! ", ""]) for _ in range(rng.randint(0, 30))), "x", 1) for _ in range(n)]
+    rows = [(rng.randint(0, 2 * n), "".join(rng.choice(["Some words here. ", "é ü\n", "x", " ", "\n\n", "Other ones! ", "", "word " * 70]) for _ in range(rng.randint(0, 30))), "x", 1) for _ in range(n)]
     if n > 2:
         rows += [(5, None, "x", 1), (None, "no id.", "x", 1), (None, None, "x", 1), rows[0]]
+    if n == 61:  # a third of the rows without an id, a third with one id
+        rows += [(None, f"Row {k} of many. It has text.", "x", 1) for k in range(60)] + [(7, f"Seven and {k}. Again\nand on.", "x", 1) for k in range(60)]
     got = multiset.edited(docs(spark, rows).repartition(3)).collect()
-    assert sorted(((r.doc_id, r.n_chars, r.edited_sha256) for r in got), key=str) == brute_edit(rows)
-    assert all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in got)
+    assert sorted(((r.doc_id, r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint, round(r.near_edited, 9), round(r.near_next, 9)) for r in got), key=str) == brute_edit(rows)
+    if n == 61:
+        assert len(multiset.bounds(docs(spark, rows).selectExpr("doc_id id", "text"), 16)[0]) > 60
+
+
+def test_many_paragraphs_do_not_wrap():
+    signs, wide = multiset.fingerprints([["same"] * 30_000, ["same"] * 40_000, ["same"] * 40_000])
+    near = multiset.likeness(signs[[0, 1]], signs[[1, 2]], np.array([False, True]))
+    assert abs(near[0] - 0.96) < 1e-9 and near[1] == 1
+
+
+def test_edit_by_difference_equals_a_new_fingerprint():
+    rng = random.Random(31)
+    parts = ["One. ", "Two!", "\n", " ", "three four ", ".", "\n \n", "x" * 300 + " ", "Long " * 60]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 12))) for _ in range(400)]
+    new, own, edited = multiset.sums_of_edits(texts, texts[1:])
+    for got, want in ((own, multiset.fingerprints([multiset.paragraphs(t) for t in texts])), (edited, multiset.fingerprints([multiset.paragraphs(t) for t in new]))):
+        assert all((x == y).all() for x, y in zip(got, want))
 
 
 def test_fingerprint_is_a_multiset_hash():
