@@ -6,8 +6,10 @@ four bits agree on two blocks at least, so they meet under one of the fifteen pa
 is a shard with a BK-tree: a node's children are keyed by their Hamming distance from it, and a search follows only the
 edges within the radius. A tree goes to the one task that needs it by the shuffle instead of a broadcast, as all trees
 together grow with the data. Only the links that join sets are given out, so that a group of n has n - 1 links here,
-not all pairs. Shards of many nodes keep the first node's children sorted by distance in an array and search the ones
-within the radius at once; very large shards are cut again, by strips of all bits of which linked nodes share one.
+not all pairs. Trees of many nodes are built and searched for many nodes at once; their leaves hold a few nodes each.
+
+A shard with too many nodes for one task is dealt out anew: of the bits that its nodes needn't share, cut into radius + 1
+strips, two linked nodes share one strip at least, and meet under it. That goes on until shards are small enough.
 
 Equal fingerprints count as one node. Links then go through alternating star contraction to the smallest id.
 
@@ -28,15 +30,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructType
 
-from .common import bounded_batches, map_texts, materialize
+from .common import bounded_batches, map_texts, materialize, remove, shared_dir
 
 SEED, RADIUS, WORDS = 42, 4, 4
 #: First bit and width of each block.
 BLOCKS = ((0, 10), (10, 10), (20, 11), (31, 11), (42, 11), (53, 11))
-#: Nodes of a tree in plain Python; larger shards are searched in blocks of bit counts.
+#: Nodes of a tree in plain Python, and of a leaf of a larger one.
 TREE = 48
-#: A larger shard is cut again by the bits its members needn't share.
-SHARD = 20_000
+#: A larger shard is dealt out again by the bits its nodes needn't share, so many times at most.
+SHARD, LEVELS = 20_000, 3
 
 
 def shingle_hashes(text: str, words: int = WORDS, seed: int = SEED) -> np.ndarray:
@@ -118,47 +120,123 @@ class Tree:
         return found
 
 
-def shard_links(bits: np.ndarray, radius: int, free: tuple[tuple[int, int], ...] = ()) -> list[tuple[int, int]]:
+def shard_links(bits: np.ndarray, radius: int) -> list[tuple[int, int]]:
     """Positions of linked pairs that join all of a shard's linked members (a spanning forest)."""
     n, out = len(bits), []
-    if n < 2:
-        return out
-    if n <= TREE:
-        tree, sets = Tree(radius), Sets(n)
-        for k, b in enumerate(bits.tolist()):
-            out += [(k, m) for m in tree.search_and_add(b, k) if sets.join(k, m)]
-        return out
-    sets = Sets(n)
-    for group in [np.arange(n)] if n <= SHARD else finer(bits, radius):
-        out += [(int(group[a]), int(group[b])) for a, b in flat_links(bits[group], radius) if sets.join(int(group[a]), int(group[b]))]
+    if n > TREE:
+        return WideTree(bits, radius).links()
+    tree, sets = Tree(radius), Sets(n)
+    for k, b in enumerate(bits.tolist()):
+        out += [(k, m) for m in tree.search_and_add(b, k) if sets.join(k, m)]
     return out
 
 
-def finer(bits: np.ndarray, radius: int) -> Iterator[np.ndarray]:
-    """Members that share one of radius + 1 strips of all bits; two linked ones share one at least."""
-    cuts = np.linspace(0, 64, radius + 2).astype(int)
-    for lo, hi in zip(cuts, cuts[1:]):
-        strip = (bits.astype(np.uint64) >> np.uint64(lo)) & np.uint64((1 << int(hi - lo)) - 1)
-        order = np.argsort(strip, kind="stable")
-        for group in np.split(order, np.flatnonzero(np.diff(strip[order])) + 1):
-            if len(group) > 1:
-                yield group
-
-
-def flat_links(bits: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """A tree of one level in arrays: the first node's children by distance, of which only near keys are searched."""
-    bits = bits.astype(np.uint64)
-    far = np.bitwise_count(bits ^ bits[0]).astype(np.int16)
-    order = np.argsort(far, kind="stable")
-    bits, far = bits[order], far[order]
-    sets, out = Sets(len(bits)), []
-    for k in range(len(bits)):
-        end = int(np.searchsorted(far, far[k] + radius, "right"))
-        if end > k + 1:
-            for m in (np.flatnonzero(np.bitwise_count(bits[k + 1 : end] ^ bits[k]) <= radius) + k + 1).tolist():
-                if sets.join(k, m):
-                    out.append((int(order[k]), int(order[m])))
-    return out
+class WideTree:
+    """A BK-tree in arrays: each step takes all nodes that are at one place of the tree together.
+
+    A place is a pivot and its children by distance, or a leaf of a few nodes. Nodes of one child are searched against
+    the child itself and against siblings whose key is within the radius of theirs.
+    """
+
+    def __init__(self, bits: np.ndarray, radius: int):
+        self.bits, self.radius, self.up, self.found = bits.astype(np.uint64), radius, np.arange(len(bits)), []
+
+    def links(self) -> list[tuple[int, int]]:
+        todo = [np.arange(len(self.bits))]
+        while todo:
+            rows = todo.pop()
+            if len(rows) <= TREE:
+                self._compare(rows, rows)
+                continue
+            children = self._children(rows[0], rows[1:])
+            self._join(np.full(sum(len(c) for d, c in children if d <= self.radius), rows[0]), np.concatenate([rows[:0], *(c for d, c in children if d <= self.radius)]))
+            for k, (d, own) in enumerate(children):
+                todo.append(own)
+                for e, other in children[k + 1 :]:
+                    if e - d > self.radius:
+                        break
+                    self._search(own, other)
+        return self.found
+
+    def _children(self, pivot: int, rows: np.ndarray) -> list[tuple[int, np.ndarray]]:
+        far = np.bitwise_count(self.bits[rows] ^ self.bits[pivot])
+        order = np.argsort(far, kind="stable")
+        far, rows = far[order], rows[order]
+        cuts = np.flatnonzero(np.diff(far)) + 1
+        return [(int(far[s]), rows[s:e]) for s, e in zip([0, *cuts.tolist()], [*cuts.tolist(), len(rows)]) if e > s]
+
+    def _search(self, queries: np.ndarray, rows: np.ndarray) -> None:
+        """Links of all queries to the nodes of one subtree."""
+        todo = [(queries, rows)]
+        while todo:
+            queries, rows = todo.pop()
+            if min(len(rows), len(queries)) <= TREE:
+                self._compare(queries, rows)
+                continue
+            far = np.bitwise_count(self.bits[queries] ^ self.bits[rows[0]]).astype(np.int16)
+            near = queries[far <= self.radius]
+            self._join(near, np.full(len(near), rows[0]))
+            for d, child in self._children(rows[0], rows[1:]):
+                some = queries[np.abs(far - d) <= self.radius]
+                if len(some):
+                    todo.append((some, child))
+
+    def _compare(self, a: np.ndarray, b: np.ndarray) -> None:
+        """All of a against all of b, some rows at a time."""
+        step = max(1, (1 << 20) // len(b))
+        for s in range(0, len(a), step):
+            i, j = np.nonzero(np.bitwise_count(self.bits[a[s : s + step], None] ^ self.bits[None, b]) <= self.radius)
+            self._join(a[s : s + step][i], b[j])
+
+    def _join(self, a: np.ndarray, b: np.ndarray) -> None:
+        """Joins the sets of linked nodes: of each set's links to sets with smaller roots one is kept, until none is left."""
+        while len(a):
+            x, y = self.up[a], self.up[b]
+            apart = x != y
+            a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+            high, first = np.unique(np.maximum(x, y), return_index=True)
+            self.up[high] = np.minimum(x, y)[first]
+            self.found += zip(a[first].tolist(), b[first].tolist())
+            while (self.up != (higher := self.up[self.up])).any():
+                self.up = higher
+
+
+def strips(free: int, parts: int) -> list[int]:
+    """Masks of some bits in strips of about equal width."""
+    at = [k for k in range(64) if free >> k & 1]
+    cuts = [len(at) * k // parts for k in range(parts + 1)]
+    return [sum(1 << k for k in at[s:e]) for s, e in zip(cuts, cuts[1:])]
+
+
+def signed(bits: int) -> int:
+    return bits - (1 << 64) if bits >> 63 else bits
+
+
+def shards(nodes: DataFrame, radius: int) -> DataFrame:
+    """place, bits: each node at its meeting places, of which none has more than SHARD nodes as long as bits are left."""
+    spark, b = nodes.sparkSession, F.col("bits")
+    block = [F.shiftrightunsigned(b, lo).bitwiseAND(F.lit((1 << width) - 1)) for lo, width in BLOCKS]
+    pairs = list(combinations(range(6), 2))
+    places = [F.lit(k << 32).bitwiseOR(F.shiftleft(block[i], 16)).bitwiseOR(block[j]) for k, (i, j) in enumerate(pairs)]
+    placed = nodes.select(F.posexplode(F.array(*places)).alias("path", "place"), "bits")
+    free = [(1 << 64) - 1 - sum(((1 << w) - 1) << lo for lo, w in (BLOCKS[i], BLOCKS[j])) for i, j in pairs]
+    out = None
+    for _ in range(LEVELS):
+        hot = placed.groupBy("place").count().where(F.col("count") > SHARD).select("place")
+        hot = materialize(hot, spark, "hotshards")
+        if not hot.limit(1).count():
+            break
+        cold = placed.join(hot, "place", "left_anti").select("place", "bits")
+        out = cold if out is None else out.union(cold)
+        masks = [m for own in free for m in strips(own, radius + 1)]
+        free = [own & ~m for own in free for m in strips(own, radius + 1)]
+        table = F.array(*[F.lit(signed(m)) for m in masks])
+        again = placed.join(hot, "place", "left_semi").select("path", "place", "bits", F.explode(F.sequence(F.lit(0), F.lit(radius))).alias("strip"))
+        again = again.select((F.col("path") * (radius + 1) + F.col("strip")).alias("path"), "place", "bits")
+        again = again.select("path", F.xxhash64("place", "path", b.bitwiseAND(F.get(table, F.col("path")))).alias("place"), "bits")
+        placed = materialize(again, spark, "shards")
+    placed = placed.select("place", "bits")
+    return placed if out is None else out.union(placed)
 
 
 def links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -166,16 +244,12 @@ def links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
     if radius > 4:
         raise ValueError("six blocks find all links up to four bits")
     bounded_batches(nodes.sparkSession)
-    b = F.col("bits")
-    block = [F.shiftrightunsigned(b, lo).bitwiseAND(F.lit((1 << width) - 1)) for lo, width in BLOCKS]
-    places = [F.lit(k << 32).bitwiseOR(F.shiftleft(block[i], 16)).bitwiseOR(block[j]) for k, (i, j) in enumerate(combinations(range(6), 2))]
-    placed = nodes.select(F.explode(F.array(*places)).alias("place"), "bits")
     partitions = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = placed.repartition(partitions, "place").sortWithinPartitions("place", "bits")
+    dealt = shards(nodes, radius).repartition(partitions, "place").sortWithinPartitions("place", "bits")
     kind = StructType().add("low", LongType()).add("high", LongType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_place, held_bits = np.empty(0, np.int64), np.empty(0, np.int64)
+        waiting, rows = [], 0
 
         def search(place: np.ndarray, bits: np.ndarray):
             cuts = np.flatnonzero(np.diff(place)) + 1
@@ -189,16 +263,17 @@ def links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(np.array(low, np.int64)), pa.array(np.array(high, np.int64))], names=["low", "high"])
 
         for batch in batches:
-            held_place = np.concatenate([held_place, batch.column(0).to_numpy()])
-            held_bits = np.concatenate([held_bits, batch.column(1).to_numpy()])
-            if not len(held_place) or len(held_place) < 50_000:
+            waiting.append((batch.column(0).to_numpy(), batch.column(1).to_numpy()))
+            rows += batch.num_rows
+            if rows < 50_000:
                 continue
-            cut = int(np.searchsorted(held_place, held_place[-1], "left"))
+            place, bits = (np.concatenate(c) for c in zip(*waiting))
+            cut = int(np.searchsorted(place, place[-1], "left"))
             if cut:
-                yield search(held_place[:cut], held_bits[:cut])
-                held_place, held_bits = held_place[cut:], held_bits[cut:]
-        if len(held_place):
-            yield search(held_place, held_bits)
+                yield search(place[:cut], bits[:cut])
+            waiting, rows = [(place[cut:], bits[cut:])], 0
+        if waiting:
+            yield search(*(np.concatenate(c) for c in zip(*waiting)))
 
     return dealt.mapInArrow(run, kind).distinct()
 
@@ -207,26 +282,33 @@ def components(edges: DataFrame, spark: SparkSession) -> DataFrame:
     """node, root: the smallest node of each group of linked nodes, by alternating large-star and small-star rounds.
 
     Each round only needs minima of groups, which Spark sums up before it shuffles; rounds grow with the logarithm
-    of a chain's length. Each round is written to the shared folder. edges: low, high.
+    of a chain's length. Each round is written to the shared folder, and so are the minima, as Spark can then deal out
+    the many links of one node over tasks. What no later round needs is deleted. edges: low, high.
     """
-    e = materialize(edges.select(F.col("low").alias("a"), F.col("high").alias("b")).where("a < b"), spark, "edges")
+
+    def written(df: DataFrame, what: str) -> tuple[DataFrame, str]:
+        path = shared_dir(spark, what)
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path), path
 
     def sums(df):
         return df.agg(F.count(F.lit(1)), F.sum(F.hash("a", "b").cast("decimal(20,0)")), F.sum(F.hash("b", "a").cast("decimal(20,0)"))).first()
 
+    e, at = written(edges.select(F.col("low").alias("a"), F.col("high").alias("b")).where("a < b"), "edges")
     old = sums(e)
     while old[0]:
         # Large star: each node's larger neighbours go to the smallest node of its neighbourhood.
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        least, minima = written(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "minima")
         large = both.where("b > a").join(least, "a").select(F.col("m").alias("a"), "b").distinct()
         # Small star: each node and its smaller neighbours go to the smallest of them.
         least = large.groupBy("b").agg(F.min("a").alias("m"))
         small = large.join(least, "b").select(F.col("m").alias("a"), F.when(F.col("a") == F.col("m"), F.col("b")).otherwise(F.col("a")).alias("b")).distinct()
-        small = materialize(small, spark, "edges")
-        new = sums(small)
-        e, done = small, new == old
-        old = new
+        e, path = written(small, "edges")
+        new = sums(e)
+        remove(spark, at)
+        remove(spark, minima)
+        at, done, old = path, new == old, new
         if done:
             break
     return e.select(F.col("b").alias("node"), F.col("a").alias("root")).distinct()
@@ -236,12 +318,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """id, bits, component_id: the smallest id that a document reaches over links, itself included."""
     spark = docs.sparkSession
     prints = materialize(fingerprints(docs, id_col, text_col, words, seed).select(F.col(id_col).alias("id"), "bits"), spark, "prints")
-    nodes = prints.where("id is not null").groupBy("bits").agg(F.min("id").alias("first"))
-    found = components(links(nodes, radius), spark)
+    nodes = materialize(prints.where("id is not null").groupBy("bits").agg(F.min("id").alias("first")), spark, "nodes")
+    found = components(links(nodes.select("bits"), radius), spark)
+    # Written lists are joined, so that Spark can split what one root or one fingerprint has too much of.
     named = nodes.join(found.select(F.col("node").alias("bits"), "root"), "bits", "left").withColumn("root", F.coalesce("root", "bits"))
-    first = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    # Nodes are distinct fingerprints; a hot fingerprint's documents are a skewed side that Spark can split.
-    named = named.join(first, "root").select("bits", "component_id")
+    named = materialize(named, spark, "named")
+    first = materialize(named.groupBy("root").agg(F.min("first").alias("component_id")), spark, "firsts")
+    named = materialize(named.select("bits", "root").join(first, "root").select("bits", "component_id"), spark, "groups")
     out = prints.join(named, "bits", "left")
     return out.select(F.col("id").alias(id_col), "bits", F.when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id"))
 
