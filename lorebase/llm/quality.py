@@ -1,92 +1,105 @@
 """A document quality classifier by attention-based multiple-instance learning.
 
-A document is a bag of passages, of which only the bag has a label. Every passage of the whole text is encoded; gated
-attention (the product of a tanh and a sigmoid layer) gives each passage a weight, learned from document labels alone,
-and the weighted sum of the encodings is scored. The weights show which passages decided.
+A document is a bag of passages, of which only the bag has a label. Every passage of the whole text is encoded from what
+stands in it alone: kinds of characters, words and their repeats, and hashed runs of characters. Gated attention (the
+product of a tanh and a sigmoid layer) gives each passage a weight, learned from document labels alone, and the weighted
+sum of the encodings is scored. The weights show which passages decided.
 
-Learning uses a documented, bounded sample of labelled rows (`most_rows`, the smallest by a hash of the id); scores and
-figures cover all rows.
+Learning uses a documented, bounded sample: `most_rows` labelled rows (the smallest by a hash of the id), and of each
+`most_passages` evenly spaced ones at most. Scores and figures cover all rows and all passages.
 
 Cases: null and empty texts have one empty passage and are scored like others; labels without a document, null
-labels and null ids are not learned from; repeated labels count as their mean; without labels of both kinds the score
-is the share of good labels, or 1; an empty table gives an empty result; extra columns are ignored.
+labels and null ids are not learned from; repeated labels count as their mean; of rows that repeat an id one is learned
+from; without labels of both kinds the score is the share of good labels, or 1; an empty table gives an empty result;
+extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import json
 import zlib
+from collections.abc import Iterator
+from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts
+from .common import bounded_batches, map_texts
 
-#: Words of a passage; learned rows at most; dimensions of the encoding and of the attention.
-PASSAGE, MOST_ROWS, HIDDEN, GATE = 48, 6000, 48, 24
+#: Words of a passage; learned rows and passages of each at most; dimensions of the encoding and of the attention.
+PASSAGE, MOST_ROWS, MOST_PASSAGES, HIDDEN, GATE = 48, 6000, 32, 48, 24
 THRESHOLD = 0.7
 
-#: Character classes: lower, upper, digit, space, line end, sentence marks, exclamation, bar, other marks, other.
+#: Kinds of characters: lower, upper, digit, space, line end, sentence marks, exclamation, bar, other marks, other.
 CLASSES = 10
+#: Buckets that runs of four characters are hashed to; figures of words.
+GRAMS, RUN, FIGURES = 128, 4, 10
+FEATURES = 2 * CLASSES + FIGURES + GRAMS
 
 
 def _classes() -> np.ndarray:
-    table = np.full(0x250, 9, np.uint8)
+    """The kind of each character of the first plane, by its own properties; those beyond are other."""
+    table = np.full(0x10000, 9, np.uint8)
     for k in range(len(table)):
         c = chr(k)
-        table[k] = 4 if c in "\r\n" else 3 if c.isspace() else 0 if c.islower() else 1 if c.isupper() else 2 if c.isdigit() else 5 if c in ".,;:?'\"()-" else 6 if c == "!" else 7 if c == "|" else 8 if k > 32 else 9
+        table[k] = 4 if c in "\r\n" else 3 if c.isspace() else 1 if c.isupper() else 0 if c.isalpha() else 2 if c.isdigit() else 5 if c in ".,;:?'\"()-" else 6 if c == "!" else 7 if c == "|" else 8 if c.isprintable() else 9
     return table
 
 
 TABLE = _classes()
-FEATURES = 2 * CLASSES + 12
 
 
 def encode(text: str) -> np.ndarray:
     """One row of features for each passage of the whole text."""
-    words = text.split()
-    if not words:
+    points = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
+    kinds = np.where(points < len(TABLE), TABLE[np.minimum(points, len(TABLE) - 1)], 9)
+    blank = (kinds == 3) | (kinds == 4)
+    words = np.flatnonzero(~blank & np.r_[True, blank[:-1]]) if len(points) else np.empty(0, np.int64)
+    if not len(words):
         out = np.zeros((1, FEATURES), np.float32)
-        out[0, -1] = 1
+        out[0, 2 * CLASSES + FIGURES - 1] = 1
         return out
-    begins = list(range(0, len(words), PASSAGE))
-    if len(begins) > 1 and len(words) - begins[-1] < PASSAGE // 3:
-        begins.pop()  # a short rest goes with the passage before it
-    ends = [*begins[1:], len(words)]
+    begins = words[::PASSAGE]
+    if len(begins) > 1 and (len(words) - 1) % PASSAGE + 1 < PASSAGE // 3:
+        begins = begins[:-1]  # a short rest goes with the passage before it
+    ends = np.r_[begins[1:], len(points)]
+    sizes, n = ends - begins, np.diff(np.searchsorted(words, np.r_[begins, len(points)]))
     out = np.zeros((len(begins), FEATURES), np.float32)
-    joined = [" ".join(words[s:e]) for s, e in zip(begins, ends)]
-    points = np.frombuffer("".join(joined).encode("utf-32-le", "replace"), np.uint32)
-    kinds = np.where(points < len(TABLE), TABLE[np.minimum(points, len(TABLE) - 1)], 0)
-    sizes = np.fromiter(map(len, joined), np.int64, len(joined))
-    at = np.cumsum(sizes) - sizes
+    # What is before the first word belongs to no passage.
+    points, kinds, ends, begins = points[begins[0] :], kinds[begins[0] :], ends - begins[0], begins - begins[0]
     changes = np.r_[True, kinds[1:] != kinds[:-1]]
-    for c in range(CLASSES):
-        is_c = kinds == c
-        out[:, c] = np.add.reduceat(is_c, at, dtype=np.int32) / sizes
-        out[:, CLASSES + c] = np.add.reduceat(is_c & changes, at, dtype=np.int32) / np.array([e - s for s, e in zip(begins, ends)])
+    passage = np.repeat(np.arange(len(begins)), sizes)
+    count = lambda mask: np.bincount(passage[mask] * CLASSES + kinds[mask], minlength=len(begins) * CLASSES).reshape(-1, CLASSES)
+    out[:, :CLASSES] = count(slice(None)) / sizes[:, None]
+    out[:, CLASSES : 2 * CLASSES] = count(changes) / n[:, None]
+    small = points | np.where(kinds == 1, np.uint32(32), np.uint32(0))
+    if len(small) >= RUN:
+        h = np.zeros(len(small) - RUN + 1, np.uint32)
+        for k in range(RUN):
+            h = (h ^ small[k : len(h) + k]) * np.uint32(0x01000193)
+        bucket = (h ^ (h >> np.uint32(15))) % np.uint32(GRAMS)
+        out[:, -GRAMS:] = np.bincount(passage[: len(h)] * GRAMS + bucket, minlength=len(begins) * GRAMS).reshape(-1, GRAMS) / sizes[:, None] * 8
     seen: set[str] = set()
-    before = ""
-    lines = 1 + text.count("\n")
-    for k, (s, e) in enumerate(zip(begins, ends)):
-        own = words[s:e]
-        kept = set(own)
-        row = out[k, 2 * CLASSES :]
+    whole = text[len(text) - len(points) :]
+    for k, (s, e) in enumerate(zip(begins.tolist(), ends.tolist())):
+        part = whole[s:e]
+        own = part.split()
+        kept, pairs = set(own), set(zip(own, own[1:]))
+        row = out[k, 2 * CLASSES : 2 * CLASSES + FIGURES]
         row[0] = len(kept) / len(own)
         row[1] = sum(a == b for a, b in zip(own, own[1:])) / len(own)
         row[2] = len(kept & seen) / len(kept)
-        row[3] = len(set(zip(own, own[1:]))) / len(own)
-        row[4] = sizes[k] / len(own) / 10
-        row[5] = max(map(len, own)) / 50
+        row[3] = len(pairs) / len(own)
+        row[4] = len(part) / len(own) / 10
+        row[5] = min(max(map(len, own)) / 50, 4)
         row[6] = sum(w[-1] in ".!?" for w in own) / len(own) * 5
-        row[7] = float(k and own[0] == before)
-        before = own[0]
+        row[7] = min(part.count("\n") / len(own) * 10, 3)
+        raw = part.encode("utf-8", "replace")
+        row[8] = min(len(zlib.compress(raw, 1)) / len(raw), 1.5)
         seen |= kept
-    out[:, 2 * CLASSES + 8] = np.log1p(len(words)) / 10
-    out[:, 2 * CLASSES + 9] = min(lines / len(words) * 10, 3)
-    raw = text.encode("utf-8", "replace")
-    out[:, 2 * CLASSES + 10] = min(len(zlib.compress(raw, 1)) / len(raw), 1.5)
     return out
 
 
@@ -161,21 +174,25 @@ def remainder(id_col: str = "doc_id", parts: int = 4):
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % parts
 
 
-def fit(docs: DataFrame, labels: DataFrame, held: int | None = 2, label: str = "quality", most_rows: int = MOST_ROWS, id_col: str = "doc_id", text_col: str = "text") -> Model | float:
+def fit(docs: DataFrame, labels: DataFrame, held: int | None = 2, label: str = "quality", most_rows: int = MOST_ROWS, most_passages: int = MOST_PASSAGES, id_col: str = "doc_id", text_col: str = "text") -> Model | float:
     """Learns from labelled documents whose remainder isn't `held`, at most most_rows of them.
 
-    Passages are encoded on the executors; the driver gets rows of numbers, whose count is bounded by the sample.
+    Passages are encoded on the executors; the driver gets rows of numbers, whose count and size the two bounds limit.
     """
     known = labels.select(F.col(id_col).alias("id"), F.col(label).cast("double").alias("y")).where("id is not null and y is not null")
     known = known.groupBy("id").agg(F.avg("y").alias("y"))
     if held is not None:
         known = known.where(remainder("id") != held)
     sample = known.orderBy(F.xxhash64("id"), "id").limit(most_rows)
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    rows = texts.join(F.broadcast(sample), "id")
+    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = texts.join(F.broadcast(sample), "id").groupBy("id", "y").agg(F.min("text").alias("text"))
 
     def make():
-        return lambda batch: [[encode(t).astype(np.float16).tobytes() for t in batch]]
+        def some(bag: np.ndarray) -> bytes:
+            at = np.linspace(0, len(bag) - 1, min(len(bag), most_passages)).round().astype(int)
+            return bag[at].astype(np.float16).tobytes()
+
+        return lambda batch: [[some(encode(t)) for t in batch]]
 
     coded = map_texts(rows.withColumn("id", F.struct("id", "y")), "id", "text", "passages binary", make).collect()
     coded.sort(key=lambda r: (r.id.id, bytes(r.passages)))
@@ -185,24 +202,56 @@ def fit(docs: DataFrame, labels: DataFrame, held: int | None = 2, label: str = "
     return train([np.frombuffer(r.passages, np.float16).reshape(-1, FEATURES).astype(np.float64) for r in coded], y)
 
 
+@lru_cache(4)
+def unpacked(model: str | float) -> Model | float:
+    return model if isinstance(model, float) else Model.from_json(model)
+
+
+def scored(m: Model | float, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[int]]:
+    """Score, number of passages and the passage with most weight of each text."""
+    bags = [encode(t or "") for t in texts]
+    sizes = np.array([len(b) for b in bags])
+    if isinstance(m, float):
+        return np.full(len(bags), m), sizes, [0] * len(bags)
+    at = np.cumsum(sizes) - sizes
+    p, *_, a, _, _ = forward(m, np.concatenate(bags).astype(np.float16).astype(np.float64), at)
+    return p, sizes, [int(a[s : s + n].argmax()) for s, n in zip(at, sizes)]
+
+
+def cut(texts: list[str], most: int = 4 << 20) -> Iterator[list[str]]:
+    """Texts in parts of about so many characters."""
+    held, size = [], 0
+    for t in texts:
+        held.append(t)
+        size += len(t or "")
+        if size >= most:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
 def score(docs: DataFrame, model: Model | float, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, score, predicted, n_passages, top_passage (the one with most weight) for each whole text."""
     packed = model if isinstance(model, float) else model.to_json()
 
     def make():
-        m = packed if isinstance(packed, float) else Model.from_json(packed)
-
         def work(texts):
-            bags = [encode(t) for t in texts]
-            sizes = np.array([len(b) for b in bags])
-            if isinstance(m, float):
-                p, top = np.full(len(bags), m), np.zeros(len(bags), int)
-            else:
-                begins = np.cumsum(sizes) - sizes
-                p, *_, a, _, _ = forward(m, np.concatenate(bags).astype(np.float16).astype(np.float64), begins)
-                top = [int(a[s : s + n].argmax()) for s, n in zip(begins, sizes)]
+            p, sizes, top = scored(unpacked(packed), texts)
             return [p, (p >= threshold).astype(int), sizes, top]
 
         return work
 
     return map_texts(docs, id_col, text_col, "score double, predicted int, n_passages int, top_passage int", make)
+
+
+def accepted(docs: DataFrame, model: Model | float, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs whose text scores at the threshold or more, and those without an id. Texts don't leave their tasks."""
+    packed = model if isinstance(model, float) else model.to_json()
+
+    @F.arrow_udf("boolean")
+    def good(texts: pa.Array) -> pa.Array:
+        return pa.array(np.concatenate([np.empty(0), *(scored(unpacked(packed), part)[0] for part in cut(texts.to_pylist()))]) >= threshold)
+
+    bounded_batches(docs.sparkSession)
+    return docs.where(F.col(id_col).isNull() | good(F.col(text_col)))
