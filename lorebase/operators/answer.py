@@ -5,15 +5,18 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions.text import bind, col, compact, overlap, sentence_key, squeeze, strip, sub, tidy_sentence
+from ..functions.text import evidence as evidence_text
 from . import classify, generate
+from .submission import alike
 
 # Fixed values of answer texts.
 FALLBACK, NO_ANSWER, SAFETY = "根据现有资料无法", "根据现有资料无法准确回答此问题。", "涉及安全操作时请以原说明书为准。"
+TEMPLATES = 1000
 PICS, DISCLAIMER = 3, r"请以实际产品型号和说明书原文为准[。]?\s*"
 
 
@@ -61,25 +64,72 @@ def merge_answers(rows: DataFrame, key: str = "query_id", order: str = "sub_no",
     return lists.select(key, F.when(F.size("l") == 1, F.get("l", F.lit(0))["a"]).otherwise(many).alias(answer))
 
 
-def ranked_sentences(evidence: DataFrame, most: int = 3) -> DataFrame:
-    """query_id, n, sentence: a query's best sentences of its evidence, no two alike.
+# Words of a question that asks what to do, and of sentences that tell it.
+ASKS_HOW = r"(?i)\b(how|operate|operation|use|using|press|select|turn|open|close)\b"
+TELLS_HOW = ("go to", "press", "select", "turn", "open", "close", "move", "enter", "install", "remove")
+ASIDES = r"(?i)^(note:|note |and it |it also |this device support)"
+POINTS_BACK = r"(?i)^(this |these |it |they |the device |the labels )"
+BONUS, MOST_BONUS, PENALTY = 2.0, 6.0, 3.0
+
+
+def bonus(c) -> Column:
+    """Two points for each word that tells what to do, six at most."""
+    t = F.lower(col(c))
+    return F.least(sum((F.when(t.rlike(rf"\b{w}\b"), BONUS).otherwise(0.0) for w in TELLS_HOW), F.lit(0.0)), F.lit(MOST_BONUS))
 
-    evidence: query_id, evidence_rank, text, terms. Sentences are scored where they are; only the few best of each
-    query are kept before near-equal ones are dropped.
-    """
-    first = evidence.where("evidence_rank <= 3").select("query_id", "evidence_rank", "terms", F.posexplode(generate.evidence_sentences("text")).alias("k", "sentence"))
-    first = first.where(~classify.toc_noise("sentence")).withColumn("score", overlap(F.col("sentence"), F.col("terms")))
-    first = first.where((F.col("score") > 0) | (F.length("sentence") >= 80)).withColumn("key", sentence_key("sentence"))
-    once = first.withColumn("d", F.row_number().over(Window.partitionBy("query_id", "key").orderBy("evidence_rank", "k"))).where("d = 1")
-    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), (F.length("sentence") <= 220).desc(), "evidence_rank", "k")
-    return once.withColumn("n", F.row_number().over(w)).where(F.col("n") <= most).select("query_id", "n", tidy_sentence("sentence").alias("sentence"))
 
+def extractive(evidence: DataFrame, query: str = "query", pictures: int = 0) -> DataFrame:
+    """query_id, answer: the best sentences of a query's first three chunks, as conclusion and details.
 
-def extractive(evidence: DataFrame, pictures: int = 0) -> DataFrame:
-    """query_id, answer: the best sentence as conclusion, the others as details."""
-    rows = ranked_sentences(evidence).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("n", "sentence"))).alias("l"))
-    said = F.transform("l", lambda x: x["sentence"])
-    return rows.select("query_id", manual_format(F.get(said, F.lit(0)), F.slice(said, 2, 2), F.lit(""), F.lit(pictures)).alias("answer"))
+    evidence: query_id, evidence_rank, title, text, terms, and the query's text. Sentences are scored where they are; what
+    comes together for a query is three short lists. Titles count too: a sentence that only repeats the best title is
+    left out, or takes its place if it says more.
+    """
+    how, clean = F.col("__q").rlike(ASKS_HOW), lambda t: tidy_sentence(t)
+    first = evidence.where("evidence_rank <= 3").select("query_id", "evidence_rank", "terms", F.col(query).alias("__q"), evidence_text("title").alias("title"), "text")
+    extra = lambda t: F.when(how, bonus(t)).otherwise(0.0)
+    titled = F.when((F.col("title") != "") & ~classify.toc_noise("title"), F.struct((-(overlap(F.col("title"), F.col("terms")) + 2.0 + extra("title"))).alias("a"), (F.length("title") > 160).cast("int").alias("b"), "evidence_rank", F.col("title").alias("text")))
+
+    def scored(s, k):
+        points = overlap(s, F.col("terms"))
+        return F.struct(
+            (-(points + extra(s) - F.when(how & s.rlike(ASIDES), PENALTY).otherwise(0.0))).alias("a"), (F.length(s) > 220).cast("int").alias("b"), F.col("evidence_rank").alias("r"), k.alias("k"), s.alias("text"), ((points > 0) | (F.length(s) >= 80)).alias("fit"),
+        )
+
+    # Sentences of a table of contents and those without a term are no candidates.
+    said = F.filter(F.transform(F.filter(generate.evidence_sentences("text"), lambda s: ~classify.toc_noise(s)), scored), lambda x: x["fit"])
+    rows = first.select("query_id", "__q", titled.alias("t"), said.alias("s"), F.struct("evidence_rank", F.left(evidence_text(F.concat_ws(" ", "title", "text")), F.lit(320)).alias("text")).alias("f"))
+    one = rows.groupBy("query_id").agg(F.first("__q").alias("__q"), F.min("t.a").isNotNull().alias("any"), F.min("t").alias("t"), F.array_sort(F.flatten(F.collect_list("s"))).alias("s"), F.min("f").alias("f"))
+    usable = F.filter("s", lambda x: ~(how & x["text"].rlike(r":\s*$")))
+    title = F.coalesce(F.col("t.text"), F.lit(""))
+
+    def step(held, x):
+        key, names = sentence_key(x["text"]), sentence_key(held["title"])
+        repeats = (held["title"] != "") & alike(key, names, 0)
+        longer = (F.length(x["text"]) > F.length(held["title"]) + 20) & key.contains(names)
+        better = repeats & (longer | (classify.truncated_heading(held["title"]) & (bonus(x["text"]) > 0)))
+        again = (key == "") | F.exists(held["said"], lambda h: alike(key, sentence_key(h), 0))
+        aside = how & (F.size(held["said"]) > 0) & x["text"].rlike(ASIDES)
+        new = F.struct(F.when(better, clean(x["text"])).otherwise(held["title"]).alias("title"), F.when(repeats | again, held["said"]).otherwise(F.concat(held["said"], F.array(clean(x["text"])))).alias("said"))
+        return F.when((F.size(held["said"]) >= 3) | aside | (key == ""), held).otherwise(new)
+
+    chosen = F.aggregate(usable, F.struct(title.alias("title"), F.array().cast("array<string>").alias("said")), step)
+    out = one.withColumn("c", chosen).withColumn("said", F.when(F.size("c.said") > 0, F.col("c.said")).otherwise(F.array(clean(F.col("f.text")))))
+    out = out.select("query_id", "__q", "said", F.when(F.col("c.title") == "", "").otherwise(clean(F.col("c.title"))).alias("title"), F.get("said", F.lit(0)).alias("top"))
+    same = alike(sentence_key("title"), sentence_key("top"), 0)
+    conclusion = (
+        F.when(F.col("title") == "", F.col("top")).when(F.col("top") == "", F.col("title"))
+        .when(same, F.when(F.length("top") >= F.length("title"), F.col("top")).otherwise(F.col("title")))
+        .when(how & (bonus("title") > 0), F.col("title"))
+        .when(classify.ascii_heavy("__q") & F.col("top").rlike(POINTS_BACK), F.concat("title", F.lit(": "), "top"))
+        .otherwise(F.col("top"))
+    )
+    out = out.withColumn("conclusion", conclusion)
+    differs = lambda s: ~alike(sentence_key(s), sentence_key("conclusion"), 0) & (sentence_key(s) != "")
+    details = F.filter(F.slice("said", 2, 2), differs)
+    details = F.when(F.size(details) > 0, details).otherwise(F.filter(F.slice("said", 1, 1), differs))
+    caution = F.when(classify.ascii_heavy("__q"), "").otherwise(SAFETY)
+    return out.select("query_id", manual_format(F.col("conclusion"), details, caution, F.lit(pictures)).alias("answer"))
 
 
 def answer_with(prompts: DataFrame, client: Callable[[], Callable[[str], str]] | None = None, prompt: str = "prompt", default: str = "fallback") -> DataFrame:
@@ -109,42 +159,19 @@ def prompt(system: Column, summary: Column, image: Column, history: Column, ques
     return F.concat_ws("\n\n", *[F.nullif(strip(x), F.lit("")) for x in (system, summary, image, F.array_join(history, "\n"), question)])
 
 
-def submission(c) -> Column:
-    """Labels, markers, ids and phrases about references go; what is left is one clean text."""
-    t = sub(c, r"\[\[PIC[^\]]*\]\]|\[参考\d+\]|（相关配图：[^）]*）")
-    t = sub(t, r"(?m)^\s*(结论|步骤|答案|回答|说明|注意)[：:]\s*")
-    t = sub(sub(t, r"(根据|依据)(参考资料|说明书|现有资料)(可知)?[，,]?"), r"\b[A-Za-z]+_\d{2,}\b")
-    return strip(sub(sub(t, r"[ \t]+", " "), r"\n{2,}", "\n"))
-
-
-def service_short(c, most: int = 5) -> Column:
-    """The first sentences of enough length that aren't questions."""
-    said = F.transform(F.split(squeeze(c), r"(?<=[。！!；;.])"), lambda s: strip(s))
-    return F.array_join(F.slice(F.filter(said, lambda s: (F.length(s) >= 8) & ~s.rlike("[?？]")), 1, most), "")
-
-
 def override(rows: DataFrame, overrides: DataFrame, templates: DataFrame, key: str = "id", text: str = "text", answer: str = "answer") -> DataFrame:
     """A stated answer for an id, else the template of the first keyword in the text (for empty answers), else what there is.
 
-    overrides: key, override. templates: pos, keyword, template; both are small rule tables.
+    overrides: key, override. templates: pos, keyword, template: a rule table written by hand, of bounded size.
     """
-    out = rows.join(F.broadcast(overrides), key, "left")
-    hit = rows.join(F.broadcast(templates), F.col(text).contains(F.col("keyword"))).groupBy(key).agg(F.min_by("template", "pos").alias("template"))
-    out = out.join(hit, key, "left")
+    known = templates.orderBy("pos").limit(TEMPLATES + 1).collect()
+    if len(known) > TEMPLATES:
+        raise ValueError(f"more than {TEMPLATES} templates")
+    template = F.coalesce(F.lit(None).cast("string"), *[F.when(F.col(text).contains(r.keyword), F.lit(r.template)) for r in known])
+    out = rows.withColumn("template", template).join(overrides, key, "left")
     return out.withColumn(answer, F.coalesce("override", F.nullif(F.col(answer), F.lit("")), "template", F.lit(NO_ANSWER))).drop("override", "template")
 
 
-def same_sentence(a: Column, b: Column) -> Column:
-    """Two sentences say the same if one's key holds the other's."""
-    x, y = sentence_key(a), sentence_key(b)
-    return (x != "") & (y != "") & (x.contains(y) | y.contains(x))
-
-
-def is_fallback(c) -> Column:
-    """P18."""
-    return col(c).contains(FALLBACK)
-
-
 def answer_status(question) -> Column:
     """The status that a service would give."""
     return F.when(compact(F.coalesce(col(question), F.lit(""))) == "", 400).otherwise(200)

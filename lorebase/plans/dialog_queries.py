@@ -11,6 +11,7 @@ from ..operators import answer, dialog, evaluate, generate, images
 from . import planted
 from .base import TITLED, lit, query, squeeze, strip, table
 from .planted import over_conversations
+from .build_queries import _UNITS
 from .search_queries import _BM25, _kept, _questions
 
 OMNI = dialog.SMALLTALK
@@ -191,9 +192,10 @@ def multi_answer_merge(spark, sf_dir):
 
 @query()
 def extractive_answer(spark, sf_dir):
-    """Answers out of each question's evidence; near-equal sentences and scores are tested on small cases."""
+    """Answers out of each question's evidence; held against small cases in the tests."""
     terms = _questions(spark, sf_dir).groupBy("query_id").agg(F.collect_list("term").alias("terms"))
-    return answer.extractive(_kept(spark, sf_dir).select("query_id", "evidence_rank", "text").join(F.broadcast(terms), "query_id"))
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query")).join(terms, "query_id")
+    return answer.extractive(_kept(spark, sf_dir).select("query_id", "evidence_rank", "title", "text").join(asked, "query_id"))
 
 
 @query(
@@ -206,31 +208,15 @@ def cs_format(spark, sf_dir):
 
 
 @query(
-    f"""WITH {TITLED} SELECT doc_id, CASE WHEN title = '' THEN '根据现有资料无法准确回答此问题。' ELSE
-        concat_ws(chr(10) || chr(10), title, nullif(CASE WHEN length(text) > 80 THEN '1. ' || substr(text, 1, 40) || chr(10) || '2. ' || substr(text, 41, 40) ELSE '' END, ''),
-                  CASE WHEN doc_id % 5 > 0 THEN '相关配图如下：' || repeat('<PIC>', least(doc_id % 5, 3)) END) END AS answer FROM titled"""
+    f"""WITH {TITLED}, {_UNITS}, p AS (SELECT doc_id, title, u[2:] AS d, coalesce(list_filter(u, lambda x: contains(x, '!'))[1], '') AS w FROM titled JOIN units USING (doc_id))
+    SELECT doc_id, CASE WHEN title = '' THEN '根据现有资料无法准确回答此问题。' ELSE concat_ws(chr(10) || chr(10), title, nullif(array_to_string(list_transform(d[1:3], lambda x, k: k || '. ' || x), chr(10)), ''), nullif(w, ''),
+                  CASE WHEN doc_id % 5 > 0 THEN '相关配图如下：' || repeat('<PIC>', least(doc_id % 5, 3)) END) END AS answer FROM p"""
 )
 def manual_format(spark, sf_dir):
-    details = F.when(F.length("text") > 80, F.array(F.substring("text", 1, 40), F.substring("text", 41, 40))).otherwise(F.array().cast("array<string>"))
-    rows = table(spark, sf_dir, "documents").select("doc_id", T.title("text").alias("title"), details.alias("details"))
-    return rows.select("doc_id", answer.manual_format(F.col("title"), F.col("details"), F.lit(""), (F.col("doc_id") % 5).cast("int")).alias("answer"))
-
-
-def _clean_sql() -> str:
-    sql = "SELECT conv_id, turn, '[参考1] 结论：' || text || ' [[PIC:img_01]]' AS x FROM conversations"
-    steps = (
-        (r"\[\[PIC[^\]]*\]\]|\[参考[0-9]+\]|（相关配图：[^）]*）", ""), (r"(?m)^\s*(结论|步骤|答案|回答|说明|注意)[：:]\s*", ""), (r"(根据|依据)(参考资料|说明书|现有资料)(可知)?[，,]?", ""),
-        (r"\b[A-Za-z]+_[0-9]{2,}\b", ""), (r"[ \t]+", " "), (r"\n{2,}", "\n"),
-    )
-    for pattern, to in steps:
-        sql = f"SELECT conv_id, turn, regexp_replace(x, {lit(pattern)}, {lit(to)}, 'g') AS x FROM ({sql})"
-    return f"SELECT conv_id, turn, md5({strip('x')}) AS ret_md5 FROM ({sql})"
-
-
-@query(_clean_sql())
-def submission_clean(spark, sf_dir):
-    said = F.concat(F.lit("[参考1] 结论："), F.col("text"), F.lit(" [[PIC:img_01]]"))
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.md5(answer.submission(said).cast("binary")).alias("ret_md5"))
+    """The title as conclusion, all further sentences as details, the first with an exclamation mark as caution."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", T.title("text").alias("title"), generate.sentence_units("text").alias("u"))
+    caution = F.coalesce(F.get(F.filter("u", lambda x: x.contains("!")), F.lit(0)), F.lit(""))
+    return rows.select("doc_id", answer.manual_format(F.col("title"), F.slice("u", 2, 1 << 20), caution, (F.col("doc_id") % 5).cast("int")).alias("answer"))
 
 
 @query(

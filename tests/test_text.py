@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lorebase.functions import text as T
-from lorebase.operators import answer, classify, dialog, evaluate, generate, images
+from lorebase.operators import answer, classify, dialog, evaluate, generate, images, submission
 
 
 @pytest.fixture(scope="module")
@@ -131,9 +131,9 @@ def test_answers(one, spark):
     assert one(answer.lines_once(lit("a\na\nb"))) == "a\nb"
     assert one(answer.manual_format(lit(""), F.array(lit("x")), lit(""), lit(0))) == answer.NO_ANSWER
     assert "1. x" in one(answer.manual_format(lit("c"), F.array(lit("x")), lit(answer.SAFETY), lit(5)))
-    assert one(answer.submission(lit("[参考1] 结论：可以[[PIC:a]]"))) == "可以"
-    assert one(answer.service_short(lit("这是第一句回答内容。好吗？太短。这是第二句回答内容。"))) == "这是第一句回答内容。这是第二句回答内容。"
-    assert one(answer.same_sentence(lit("Press it."), lit("press it now"))) is True
+    assert one(submission.without_labels(lit("[参考1] 结论：可以（参考 3）Manual1_2"))) == "可以"
+    assert one(submission.service_short(lit("这是第一句回答内容。 好吗？ 太短。 这是第二句回答内容。 这是第一句回答内容！"))) == "这是第一句回答内容。 这是第二句回答内容"
+    assert one(submission.alike(T.sentence_key(lit("Press it.")), T.sentence_key(lit("press it now")), 0)) is True
     assert one(answer.answer_status(lit("  "))) == 400
     prompts = spark.createDataFrame([("a", "d"), ("boom", "d"), ("", "d")], "prompt string, fallback string")
 
