@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, map_columns
 from .segments import Memo, raw
 
-#: Pieces that a worker remembers, and the longest one; beyond that it starts anew, which costs time and changes nothing.
-PIECES, PIECE_BYTES = 200_000, 48
+#: Pieces and pairs of tokens that a worker remembers, and the longest piece; beyond that it starts anew, which costs time and changes nothing.
+PIECES, PAIRS, PIECE_BYTES = 50_000, 150_000, 48
 
 
 class Node(NamedTuple):
@@ -92,7 +92,7 @@ class Ranks:
         """Whether the encoding of the two tokens' bytes is just these two."""
         known = self.known.get((left, right))
         if known is None:
-            if len(self.known) > 300_000:
+            if len(self.known) > PAIRS:
                 self.known.clear()
             known = self.known[left, right] = self._stays_apart(left, right)
         return known

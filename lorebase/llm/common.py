@@ -99,7 +99,7 @@ def map_texts(df: DataFrame, id_col: str, text_col: str, out: str, make: Callabl
     return map_columns(df, id_col, text_col, out, columns)
 
 
-def by_bytes(batch: pa.RecordBatch, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def by_bytes(batch: pa.RecordBatch, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cuts a batch so that each part holds about `most` bytes of text, or one row."""
     if batch.num_rows == 0:
         return

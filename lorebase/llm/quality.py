@@ -218,7 +218,7 @@ def scored(m: Model | float, texts: list[str]) -> tuple[np.ndarray, np.ndarray,
     return p, sizes, [int(a[s : s + n].argmax()) for s, n in zip(at, sizes)]
 
 
-def cut(texts: list[str], most: int = 4 << 20) -> Iterator[list[str]]:
+def cut(texts: list[str], most: int = 1 << 20) -> Iterator[list[str]]:
     """Texts in parts of about so many characters."""
     held, size = [], 0
     for t in texts:
@@ -237,8 +237,9 @@ def score(docs: DataFrame, model: Model | float, threshold: float = THRESHOLD, i
 
     def make():
         def work(texts):
-            p, sizes, top = scored(unpacked(packed), texts)
-            return [p, (p >= threshold).astype(int), sizes, top]
+            found = [scored(unpacked(packed), part) for part in cut(texts)]
+            p, sizes, top = (np.concatenate([np.empty(0), *(f[k] for f in found)]) for k in range(3))
+            return [p, (p >= threshold).astype(int), sizes.astype(int), top.astype(int)]
 
         return work
 

@@ -24,8 +24,8 @@ SPACE[[*range(9, 14), 32]] = True
 #: UTF-8 ends of white space beyond ASCII, by their number of bytes.
 WIDE2 = np.array([0xC285, 0xC2A0])
 WIDE3 = np.array([0xE19A80, *range(0xE28080, 0xE2808B), 0xE280A8, 0xE280A9, 0xE280AF, 0xE2819F, 0xE38080])
-#: Segments that a worker remembers, and the longest one; beyond that it starts anew, which costs time and changes nothing.
-MOST_ROWS, MOST_BYTES = 300_000, 48
+#: Segments that a worker remembers, how often a batch must hold one, and the longest; what is forgotten costs time alone.
+MOST_ROWS, OFTEN, MOST_BYTES = 200_000, 2, 48
 
 
 def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -99,16 +99,17 @@ class Memo:
         new = np.flatnonzero(codes < 0)
         rows, used = self.rows, self.used
         if len(new):
-            # Long segments are hardly met again: they come last and are forgotten after the batch.
-            long = np.fromiter((len(distinct[k]) > MOST_BYTES for k in new), bool, len(new))
-            new = np.concatenate([new[~long], new[long]])
-            segments = [distinct[k] for k in new]
+            # Segments that are long or stand once in a batch are hardly met again: they come last and are forgotten after it.
+            count = np.bincount(index, minlength=len(distinct))
+            rare = np.fromiter((count[k] < OFTEN or len(distinct[k]) > MOST_BYTES for k in new.tolist()), bool, len(new))
+            new = np.concatenate([new[~rare], new[rare]])
+            segments = [distinct[k] for k in new.tolist()]
             ids, sizes = self.encode_new(segments)
             codes[new] = np.arange(rows, rows + len(new))
-            short = len(new) - int(long.sum())
-            self.code.update(zip(segments[:short], range(rows, rows + short)))
+            kept = len(new) - int(rare.sum())
+            self.code.update(zip(segments[:kept], range(rows, rows + kept)))
             self._add(ids, sizes)
-            rows, used = rows + short, used + int(sizes[:short].sum())
+            rows, used = rows + kept, used + int(sizes[:kept].sum())
         place = codes[index]
         sizes = self.size[place]
         upto = np.cumsum(sizes)
