@@ -11,25 +11,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorebase.llm import bpe, decontam, linededup, neardup, quality
-from lorebase.llm.common import shared_dir, table
+from lorebase.llm.common import materialize, shared_dir, table
 
 ID, TEXT = "doc_id", "text"
 
 
-def _keep(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
-    """Rows whose id is (left_semi) or isn't (left_anti) among some distinct ids."""
-    return docs.join(ids.select(F.col(ID).alias("__kept")), F.col(ID) == F.col("__kept"), how)
-
-
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go; rows without an id stay, as they can't be named."""
-    model = quality.fit(docs, table(spark, sf_dir, "labels"))
-    rejected = quality.score(docs.where(F.col(ID).isNotNull()), model).groupBy(ID).agg(F.max("predicted").alias("p")).where("p = 0")
-    return _keep(docs, rejected, "left_anti")
+    """Rows whose text the classifier rejects go; rows without an id stay, as they can't be named.
+
+    Null texts are scored as empty ones; each row of a repeated id is judged by its own text; an empty table stays empty.
+    """
+    return quality.accepted(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Aligned blocks that an earlier document has are deleted from the later one; no row goes."""
+    """Aligned blocks that an earlier document has are deleted from the later one; no row goes.
+
+    Null texts and rows without an id stay as they are; an empty table stays empty.
+    """
     kept = linededup.dedup(docs)
     if "n_chars" in docs.columns:
         kept = kept.withColumn("n_chars", F.when(F.col("__n_removed") > 0, F.length(TEXT)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
@@ -37,21 +36,24 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of texts at a five-word similarity of 0.8 stays; rows without an id stay."""
+    """The document with the smallest id of each group of texts at a five-word similarity of 0.8 stays; rows without an id stay.
+
+    Null texts count as empty, and empty texts are copies of one another; repeated rows of a document that stays all
+    stay; an empty table stays empty.
+    """
     groups = neardup.groups(docs, ID, TEXT)
-    gone = groups.where(F.col(ID) != F.col("component_id")).select(F.col(ID).alias("__gone"), F.col("v").alias("__v"))
-    v = F.xxhash64(F.coalesce(F.col(TEXT), F.lit("")))
-    return docs.join(gone, (F.col(ID) == F.col("__gone")) & (v == F.col("__v")), "left_anti")
+    gone = materialize(groups.where(F.col(ID) != F.col("component_id")).select(F.col(ID).alias("id"), "v"), spark, "gone")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(ID).alias("id"), F.xxhash64(F.coalesce(F.col(TEXT), F.lit(""))).alias("v"))
+    return rows.join(gone, ["id", "v"], "left_anti").select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item within its budget of edits go."""
-    found = decontam.matches(docs, table(spark, sf_dir, "benchmark"))
-    return _keep(docs, decontam.leaked_ids(found), "left_anti")
+    """Rows that hold a benchmark item within its budget of edits go; null texts and rows without an id stay."""
+    return decontam.without_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each text, with what decoding them gives held against the text."""
+    """Token ids of each text, with what decoding them gives held against the text; null texts have none."""
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return bpe.encode_checked(docs, path, public_tokenizers.PATTERN)
 

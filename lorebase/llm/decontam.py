@@ -9,9 +9,10 @@ Texts and items are compared as lower-case words with one space between them; th
 length in that form. Items are sent to the tasks in blocks of bounded size; each block is one more pass over the
 documents, so that the benchmark may have any size. No candidates are dropped: every hit is verified.
 
-Cases: null texts and items count as empty; items shorter than least_chars are no evidence and find nothing; repeated
-items are reported by each id, repeated documents each; null ids stay null; empty tables give an empty result; extra
-columns are ignored.
+Items shorter than least_chars have no budget and match as whole words alone: a few edits make other words of them.
+
+Cases: null texts and items count as empty; items without a word find nothing; repeated items are reported by each id,
+repeated documents each; null ids stay null; empty tables give an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,14 +23,15 @@ from functools import lru_cache
 from typing import NamedTuple
 
 import pyarrow as pa
+from pyarrow import parquet
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from .common import bounded_batches, by_bytes
+from .common import bounded_batches, by_bytes, local_path, shared_dir
 
-#: Edits for each character of an item; shortest item; bytes of items that one pass carries.
+#: Edits for each character of an item; shortest item that may have any; bytes of items that one pass carries.
 RATE, LEAST_CHARS, BLOCK = 0.1, 30, 1 << 20
 WORD = re.compile(r"\w+")
 
@@ -91,9 +93,9 @@ class Item(NamedTuple):
     pieces: list[tuple[str, int, list[Pattern]]]
 
 
-def item(item_id, text: str, rate: float) -> Item:
-    """Halves a text with its budget until none is left."""
-    whole = pattern(text, 0, int(len(text) * rate))
+def item(item_id, text: str, rate: float, least_chars: int = LEAST_CHARS) -> Item:
+    """Halves a text with its budget until none is left. A short text has none from the start."""
+    whole = pattern(text, 0, int(len(text) * rate) if len(text) >= least_chars else 0)
     pieces: list[tuple[str, int, list[Pattern]]] = []
 
     def halve(start: int, end: int, budget: int, above: list[Pattern]) -> None:
@@ -111,10 +113,11 @@ def item(item_id, text: str, rate: float) -> Item:
 
 
 class Matcher:
-    def __init__(self, items: list[tuple[object, str]], rate: float):
+    def __init__(self, items: list[tuple[object, str]], rate: float, least_chars: int = LEAST_CHARS):
         import ahocorasick
 
-        self.items = [item(i, t, rate) for i, t in items]
+        self.items = [item(i, t, rate, least_chars) for i, t in items if t]
+        self.least_chars = least_chars
         places: dict[str, list[tuple[int, int, list[Pattern]]]] = {}
         for n, it in enumerate(self.items):
             for text, start, above in it.pieces:
@@ -135,6 +138,9 @@ class Matcher:
         for end, (size, found) in self.pieces.iter(text):
             for n, start, above in found:
                 origin = end + 1 - size - start
+                short = self.items[n].whole.length < self.least_chars
+                if short and (text[origin - 1 : origin] or " ", text[end + 1 : end + 2] or " ") != (" ", " "):
+                    continue  # whole words only
                 for p in above:
                     # The same part at the same place was tried from another of its pieces.
                     key = (n, p.start, p.length, origin)
@@ -158,8 +164,25 @@ class Matcher:
 
 
 @lru_cache(2)
-def matcher(items: tuple[tuple[object, str], ...], rate: float) -> Matcher:
-    return Matcher(list(items), rate)
+def matcher(folder: str, block: int, rate: float, least_chars: int) -> Matcher:
+    """Of one written block of items."""
+    system, path = local_path(f"{folder}/b={block}")
+    rows = parquet.read_table(path, filesystem=system, partitioning=None).to_pylist() if system.get_file_info(path).type.name == "Directory" else []
+    items = sorted(((r["item"], plain(r["text"])) for r in rows), key=str)
+    return Matcher(items, rate, least_chars)
+
+
+def blocks_of(benchmark: DataFrame, block: int = BLOCK, item_col: str = "item_id", item_text: str = "text") -> tuple[str, int]:
+    """Writes the items in the shared folder, in blocks of about so many bytes; tasks read a block when they need it.
+
+    The driver holds no items. Each block is one pass over the texts, all in the same tasks.
+    """
+    spark = benchmark.sparkSession
+    tests = benchmark.select(F.col(item_col).alias("item"), F.col(item_text).alias("text")).where("text is not null")
+    blocks = max(1, -(-tests.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0] // block))
+    folder = shared_dir(spark, "items")
+    tests.withColumn("b", F.pmod(F.xxhash64("item", "text"), F.lit(blocks)).cast("int")).repartition(min(blocks, 1000), "b").write.partitionBy("b").parquet(folder)
+    return folder, blocks
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, least_chars: int = LEAST_CHARS, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -167,29 +190,35 @@ def matches(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, least_cha
     spark = docs.sparkSession
     bounded_batches(spark)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    tests = benchmark.select(F.col(item_col).alias("item"), F.col(item_text).alias("text")).where("text is not null")
-    kind = StructType().add("id", rows.schema["id"].dataType).add("item", tests.schema["item"].dataType).add("distance", "integer").add("begin", "long").add("end", "long").add("n_places", "integer")
+    kind = StructType().add("id", rows.schema["id"].dataType).add("item", benchmark.schema[item_col].dataType).add("distance", "integer").add("begin", "long").add("end", "long").add("n_places", "integer")
     arrow = to_arrow_schema(kind)
-    total = tests.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    blocks = max(1, -(-total // block))
-    if blocks > 1:
-        tests = tests.withColumn("b", F.pmod(F.xxhash64("item", "text"), F.lit(blocks)))
-    out = None
-    for b in range(blocks):
-        own = tests if blocks == 1 else tests.where(F.col("b") == b)
-        items = tuple(sorted(((r.item, t) for r in own.collect() if len(t := plain(r.text)) >= least_chars), key=str))
-
-        def run(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
-            search = matcher(items, rate).search
-            for batch in batches:
-                for part in by_bytes(batch):
-                    found = [(i, *m) for i, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist()) for m in search(plain(t))]
+    folder, blocks = blocks_of(benchmark, block, item_col, item_text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in by_bytes(batch):
+                texts = [plain(t) for t in part.column(1).to_pylist()]
+                ids = part.column(0).to_pylist()
+                for b in range(blocks):
+                    search = matcher(folder, b, rate, least_chars).search
+                    found = [(i, *m) for i, t in zip(ids, texts) for m in search(t)]
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found) if found else [[]] * len(arrow), arrow.types)], schema=arrow)
 
-        passed = rows.mapInArrow(run, kind)
-        out = passed if out is None else out.unionByName(passed)
-    return out.select(F.col("id").alias(id_col), F.col("item").alias(item_col), *kind.names[2:])
+    return rows.mapInArrow(run, kind).select(F.col("id").alias(id_col), F.col("item").alias(item_col), *kind.names[2:])
+
+
+def without_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, least_chars: int = LEAST_CHARS, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that hold no item; rows without an id stay. Decided row by row: texts don't leave their tasks."""
+    folder, blocks = blocks_of(benchmark, block)
 
+    @F.arrow_udf("boolean")
+    def leaks(texts: pa.Array) -> pa.Array:
+        plains = [plain(t) for t in texts.to_pylist()]
+        out = [False] * len(plains)
+        for b in range(blocks):
+            search = matcher(folder, b, rate, least_chars).search
+            out = [x or bool(search(t)) for x, t in zip(out, plains)]
+        return pa.array(out, pa.bool_())
 
-def leaked_ids(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    return found.select(id_col).where(F.col(id_col).isNotNull()).distinct()
+    bounded_batches(docs.sparkSession)
+    return docs.where(F.col(id_col).isNull() | ~leaks(F.col(text_col)))

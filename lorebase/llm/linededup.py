@@ -1,7 +1,7 @@
 """Line dedup by pairwise alignment.
 
-Documents overlap where they share lines. For each shared line the first document that holds it (the smallest id) is
-its source; a later document is paired with the sources of its lines, the rarest line first, so that a line in n
+Documents overlap where they share rare lines. For each shared line the first document that holds it (the smallest id) is
+its source; a later document is paired with the sources of its rare lines, the rarest line first, so that a line in n
 documents makes n - 1 pairs, not n * n. Each pair's shared lines are aligned by patience diff: lines that occur once on
 both sides, in the longest order that both keep, hold the alignment, and what lies between is aligned in turn. Aligned
 blocks of enough words are deleted from the later document. A line's source always keeps it.
@@ -10,6 +10,8 @@ A passage's lines may each come from other documents than the passage. So the fi
 adjacent key lines (from each line forward, and backward, until there are enough words) is a source of it too, and a
 run's lines go from all later ones, whichever way an alignment cuts them. Each line of a block that any earlier document
 has is in one of these runs, so this finds what aligning all pairs of documents would, with rows in proportion to lines.
+Runs of any number of holders are found so; frequent lines and runs make no pairs, as a common line's source would else
+be sent to most documents.
 
 Lines of a few words (bullets) are no keys; they go with a block that has the same ones inside in both documents, and a
 block ends where they differ. Blank lines hold no text and aren't compared. Words end at spaces, tabs and the like; a
@@ -38,8 +40,8 @@ from lorebase.functions.text import bind
 
 from .common import bounded_batches, materialize
 
-#: Least words of a line that is a key, and of a block that is deleted.
-KEY_WORDS, BLOCK_WORDS = 4, 20
+#: Least words of a line that is a key, and of a block that is deleted; holders of a line or run that still counts as rare.
+KEY_WORDS, BLOCK_WORDS, RARE = 4, 20, 64
 #: What ends a word, the most characters a word of a spaced line, and the characters of a word in other lines.
 SPACES, LONGEST, CHARACTERS = " \t\r\f\v\u00a0\u3000", 20, 5
 
@@ -61,12 +63,14 @@ def align(a: list[int], b: list[int]) -> list[tuple[int, int]]:
         left, right = places(a, a0, a1), places(b, b0, b1)
         both = [x for x in left if x in right]
         once = [x for x in both if len(left[x]) == len(right[x]) == 1]
-        # Where no line is unique, the first places of repeated ones hold the alignment.
-        held = rising(sorted((left[x][0], right[x][0]) for x in once or both))
-        if held:
+        if once:
+            held = rising(sorted((left[x][0], right[x][0]) for x in once))
             for (i, j), (m, n) in zip([(a0 - 1, b0 - 1), *held], [*held, (a1, b1)]):
                 todo.append((i + 1, m, j + 1, n))
             out += held
+        else:
+            # No line is unique: equal lines go together in their order, at once, so that long repeats stay cheap.
+            out += rising(sorted(p for x in both for p in zip(left[x], right[x])))
     return sorted(out)
 
 
@@ -101,25 +105,36 @@ def common_blocks(own: list[tuple[int, ...]], other: list[tuple[int, ...]], leas
     """First and last line of each aligned block with enough words. own: key, line, hash, words, gap; other: key, hash, gap.
 
     Keys number a document's key lines, so that a line which the other lacks ends a block; so does another gap (the hash
-    of the lines between a key and the key before; without gaps these lines aren't compared). What an alignment leaves of
-    the own lines is aligned again with the whole of the other, so that moved and repeated blocks are found too.
+    of the lines between a key and the key before; without gaps these lines aren't compared). What the alignment leaves
+    of the own lines is held against the other once more, from each line's first place there on: that finds moved and
+    repeated blocks in one walk.
     """
-    out: list[tuple[int, int]] = []
     theirs = [x[1] for x in other]
-    while pairs := align([x[2] for x in own], theirs):
-        words, first = 0, None
-        for n, (i, j) in enumerate(pairs):
-            first = own[i] if first is None else first
-            words += own[i][3]
-            goes_on = n + 1 < len(pairs) and own[pairs[n + 1][0]][0] == own[i][0] + 1 and other[pairs[n + 1][1]][0] == other[j][0] + 1
-            goes_on = goes_on and own[pairs[n + 1][0]][4:] == other[pairs[n + 1][1]][2:]
-            if not goes_on:
-                if words >= least:
-                    out.append((first[1], own[i][1]))
-                words, first = 0, None
-        aligned = {i for i, _ in pairs}
-        own = [x for k, x in enumerate(own) if k not in aligned]
-    return out
+    pairs = align([x[2] for x in own], theirs)
+    aligned = {i for i, _ in pairs}
+    first_place: dict[int, int] = {}
+    for j, x in enumerate(theirs):
+        first_place.setdefault(x, j)
+    moved, j = [], -1
+    for i, x in enumerate(own):
+        if i in aligned or x[2] not in first_place:
+            continue
+        j = j + 1 if moved and moved[-1][0] == i - 1 and j + 1 < len(theirs) and theirs[j + 1] == x[2] else first_place[x[2]]
+        moved.append((i, j))
+    return [block for way in (pairs, moved) for block in blocks(own, other, way, least)]
+
+
+def blocks(own: list[tuple[int, ...]], other: list[tuple[int, ...]], pairs: list[tuple[int, int]], least: int) -> Iterator[tuple[int, int]]:
+    """First and last line of the runs of pairs that go on without a break on both sides and have enough words."""
+    words, first = 0, None
+    for n, (i, j) in enumerate(pairs):
+        first = own[i] if first is None else first
+        words += own[i][3]
+        goes_on = n + 1 < len(pairs) and own[pairs[n + 1][0]][0] == own[i][0] + 1 and other[pairs[n + 1][1]][0] == other[j][0] + 1
+        if not (goes_on and own[pairs[n + 1][0]][4:] == other[pairs[n + 1][1]][2:]):
+            if words >= least:
+                yield first[1], own[i][1]
+            words, first = 0, None
 
 
 def runs(own: list[tuple[int, ...]], least: int) -> set[tuple[int, int]]:
@@ -197,8 +212,11 @@ def gapped(lines, keys):
     return F.transform(keys, gap)
 
 
-def deletions(docs: DataFrame, key_words: int = KEY_WORDS, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """id, v, gone array<int>: lines to delete from each later document. docs: id, v (hash of the text), text."""
+def deletions(docs: DataFrame, key_words: int = KEY_WORDS, block_words: int = BLOCK_WORDS, rare: int = RARE) -> DataFrame:
+    """id, v, n_gone, kept: how many lines go from each later document, and first line and number of each run that stays.
+
+    docs: id, v (hash of the text), text. The last run that stays has no end.
+    """
     spark = docs.sparkSession
     bounded_batches(spark)
     trimmed = F.transform(_lines(F.col("text")), lambda x: F.trim(x))
@@ -218,15 +236,16 @@ def deletions(docs: DataFrame, key_words: int = KEY_WORDS, block_words: int = BL
     begun = run.groupBy("run").agg(F.min(me).alias("source"), F.max(me).alias("end"), F.count(F.lit(1)).alias("n")).where("source <> end").drop("end")
     later_runs = materialize(run.join(begun, "run").where(me != F.col("source")), spark, "laterruns")
     spans = later_runs.groupBy("id", "v").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
-    ends = shared.where(me != F.col("source")).select("id", "v", "source", "n").union(later_runs.select("id", "v", "source", "n"))
+    ends = shared.where(me != F.col("source")).select("id", "v", "source", "n").union(later_runs.select("id", "v", "source", "n")).where(F.col("n") <= rare)
     pairs = ends.groupBy("id", "v", "source").agg(F.min("n").alias("n"))
     others = pairs.join(held.select(F.struct("id", "v").alias("source"), F.transform("own", lambda x: F.struct(x["k"].alias("k"), x["hash"].alias("hash"), x["gap"].alias("gap"))).alias("other")), "source")
     later = pairs.select("id", "v").distinct()
     no_spans = F.lit(None).cast(spans.schema["spans"].dataType).alias("spans")
+    later = later.union(spans.select("id", "v")).distinct()
     rows = held.join(later, ["id", "v"], "left_semi").join(spans, ["id", "v"], "left").select("id", "v", F.lit(0).alias("n"), F.lit(None).cast(others.schema["source"].dataType).alias("source"), "own", F.lit(None).cast(others.schema["other"].dataType).alias("other"), "spans")
     rows = rows.unionByName(others.select("id", "v", F.col("n").cast("int").alias("n"), "source", F.lit(None).cast(held.schema["own"].dataType).alias("own"), "other", no_spans))
     near = rows.repartition("id", "v").sortWithinPartitions("id", "v", "n", "source").select("id", "v", "own", "other", "spans")
-    kind = StructType().add("id", docs.schema["id"].dataType).add("v", "long").add("gone", StructType.fromDDL("g array<int>")["g"].dataType)
+    kind = StructType().add("id", docs.schema["id"].dataType).add("v", "long").add("n_gone", "integer").add("kept", StructType.fromDDL("k array<struct<first:int,n:int>>")["k"].dataType)
     arrow = to_arrow_schema(kind)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,28 +255,43 @@ def deletions(docs: DataFrame, key_words: int = KEY_WORDS, block_words: int = BL
             for i, v, mine, other, known in zip(*(c.to_pylist() for c in batch.columns)):
                 if mine is not None:
                     if gone:
-                        out.append((*name, sorted(gone)))
+                        out.append((*name, len(gone), stays(gone)))
                     name, own, gone = (i, v), [(x["k"], x["pos"], x["hash"], x["words"], x["gap"]) for x in mine], set()
                     for x in known or []:
                         gone.update(range(x["first"], x["last"] + 1))
                 else:
                     for first, last in common_blocks(own, [(x["k"], x["hash"], x["gap"]) for x in other], block_words):
                         gone.update(range(first, last + 1))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 3, arrow.types)], schema=arrow)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 4, arrow.types)], schema=arrow)
         if gone:
-            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((*name, sorted(gone)), arrow.types)], schema=arrow)
+            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((*name, len(gone), stays(gone)), arrow.types)], schema=arrow)
 
     return near.mapInArrow(work, kind)
 
 
-def dedup(docs: DataFrame, key_words: int = KEY_WORDS, block_words: int = BLOCK_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All columns of docs with the text's deleted lines gone, and __n_lines, __n_removed."""
+def stays(gone: set[int]) -> list[dict[str, int]]:
+    """First line and number of lines between deleted ones; the last run has no end."""
+    out, at = [], 0
+    for k in sorted(gone):
+        if k > at:
+            out.append({"first": at, "n": k - at})
+        at = k + 1
+    return [*out, {"first": at, "n": 1 << 30}]
+
+
+def dedup(docs: DataFrame, key_words: int = KEY_WORDS, block_words: int = BLOCK_WORDS, id_col: str = "doc_id", text_col: str = "text", rare: int = RARE) -> DataFrame:
+    """All columns of docs with the text's deleted lines gone, and __n_lines, __n_removed, which replace columns of these names."""
+    spark = docs.sparkSession
     v = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    found = deletions(docs.select(F.col(id_col).alias("id"), v.alias("v"), F.col(text_col).alias("text")), key_words, block_words)
-    found = found.select(F.col("id").alias("__id"), F.col("v").alias("__v"), F.col("gone").alias("__gone"))
-    joined = docs.withColumn("__w", v).join(found, (F.col(id_col) == F.col("__id")) & (F.col("__w") == F.col("__v")), "left")
-    kept = F.filter(_lines(F.col(text_col)), lambda x, k: ~F.array_contains("__gone", k))
-    text = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
-    size = F.coalesce(F.size(_lines(F.col(text_col))), F.lit(0))
-    columns = [text.alias(c) if c == text_col else F.col(c) for c in docs.columns]
-    return joined.select(*columns, F.when(F.col(text_col).isNull(), 0).otherwise(size).alias("__n_lines"), F.coalesce(F.size("__gone"), F.lit(0)).alias("__n_removed"))
+    found = deletions(docs.select(F.col(id_col).alias("id"), v.alias("v"), F.col(text_col).alias("text")), key_words, block_words, rare)
+    # A written list has a size that Spark knows: the texts are shuffled to it only where it is long.
+    found = materialize(found, spark, "deletions")
+    # The row goes along as one value, so that its names meet no other ones.
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"), v.alias("v"))
+    joined = rows.join(found, ["id", "v"], "left")
+    text = F.col("row")[text_col]
+    left = lambda lines: F.flatten(F.transform("kept", lambda r: F.slice(lines, r["first"] + 1, r["n"])))
+    new = F.when(F.col("kept").isNull(), text).otherwise(F.array_join(bind(_lines(text), left), "\n"))
+    columns = [new.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns if c not in ("__n_lines", "__n_removed")]
+    size = F.when(text.isNull(), 0).otherwise(F.length(text) - F.length(F.translate(text, "\n", "")) + 1)
+    return joined.select(*columns, size.alias("__n_lines"), F.coalesce("n_gone", F.lit(0)).alias("__n_removed"))

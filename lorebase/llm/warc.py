@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from .common import bounded_batches, by_bytes, local_path
+from .common import bounded_batches, by_bytes, local_path, materialize, spread_files
 
 #: Fixed values of the seekable format: the skippable frame's magic number and the footer's.
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
@@ -154,8 +154,9 @@ def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str =
     bounded_batches(spark)
     payload = F.coalesce(F.col(payload_col), F.lit("")).cast("binary")
     rows = pages.select(F.col(id_col).alias("id"), F.coalesce(F.col(url_col), F.lit("")).alias("url"), payload.alias("payload")).withColumn("digest", F.sha2("payload", 256))
-    # The wide rows are joined by id and digest, so that a page with many copies is no hot key.
-    marked = rows.join(decisions(rows), ["id", "digest"], "left").select("id", "payload", "url", "digest", "refers_to")
+    # Decisions are written first: Spark then knows their size, sends a short list to the pages, and shuffles the pages
+    # only for a long one. They are joined by id and digest, so that a page with many copies is no hot key.
+    marked = rows.join(materialize(decisions(rows), spark, "revisits"), ["id", "digest"], "left").select("id", "payload", "url", "digest", "refers_to")
     kind = StructType().add("id", rows.schema["id"].dataType).add("bundle", "string").add("frame", "integer").add("start", "integer").add("length", "integer")
     arrow = to_arrow_schema(kind)
 
@@ -200,8 +201,8 @@ def _batches(rows: Iterator[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatc
 
 
 def read(spark: SparkSession, folder: str, payloads: bool = True) -> DataFrame:
-    """Every record of an archive, one task for a bundle; columns as in FOUND."""
-    bundles = spark.read.parquet(f"{folder}/index").select("bundle").distinct()
+    """Every record of an archive, read by the bundles; columns as in FOUND."""
+    bundles = spread_files(spark.read.parquet(f"{folder}/index").select("bundle").distinct())
     kind = StructType.fromDDL(FOUND)
     arrow = to_arrow_schema(kind)
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import lexicon
 from ..functions.text import compact, distinct_terms
 from . import classify, generate
-from .index import rank_bonus, top
+from .index import rank_bonus, sent, top
 from .ingest import OMNIBUS
 
 # Terms of a query, and rows for each term and in all.
@@ -35,7 +35,7 @@ def like_candidates(queries: DataFrame, chunks: DataFrame, k: int = 10) -> DataF
     low = chunks.select("chunk_id", "product_name", F.lower("title").alias("lt"), F.lower("text").alias("lx"), F.lower("product_name").alias("lp"), F.length("title").alias("nt"), F.length("text").alias("nx"))
     scope = (F.size("products") == 0) | F.array_contains("products", F.col("product_name"))
     held = F.col("lt").contains(F.col("needle")) | F.col("lx").contains(F.col("needle")) | F.col("lp").contains(F.col("needle"))
-    pairs = low.join(F.broadcast(terms), scope & held)
+    pairs = low.join(sent(terms), scope & held)
     points = 3 * F.col("lt").contains(F.col("needle")).cast("int") + 2 * F.col("lp").contains(F.col("needle")).cast("int") + F.col("lx").contains(F.col("needle")).cast("int")
     w = Window.partitionBy("query_id", "term").orderBy(points.desc(), "nt", "nx", "chunk_id")
     return pairs.withColumn("like_score", points).withColumn("n", F.row_number().over(w)).where("n <= most").select("query_id", "term", "chunk_id", "like_score", "n")

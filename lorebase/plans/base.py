@@ -22,8 +22,20 @@ def query(sql: str | None = None):
     return put
 
 
+#: Bytes of a table that is small enough to deal out by a shuffle.
+SMALL = 64 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """A table. A small one often is a single row group, which one task reads: it's dealt out over the cores. Larger ones
+    have splits enough of their own."""
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(spark.sparkContext.defaultParallelism) if name in TEXTS and size < SMALL else df
+
+
+#: Tables whose rows are worth a shuffle.
+TEXTS = ("documents", "pages")
 
 
 def lit(text: str) -> str:

@@ -6,11 +6,11 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicon
 from ..functions import text as T
-from ..operators import classify, dense, fuse, generate, rank
+from ..operators import classify, dense, fuse, generate, rank, retrieve
 from ..operators import index as I
 from . import planted
 from .base import TERMS, TITLED, any_in, lit, query, squeeze, strip, table
-from .build_queries import semantic_sql
+from .build_queries import domain_sql, semantic_sql
 from .planted import over_documents
 
 K = 10
@@ -47,9 +47,8 @@ def ascii_phrases(spark, sf_dir):
 
 @query(f"SELECT doc_id, m AS model, count(*) AS n FROM (SELECT doc_id, upper(unnest(regexp_extract_all(text, '{generate.MODEL}'))) AS m FROM documents) GROUP BY 1, 2")
 def models_products(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.explode(generate.models("text")).alias("model"), "text")
-    n = F.size(F.filter(F.transform(F.regexp_extract_all("text", F.lit(generate.MODEL), F.lit(0)), lambda m: F.upper(m)), lambda m: m == F.col("model")))
-    return rows.select("doc_id", "model", n.cast("long").alias("n"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(generate.MODEL), F.lit(0))).alias("m"))
+    return rows.groupBy("doc_id", F.upper("m").alias("model")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(over_documents("SELECT doc_id, array_to_string(list_filter([" + ", ".join(f"CASE WHEN {any_in('t', h)} THEN {lit(n)} END" for n, h in lexicon.INTENT_HINTS.items())
@@ -104,10 +103,17 @@ sc AS (
 bm AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY bm25 DESC, doc_id) AS rank FROM sc) WHERE rank <= 20)"""
 
 
-def _bm25(spark, sf_dir, k):
-    docs = table(spark, sf_dir, "documents")
-    scored = I.bm25(_questions(spark, sf_dir), I.postings(docs), I.statistics(docs))
-    return I.top(scored, "query_id", [F.col("bm25").desc(), F.col("doc_id")], k)
+def _hits(spark, sf_dir):
+    """Postings of the questions' terms alone, with whether the title has the term too."""
+    asked = _questions(spark, sf_dir).select("term").distinct()
+    rows = I.postings(table(spark, sf_dir, "documents"), only=asked, carry={"title": T.title("text")})
+    return rows.select("term", "doc_id", "tf", "dl", F.array_contains(I.terms("title"), F.col("term")).alias("in_title"))
+
+
+def _bm25(spark, sf_dir, k, hits=None):
+    docs, asked = table(spark, sf_dir, "documents"), _questions(spark, sf_dir)
+    index = I.postings(docs, only=asked.select("term").distinct()) if hits is None else hits
+    return I.top(I.bm25(asked, index, I.statistics(docs)), "query_id", [F.col("bm25").desc(), F.col("doc_id")], k)
 
 
 @query(f"WITH {_BM25} SELECT query_id, doc_id, bm25, CAST(rank AS INTEGER) AS rank FROM bm WHERE rank <= {K}")
@@ -121,12 +127,10 @@ ks AS (SELECT query_id, doc_id, CAST(sum(points) AS BIGINT) AS score_milli FROM
 kw AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score_milli DESC, doc_id) AS rank FROM ks) WHERE rank <= 20)"""
 
 
-def _keyword(spark, sf_dir, k):
+def _keyword(spark, sf_dir, k, hits=None):
     """Terms of the title count 3.5, of the text alone 1.2, in thousandths; matched by an equi-join, as postings are."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.array_distinct(I.terms("text")).alias("x"), T.title("text").alias("title"))
-    hits = docs.withColumn("t", F.array_distinct(I.terms("title"))).select("doc_id", "t", F.explode("x").alias("term"))
-    hits = hits.select("doc_id", "term", F.when(F.array_contains("t", F.col("term")), 3500).otherwise(1200).alias("points"))
-    scored = hits.join(F.broadcast(_questions(spark, sf_dir)), "term").groupBy("query_id", "doc_id").agg(F.sum("points").cast("long").alias("score_milli"))
+    hits = (_hits(spark, sf_dir) if hits is None else hits).select("doc_id", "term", F.when(F.col("in_title"), 3500).otherwise(1200).alias("points"))
+    scored = hits.join(I.sent(_questions(spark, sf_dir)), "term").groupBy("query_id", "doc_id").agg(F.sum("points").cast("long").alias("score_milli"))
     return I.top(scored, "query_id", [F.col("score_milli").desc(), F.col("doc_id")], k)
 
 
@@ -139,7 +143,8 @@ _RRF = "rf AS (SELECT query_id, doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 6)
 
 
 def _lists(spark, sf_dir):
-    return [f(spark, sf_dir, 2 * K).select("query_id", F.col("doc_id").alias("chunk_id"), "rank") for f in (_bm25, _keyword)]
+    hits = _hits(spark, sf_dir)
+    return [f(spark, sf_dir, 2 * K, hits).select("query_id", F.col("doc_id").alias("chunk_id"), "rank") for f in (_bm25, _keyword)]
 
 
 @query(f"WITH {TITLED}, {_BM25}, {_KEYWORD}, {_RRF} SELECT query_id, doc_id AS chunk_id, rrf_score, n_lists FROM rf")
@@ -147,12 +152,41 @@ def rrf(spark, sf_dir):
     return fuse.rrf(_lists(spark, sf_dir))
 
 
+# The dense side: documents and questions have the embedding of their number, where there is one.
+_DENSE = """dn AS (SELECT query_id, doc_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, doc_id) AS INTEGER) AS rank, cosine FROM (
+    SELECT q.vec_id AS query_id, v.vec_id AS doc_id, round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) + 0.0 AS cosine
+    FROM embeddings q JOIN benchmark ON item_id = q.vec_id, embeddings v SEMI JOIN documents ON doc_id = v.vec_id))"""
+
+
+def _index(spark, sf_dir):
+    """The tables of an index over documents with a kept table of vectors."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text", "source")
+    own = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"))
+    vectors = table(spark, sf_dir, "embeddings").join(own, "vec_id", "left_semi").select(F.col("vec_id").alias("chunk_id"), "embedding")
+    return retrieve.Index(docs, I.postings(docs, "chunk_id"), I.statistics(docs), vectors)
+
+
+def _asked(spark, sf_dir):
+    """The questions that have a vector, and their text."""
+    rows = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return rows.join(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("query_id"), "embedding"), "query_id")
+
+
 @query(
-    f"""WITH {TITLED}, {_BM25}, {_KEYWORD}, {_RRF}
-    SELECT query_id, doc_id AS chunk_id, rrf_score, n_lists, CAST(rrf_rank AS INTEGER) AS rrf_rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf_score DESC, doc_id) AS rrf_rank FROM rf) WHERE rrf_rank <= {K}"""
+    f"""WITH qt AS (SELECT DISTINCT item_id AS query_id, term FROM (SELECT item_id, unnest({TERMS.format('text')}) AS term FROM benchmark JOIN embeddings ON vec_id = item_id)),
+    {_BM25[_BM25.index('dt AS'):]}, {_DENSE},
+    rf AS (SELECT query_id, doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 6) AS score FROM (SELECT query_id, doc_id, rank FROM bm UNION ALL SELECT query_id, doc_id, rank FROM dn WHERE rank <= 20) GROUP BY 1, 2)
+    SELECT query_id, chunk_id, score, CAST(rank AS INTEGER) AS rank, source FROM (SELECT query_id, doc_id AS chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM rf) JOIN documents ON doc_id = chunk_id WHERE rank <= {K}"""
 )
 def hybrid_topk(spark, sf_dir):
-    return fuse.hybrid(*_lists(spark, sf_dir), K)
+    """Words and vectors, fused."""
+    return retrieve.retrieve("hybrid", _asked(spark, sf_dir), _index(spark, sf_dir), K).select("query_id", "chunk_id", "score", "rank", "source")
+
+
+@query(f"WITH {_DENSE} SELECT query_id, doc_id AS chunk_id, round(10 * cosine, 3) AS score, rank FROM dn WHERE rank <= {K}")
+def dense_topk(spark, sf_dir):
+    """Ten times the cosine."""
+    return retrieve.retrieve("vector", _asked(spark, sf_dir), _index(spark, sf_dir), K).select("query_id", "chunk_id", "score", "rank")
 
 
 @query(
@@ -217,7 +251,7 @@ def score_rows(spark, sf_dir):
     # Only chunks that some query asks for are labelled; their text joins after the candidates are few.
     wanted = chunks.join(pairs.select("chunk_id").distinct(), "chunk_id", "left_semi").withColumns(labels)
     wanted = wanted.withColumns({"clean_score": classify.clean_score(F.col("is_toc"), F.col("has_ocr_noise"), F.lit(False)), "is_warning_only": (F.col("semantic_type") == "safety_warning") & (classify.step_count("chunk_text") < 2), "image_ids": F.array().cast("array<string>")})
-    scored = rank.score(pairs.join(rank.with_norms(wanted), "chunk_id").join(F.broadcast(rank.with_intents(questions)), "query_id"))
+    scored = rank.score(pairs.join(rank.with_norms(wanted), "chunk_id").join(I.sent(rank.with_intents(questions)), "query_id"))
     return rank.final(scored, K).select("query_id", "chunk_id", "score", "title_hits", "text_hits", "product_match", "rank")
 
 
@@ -240,9 +274,10 @@ _VARIANTS = "va AS (SELECT query_id, doc_id, 0 AS v, rank - 1 AS r, bm25 AS s FR
 
 
 def _variants(spark, sf_dir):
+    hits = _hits(spark, sf_dir)
     rows = [
-        _bm25(spark, sf_dir, 2 * K).select("query_id", F.lit(0).alias("variant_no"), (F.col("rank") - 1).alias("rank"), F.col("doc_id").alias("chunk_id"), F.col("bm25").alias("score")),
-        _keyword(spark, sf_dir, 2 * K).select("query_id", F.lit(1).alias("variant_no"), (F.col("rank") - 1).alias("rank"), F.col("doc_id").alias("chunk_id"), (F.col("score_milli") / 1000.0).alias("score")),
+        _bm25(spark, sf_dir, 2 * K, hits).select("query_id", F.lit(0).alias("variant_no"), (F.col("rank") - 1).alias("rank"), F.col("doc_id").alias("chunk_id"), F.col("bm25").alias("score")),
+        _keyword(spark, sf_dir, 2 * K, hits).select("query_id", F.lit(1).alias("variant_no"), (F.col("rank") - 1).alias("rank"), F.col("doc_id").alias("chunk_id"), (F.col("score_milli") / 1000.0).alias("score")),
     ]
     return rows[0].unionByName(rows[1])
 
@@ -271,7 +306,7 @@ ef AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER B
 def _evidence(spark, sf_dir):
     none = F.array().cast("array<string>")
     terms = _questions(spark, sf_dir).groupBy("query_id").agg(F.collect_list("term").alias("query_terms"))
-    rows = fuse.fuse_variants(_variants(spark, sf_dir)).join(_chunks(spark, sf_dir), "chunk_id").join(F.broadcast(terms), "query_id")
+    rows = fuse.fuse_variants(_variants(spark, sf_dir)).join(_chunks(spark, sf_dir), "chunk_id").join(I.sent(terms), "query_id")
     rows = rows.withColumns({"n_images": F.lit(0), "image_terms": none, "component_terms": none, "status_terms": none, "issue_terms": none})
     return fuse.evidence_score(rows)
 
@@ -308,15 +343,53 @@ def context_budget(spark, sf_dir):
 
 @query(
     f"""WITH {_BM25}, ab AS (SELECT query_id, max(bm25) FILTER (WHERE rank = 1) AS a, coalesce(max(bm25) FILTER (WHERE rank = 2), 0) AS b FROM bm GROUP BY 1)
-    SELECT query_id, round(least(0.35 + least(a / 50.0::DOUBLE, 0.45) + least(greatest(a - b, 0.0) / 40.0::DOUBLE, 0.15), 0.95), 2) AS confidence FROM ab"""
+    SELECT query_id, CASE WHEN a IS NULL THEN 0.15 ELSE round(least(0.35 + least(a / 50.0::DOUBLE, 0.45) + least(greatest(a - b, 0.0) / 40.0::DOUBLE, 0.15), 0.95), 2) END AS confidence
+    FROM (SELECT item_id AS query_id FROM benchmark UNION ALL SELECT -1) LEFT JOIN ab USING (query_id)"""
 )
 def confidence(spark, sf_dir):
-    return fuse.confidence(_bm25(spark, sf_dir, 2), "bm25")
+    """One more question, -1, finds nothing."""
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id")).union(spark.range(-1, 0).toDF("query_id"))
+    return fuse.confidence(_bm25(spark, sf_dir, 2), "bm25", queries=asked)
+
+
+@query(
+    rf"""WITH z AS (SELECT doc_id, regexp_extract_all(text, '[一-鿿]+') AS r FROM planted), t AS (SELECT doc_id, unnest(list_filter(r, lambda x: length(x) > 6)) AS token FROM z),
+    u AS (SELECT DISTINCT doc_id, token FROM t), s AS (SELECT doc_id, token, list_filter([{", ".join(map(lit, lexicon.DOMAIN_PHRASES))}], lambda p: contains(token, p)) AS a,
+        flatten([{", ".join(f"CASE WHEN contains(token, {lit(k)}) THEN [{', '.join(map(lit, (k, *v)))}] ELSE [] END" for k, v in lexicon.SYNONYMS.items())}]) AS b,
+        list_filter(string_split_regex(token, '{generate.CUTS}'), lambda x: length(x) BETWEEN 2 AND 8) AS c FROM u),
+    v AS (SELECT *, list_concat(a, b, c[1:6], CASE WHEN len(a) = 0 AND len(c) = 0 THEN list_concat(list_transform(range(1, length(token) - 2), lambda k: substr(token, k, 4))[1:4], list_transform(range(1, length(token) - 1), lambda k: substr(token, k, 3))[1:4]) ELSE [] END) AS w FROM s)
+    SELECT doc_id, token, array_to_string(list_filter(w, lambda x, k: list_position(w, x) = k), '|') AS terms FROM v""".replace("WITH z", f"WITH {planted._DOCS}, z", 1)
+)
+def long_terms(spark, sf_dir):
+    """Terms of long runs of ideographs."""
+    runs = F.filter(F.regexp_extract_all("text", F.lit("[一-鿿]+"), F.lit(0)), lambda x: F.length(x) > 6)
+    rows = planted.documents(spark, sf_dir).select("doc_id", F.explode(F.array_distinct(runs)).alias("token"))
+    return rows.select("doc_id", "token", F.array_join(generate.long_terms(F.col("token")), "|").alias("terms"))
+
+
+_WORD_COUNT = "len(list_filter({}, lambda w: contains({}, regexp_replace(lower(w), '\\s+', '', 'g'))))"
+
+
+@query(
+    rf"""WITH {planted._DOCS}, {TITLED.replace('documents', 'planted')}, d AS (SELECT doc_id, regexp_replace(lower(title), '\s+', '', 'g') AS t, regexp_replace(lower(title), '\s+', '', 'g') || regexp_replace(lower(text), '\s+', '', 'g') AS x FROM titled),
+    g AS (SELECT doc_id, list(domain) AS own FROM {domain_sql('text', lexicon.QUERY_DOMAINS, 'planted', 'doc_id')} GROUP BY 1),
+    q AS (SELECT * FROM (VALUES (0, ['install', 'vacuum', 'side'], ['side brush'], ['vacuum']), (1, ['camera', 'lens'], [], ['camera']), (2, ['motherboard'], [], [])) AS v(query_id, words, phrases, groups)),
+    n AS (SELECT *, {_WORD_COUNT.format('words', 'x')} AS k, {_WORD_COUNT.format('words', 't')} AS kt, {_WORD_COUNT.format('phrases', 'x')} AS p, {_WORD_COUNT.format('phrases', 't')} AS pt,
+          len(list_filter(words, lambda w: length(w) >= 6 AND contains(x, w))) > 0 AS long, len(list_filter(groups, lambda z: list_contains(coalesce(own, []), z))) AS shared FROM q, d LEFT JOIN g USING (doc_id))
+    SELECT query_id, doc_id, round(least(1.6 * k, 9.0) + least(1.8 * kt, 6.0) + least(4.0 * p, 12.0) + least(3.0 * pt, 9.0) + CASE WHEN k <= 1 AND p = 0 THEN CASE WHEN long THEN 4.0 ELSE -12.0 END WHEN k >= 3 OR p >= 1 THEN 4.0 ELSE 0.0 END
+           + CASE WHEN len(groups) = 0 THEN 0.0 WHEN shared > 0 THEN 10.0 * shared WHEN len(coalesce(own, [])) > 0 THEN -14.0 ELSE -5.0 END, 1)::DOUBLE AS alignment FROM n"""
+)
+def english_alignment(spark, sf_dir):
+    """How three stated questions reach planted documents as chunks of the English manual."""
+    asked = spark.createDataFrame([(0, ["install", "vacuum", "side"], ["side brush"], ["vacuum"]), (1, ["camera", "lens"], [], ["camera"]), (2, ["motherboard"], [], [])], "query_id int, words array<string>, phrases array<string>, groups array<string>")
+    rows = planted.documents(spark, sf_dir).select("doc_id", T.compact(T.title("text")).alias("t"), T.compact("text").alias("x"), classify.domain_groups("text").alias("own"))
+    fit = rank.english_alignment(F.col("t"), F.col("x"), F.col("words"), F.col("phrases"), F.col("own"), F.col("groups"))
+    return rows.crossJoin(F.broadcast(asked)).select("query_id", "doc_id", F.round(fit, 1).alias("alignment"))
 
 
 @query(f"WITH b AS (SELECT item_id, {strip('text')} AS t FROM benchmark) SELECT item_id, count(*) AS n_docs, min(doc_id) AS first_doc FROM b JOIN documents ON contains(text, t) GROUP BY item_id")
 def benchmark_recall(spark, sf_dir):
     """Documents that hold a question's text as it is; the questions are few and stated."""
     items = table(spark, sf_dir, "benchmark").select("item_id", T.strip("text").alias("t"))
-    rows = table(spark, sf_dir, "documents").select("doc_id", "text").join(F.broadcast(items), F.col("text").contains(F.col("t")))
+    rows = table(spark, sf_dir, "documents").select("doc_id", "text").join(I.sent(items), F.col("text").contains(F.col("t")))
     return rows.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_docs"), F.min("doc_id").alias("first_doc"))

@@ -32,9 +32,12 @@ def test_lines_without_spaces_are_keys(spark):
 
 
 def all_pairs(rows):
-    """Each document against all earlier ones: lines of common runs of adjacent lines with enough words, in plain Python."""
+    """Each document against all earlier ones: lines of common runs of adjacent lines with enough words, in plain Python.
+
+    Rows without id or text stay as they are; repeated rows are one document.
+    """
     keys = {}
-    for i, text in rows:
+    for i, text in sorted({r for r in rows if None not in r}):
         found, between = [], []
         for pos, x in enumerate(text.split("\n")):
             x = x.strip(" ")
@@ -45,12 +48,15 @@ def all_pairs(rows):
                 between.append(x)
         keys[i] = found
     out = {}
-    for i, text in rows:
+    for i, text in sorted({r for r in rows if None not in r}):
         gone = set()
         for s in (s for s in keys if s < i):
             own, other = keys[i], keys[s]
+            at = {}
+            for b, x in enumerate(other):
+                at.setdefault(x[1], []).append(b)
             for a in range(len(own)):
-                for b in range(len(other)):
+                for b in at.get(own[a][1], []):
                     n = 0
                     while a + n < len(own) and b + n < len(other) and own[a + n][1] == other[b + n][1] and (not n or own[a + n][3] == other[b + n][3]):
                         n += 1
@@ -74,3 +80,44 @@ def test_equals_all_pairs(spark):
     rows = [(k, "\n".join(rng.choice(pool) if rng.random() < 0.8 else line(rng, 8) for _ in range(rng.randint(1, 14)))) for k in range(150)]
     assert dedup(spark, rows) == all_pairs(rows)
     assert sum(t != u for (_, t), u in zip(rows, all_pairs(rows).values())) > 30
+
+
+def test_eight_holders_of_a_block(spark):
+    """Each line of a block is first held by another document; two later documents hold all of it."""
+    rng = random.Random(26)
+    block = [line(rng, 5) for _ in range(8)]
+    rows = [(k, f"{line(rng, 30)}\n{x}") for k, x in enumerate(block)] + [(20, "\n".join([line(rng, 9), *block])), (21, "\n".join([line(rng, 9), *block]))]
+    got = dedup(spark, rows)
+    assert got == all_pairs(rows) and got[21].count("\n") == 0
+
+
+def test_long_repeats_take_linear_time():
+    import time
+
+    began = time.process_time()
+    same = [(k, k, 7, 30, 0) for k in range(100_000)]
+    assert len(linededup.common_blocks(same, [(0, 7, 0)], 20)) == 100_000
+    rng = random.Random(27)
+    mixed = [(k, k, rng.randint(0, 1), 30, 0) for k in range(50_000)]
+    linededup.common_blocks(mixed, [(k, rng.randint(0, 1), 0) for k in range(50_000)], 20)
+    assert time.process_time() - began < 10
+    assert linededup.stays({0, 1, 5}) == [{"first": 2, "n": 3}, {"first": 6, "n": 1 << 30}]
+
+
+def test_columns_of_any_name(spark):
+    rng = random.Random(28)
+    a = line(rng, 30)
+    rows = [(1, a, 1, "x", 2, 3, 4, 5), (2, f"{a}\nown", 1, "x", 2, 3, 4, 5)]
+    names = ("doc_id", "text", "__gone", "__id", "__v", "__w", "__kept", "row")
+    got = linededup.dedup(spark.createDataFrame(rows, ", ".join(f"{n} {'string' if n in ('text', '__id') else 'long'}" for n in names)))
+    assert got.columns == [*names, "__n_lines", "__n_removed"]
+    assert [(r.doc_id, r.text, r["__gone"], r["__n_removed"]) for r in got.orderBy("doc_id").collect()] == [(1, a, 1, 0), (2, "own", 1, 1)]
+
+
+def test_frequent_lines_without_pairs(spark):
+    """Runs of more holders than count as rare go as well."""
+    rng = random.Random(29)
+    common = [line(rng, 12), line(rng, 12)]
+    rows = [(k, "\n".join([line(rng, 6), *common, line(rng, 6)])) for k in range(linededup.RARE + 20)]
+    got = dedup(spark, rows)
+    assert got == all_pairs(rows) and sum(common[0] in t for t in got.values()) == 1

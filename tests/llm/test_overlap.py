@@ -3,6 +3,8 @@
 import random
 
 import pytest
+from test_lines import all_pairs
+from test_neardup import brute_groups
 
 from lorebase.llm import decontam, linededup
 
@@ -86,26 +88,9 @@ def test_patience_alignment():
 
 
 def brute_dedup(rows):
-    """Each later document against the source of each of its lines, in plain Python."""
-    import re
-
-    known = sorted({(i, t) for i, t, *_ in rows if i is not None and t is not None})
-    keys = {d: [(k, x.strip(" ")) for k, x in enumerate(d[1].split("\n")) if len(re.findall(" ", x.strip(" "))) + 1 >= linededup.KEY_WORDS] for d in known}
-    source, holders = {}, {}
-    for d in known:
-        for _, x in keys[d]:
-            source.setdefault(x, d)
-            holders.setdefault(x, set()).add(d)
-    out = {}
-    for d in known:
-        gone = set()
-        own = [(n, k, x, x.count(" ") + 1) for n, (k, x) in enumerate(keys[d]) if len(holders[x]) > 1]
-        for s in {source[x] for *_, x, _ in own} - {d}:
-            other = [(n, x) for n, (_, x) in enumerate(keys[s]) if len(holders[x]) > 1]
-            for first, last in linededup.common_blocks(own, other, linededup.BLOCK_WORDS):
-                gone |= set(range(first, last + 1))
-        out[d] = "\n".join(x for k, x in enumerate(d[1].split("\n")) if k not in gone) if gone else d[1]
-    return sorted(((i, out.get((i, t), t)) for i, t, *_ in rows), key=str)
+    """All later documents against all earlier ones."""
+    out = all_pairs([(i, t) for i, t, *_ in rows])
+    return sorted(((i, t if i is None or t is None else out[i]) for i, t, *_ in rows), key=str)
 
 
 def test_line_dedup_equals_brute_force(spark):
@@ -184,7 +169,6 @@ def staged(spark, tmp_path_factory):
 
 def test_pipeline_stages(spark, staged):
     import corpus_pipeline
-    from lorebase.llm import simhash
 
     first, good, lines, near, clean, ids = staged
     for frame in staged[1:5]:
@@ -195,8 +179,8 @@ def test_pipeline_stages(spark, staged):
     assert sum(right) / len(right) > 0.9
     assert {r.doc_id for r in lines.collect()} == kept
     assert sorted(((r.doc_id, r.text) for r in lines.collect()), key=str) == brute_dedup([(r.doc_id, r.text) for r in good.collect()])
-    groups = linked({r.doc_id: simhash.sketch(r.text, (1, 2, 3, 4)) for r in lines.collect()})
-    assert {r.doc_id for r in near.collect()} == set(groups.values())
+    groups = brute_groups([(r.doc_id, r.text) for r in lines.collect()])
+    assert {r.doc_id for r in near.collect()} == set(groups.values()) and len(set(groups.values())) < len(kept)
     bench = [decontam.plain(r.text) for r in spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").collect()]
     left = {r.doc_id for r in clean.collect()}
     for r in near.collect():
@@ -211,7 +195,26 @@ def test_stages_keep_odd_rows(spark):
 
     rows = [(1, None, "s", 1, "x"), (None, "Some words. " * 9, "s", 1, "x"), (2, "", "s", None, None), (2, "", "s", None, None)]
     frame = docs(spark, rows)
-    for name, stage in corpus_pipeline.STAGES[1:4]:
+    for name, stage in corpus_pipeline.STAGES:
         got = stage(spark, frame, "/root/testdata/sf0.001")
-        assert got.columns == frame.columns and got.where("doc_id is null").count() == 1
+        assert got.where("doc_id is null").count() == 1
+        assert name == "byte_bpe" or got.columns == frame.columns
         assert stage(spark, frame.limit(0), "/root/testdata/sf0.001").count() == 0
+    ids = {(r.doc_id, r.n_tokens) for r in corpus_pipeline.encode(spark, frame, "").collect()}
+    assert {(1, 0), (2, 0)} < ids
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    import corpus_pipeline
+
+    frame = spark.createDataFrame([(1, "a b c", 1, 2, 3, 4), (2, "a b c", 1, 2, 3, 4)], "doc_id long, text string, `row` int, __gone int, v int, __kept int")
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        got = stage(spark, frame, "/root/testdata/sf0.001")
+        assert got.columns == frame.columns and got.count() <= 2
+
+
+def test_short_items_match_exactly(spark):
+    bench = spark.createDataFrame([(1, "short item"), (2, "a b"), (3, "")], "item_id long, text string")
+    rows = [(1, "Here a SHORT, item stands", "s", 1, "x"), (2, "here a shortitem", "s", 1, "x"), (3, "a b", "s", 1, "x"), (4, "nab b", "s", 1, "x")]
+    got = {(r.doc_id, r.item_id) for r in decontam.matches(docs(spark, rows), bench).collect()}
+    assert got == {(1, 1), (3, 2)}
