@@ -7,7 +7,8 @@ which ones it finds changes the cost and never the result.
 
 Pairs are counted in two rounds. The first takes the links of several SimHashes and, under each prefix shingle,
 neighbours by size in one of four orders. The second takes all other pairs whose texts the first left in different
-groups: a pair within a group can't change it. So a large group of copies costs about its size, not its square.
+groups, if enough of both is left from the shared shingle on. A pair within a group can't change it. So a large group of
+copies costs about its size, not its square.
 
 A pair is held against parity bits before whole sets are: each shingle flips one of about as many bits as its text has
 shingles, so two texts' bits differ in no more places than their sets do. Pairs that differ in too many can't link, and
@@ -82,15 +83,15 @@ def frequent(texts: DataFrame, count: int) -> np.ndarray:
 def paired(postings: DataFrame, every: bool) -> DataFrame:
     """a, b: pairs under each shingle h whose sizes allow a link; neighbours alone, or all with different roots.
 
-    postings: h, v, n, with root for every. By size, a text's nearest neighbour is near enough if any is, so neighbours show each text
-    that has a candidate at all.
+    postings: h, v, n, with place (of h in the text's order, from 0) and root for every. By size, a text's nearest
+    neighbour is near enough if any is, so neighbours show each text that has a candidate at all.
     """
     spark = postings.sparkSession
     bounded_batches(spark)
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = postings.repartition(partitions, "h").sortWithinPartitions("h", "n", F.xxhash64(F.pmod("h", F.lit(4)), "v"))
 
-    def pairs(h: np.ndarray, v: np.ndarray, n: np.ndarray, root: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def pairs(h: np.ndarray, v: np.ndarray, n: np.ndarray, place: np.ndarray | None = None, root: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         if not every:
             near = (h[1:] == h[:-1]) & (5 * n[:-1] >= 4 * n[1:]) & (v[1:] != v[:-1])
             yield v[:-1][near], v[1:][near]
@@ -100,13 +101,18 @@ def paired(postings: DataFrame, every: bool) -> DataFrame:
             if e - s < 2 or (root[s:e] == root[s]).all():
                 continue
             ends = np.searchsorted(4 * n[s:e], 5 * n[s:e], "right") + s
+            # Under the first shingle that both have, they share no more than what the shorter rest holds, and linked sets
+            # share 4/9 of both sizes' sum; under later ones a link needs no second row.
+            rest = n[s:e] - place[s:e]
             for k in range(s, e - 1):
-                other = v[k + 1 : ends[k - s]][root[k + 1 : ends[k - s]] != root[k]]
+                beyond = slice(k + 1, ends[k - s])
+                enough = 9 * np.minimum(rest[k - s], rest[k + 1 - s : ends[k - s] - s]) >= 4 * (n[k] + n[beyond])
+                other = v[beyond][enough & (root[beyond] != root[k])]
                 if len(other):
                     yield np.full(len(other), v[k]), other
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.empty(0, np.int64)] * (4 if every else 3)
+        held = [np.empty(0, np.int64)] * (5 if every else 3)
 
         def search(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
             a, b, size = [], [], 0
@@ -139,7 +145,7 @@ def paired(postings: DataFrame, every: bool) -> DataFrame:
             yield from search(held)
 
     kind = StructType().add("a", LongType()).add("b", LongType())
-    return dealt.select("h", "v", "n", *(["root"] if every else [])).mapInArrow(run, kind).distinct()
+    return dealt.select("h", "v", "n", *(["place", "root"] if every else [])).mapInArrow(run, kind).distinct()
 
 
 def possible(pairs: DataFrame, prints: DataFrame) -> DataFrame:
@@ -189,7 +195,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     # A text without any neighbour under its prefix has no other candidate either.
     wanted = materialize(tried.select(F.explode(F.array("a", "b")).alias("v")).distinct(), spark, "tried")
     left = prints.select("v", "n", "first").join(wanted, "v", "left_semi").join(roots.withColumnRenamed("node", "v"), "v", "left")
-    rest = paired(left.select(F.explode("first").alias("h"), "v", "n", F.coalesce("root", "v").alias("root")), True)
+    rest = paired(left.select(F.posexplode("first").alias("place", "h"), "v", "n", F.coalesce("root", "v").alias("root")), True)
     rest = possible(rest.join(tried, ["a", "b"], "left_anti"), prints)
     more = verified(materialize(rest, spark, "rest"), texts, "second")
     roots = components(good.union(more).select(F.col("a").alias("low"), F.col("b").alias("high")), spark)
