@@ -284,8 +284,8 @@ def dedup(docs: DataFrame, key_words: int = KEY_WORDS, block_words: int = BLOCK_
     spark = docs.sparkSession
     v = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
     found = deletions(docs.select(F.col(id_col).alias("id"), v.alias("v"), F.col(text_col).alias("text")), key_words, block_words, rare)
-    # A written list has a size that Spark knows: the texts are shuffled to it only where it is long.
-    found = materialize(found, spark, "deletions")
+    # The list grows with the documents: the same join at every size.
+    found = materialize(found, spark, "deletions").hint("merge")
     # The row goes along as one value, so that its names meet no other ones.
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"), v.alias("v"))
     joined = rows.join(found, ["id", "v"], "left")
