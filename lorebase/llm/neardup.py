@@ -155,11 +155,15 @@ def possible(pairs: DataFrame, prints: DataFrame) -> DataFrame:
     return both.where(9 * differences(F.col("x"), F.col("y")) <= F.col("m") + F.col("n")).select("a", "b")
 
 
-def verified(pairs: DataFrame, texts: DataFrame, what: str) -> DataFrame:
-    """Pairs at a similarity of 0.8 or more. texts: v, text, each text once."""
-    spark = texts.sparkSession
-    wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias("v")).distinct(), spark, f"wanted-{what}")
-    sets = map_texts(texts.join(wanted, "v", "left_semi"), "v", "text", "s array<long>", lambda: lambda t: [[shingle_set(x) for x in t]])
+def verified(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, what: str) -> DataFrame:
+    """Pairs at a similarity of 0.8 or more. rows: id, v, text; nodes: v, id of the first row with this text."""
+    spark = rows.sparkSession
+    # By first rows, so that one join alone meets the texts.
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("v")).distinct().join(nodes.select("v", "id"), "v")
+    wanted = materialize(wanted, spark, f"wanted-{what}")
+    sets = map_texts(rows.join(wanted, ["id", "v"], "left_semi"), "v", "text", "s array<long>", lambda: lambda t: [[shingle_set(x) for x in t]])
+    if nodes.where("n > 1").limit(1).count():
+        sets = sets.dropDuplicates(["v"])
     sets = materialize(sets, spark, f"sets-{what}")
     both = pairs.join(sets.select(F.col("v").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("v").alias("b"), F.col("s").alias("y")), "b")
     both = both.select("a", "b", F.size("x").alias("m"), F.size("y").alias("n"), F.size(F.array_intersect("x", "y")).alias("k"))
@@ -190,14 +194,14 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     linked = sketch_links(prints.select(F.col("v").alias("id"), "bits"), SEEDS, RADIUS).select(F.col("low").alias("a"), F.col("high").alias("b"))
     near = paired(prints.select(F.explode("first").alias("h"), "v", "n"), False)
     tried = materialize(near.union(linked).distinct(), spark, "pairs")
-    good = verified(materialize(possible(tried, prints), spark, "possible"), texts, "first")
+    good = verified(materialize(possible(tried, prints), spark, "possible"), every, nodes, "first")
     roots = components(good.select(F.col("a").alias("low"), F.col("b").alias("high")), spark)
     # A text without any neighbour under its prefix has no other candidate either.
     wanted = materialize(tried.select(F.explode(F.array("a", "b")).alias("v")).distinct(), spark, "tried")
     left = prints.select("v", "n", "first").join(wanted, "v", "left_semi").join(roots.withColumnRenamed("node", "v"), "v", "left")
     rest = paired(left.select(F.posexplode("first").alias("place", "h"), "v", "n", F.coalesce("root", "v").alias("root")), True)
     rest = possible(rest.join(tried, ["a", "b"], "left_anti"), prints)
-    more = verified(materialize(rest, spark, "rest"), texts, "second")
+    more = verified(materialize(rest, spark, "rest"), every, nodes, "second")
     roots = components(good.union(more).select(F.col("a").alias("low"), F.col("b").alias("high")), spark)
     rooted = nodes.select("v", "id").join(roots.withColumnRenamed("node", "v"), "v", "left").withColumn("root", F.coalesce("root", "v"))
     least = rooted.groupBy("root").agg(F.min("id").alias("component_id"))
