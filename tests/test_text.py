@@ -114,15 +114,6 @@ def test_dialogue(one):
     assert service.route == "customer_service" and service.service_score == 4 and service.confidence == 0.89
     assert one(dialog.route(lit("电钻指示灯闪烁"))).route == "manual_rag"
     assert one(dialog.detail_intents(lit("需要什么材料，多久"))) == ["materials", "timeline"]
-    turn = dict(products=[], models=[], follow=False, reset=False, switch=False)
-    state = dialog.empty_state()
-    dialog.fold_turn(state, "电钻 DCB107 怎么用", "按下", **{**turn, "products": ["电钻"], "models": ["DCB107"]})
-    assert dialog.fold_turn(state, "那它呢", "", **{**turn, "follow": True}) == {"resolved": "电钻 DCB107 那它呢", "follow": True}
-    assert dialog.fold_turn(state, "换个产品", "", **{**turn, "switch": True})["follow"] is False
-    dialog.fold_turn(state, "相机", "", **{**turn, "products": ["相机"]})
-    assert state["product"] == "相机"
-    dialog.fold_turn(state, "重新开始", "", **{**turn, "reset": True})
-    assert state == dialog.empty_state()
 
 
 def test_answers(one, spark):
