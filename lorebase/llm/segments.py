@@ -40,9 +40,9 @@ def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return all_bytes[at[0] : at[-1]], at - at[0]
 
 
-def begins(data: np.ndarray, texts: np.ndarray) -> np.ndarray:
-    """First bytes of the segments of all texts, of which each begins one."""
-    space = SPACE[data]
+def begins(data: np.ndarray, texts: np.ndarray, spaces: np.ndarray = SPACE) -> np.ndarray:
+    """First bytes of the segments of all texts, of which each begins one; spaces tells the bytes that begin others."""
+    space = spaces[data]
     begin = np.zeros(len(data), bool)
     begin[1:] = space[1:] & ~space[:-1]
     high = np.flatnonzero(begin[1:] & (data[:-1] >= 0x80)) + 1
@@ -65,8 +65,8 @@ def numbered(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, list[byt
 class Memo:
     """What `encode` gives for segments. It takes distinct ones and gives their ids in a row and the number of each one's."""
 
-    def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]):
-        self.encode_new = encode
+    def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], spaces: np.ndarray = SPACE):
+        self.encode_new, self.spaces = encode, spaces
         self.clear()
 
     def clear(self) -> None:
@@ -92,7 +92,7 @@ class Memo:
             return np.empty(0, np.uint32), np.zeros(len(texts), np.int64)
         if self.rows > MOST_ROWS:
             self.clear()
-        starts = begins(data, texts)
+        starts = begins(data, texts, self.spaces)
         index, distinct = numbered(data, starts)
         get = self.code.get
         codes = np.fromiter((get(s, -1) for s in distinct), np.int64, len(distinct))
