@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import align, audit, bpe, decontam, idstore, linededup, multiset, quality, secrets, simhash, tokencount, warc
+from . import align, audit, bpe, decontam, idstore, linededup, mixing, multiset, quality, secrets, simhash, tokencount, warc
 from .common import shared_dir, table
 
 
@@ -65,6 +65,10 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multiset.edited(table(spark, sf_dir, "documents"))
 
 
+def op11_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies", "rate")
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.audit(audit.counters(spark, f"{sf_dir.rstrip('/')}/documents.parquet", table(spark, sf_dir, "labels")))
 
@@ -84,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_id_store": op8_id_store,
     "op9_quality": op9_quality,
     "op10_fingerprints": op10_fingerprints,
+    "op11_source_mixing": op11_source_mixing,
     "op12_filter_audit": op12_filter_audit,
     "op13_token_alignment": op13_token_alignment,
 }
