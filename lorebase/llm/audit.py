@@ -41,7 +41,9 @@ FILTERS = "ABCDE"
 COPY, ALL = 1 << 4, (1 << 5) - 1
 WORD_ENDS = r"[\x20\x09-\x0D]+"
 #: Micro-batches at most, about, and the fewest bytes of one; texts of a bucket, about; rows that a task folds at once.
-BATCHES, LEAST_BYTES, PER_BUCKET, FOLDED = 16, 64 << 20, 2000, 50_000
+BATCHES, LEAST_BYTES, PER_BUCKET, FOLDED = 16, 256 << 20, 2000, 50_000
+#: State stores at least, and rows of one, about: each store costs a task and its files in each micro-batch.
+STORES, PER_STORE = 8, 500_000
 
 ROW = "bucket long, digest binary, id long, part string, mask int, good int, toxic int, n long"
 HELD = "digest binary, id long, part string, mask int, good int, toxic int, n long"
@@ -130,7 +132,8 @@ def counters(spark: SparkSession, path: str, labels: DataFrame, batch_bytes: int
     table = spark.read.parquet(path)
     rows = table.count()
     size = int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows // PER_BUCKET)
+    stores = max(STORES, rows // PER_STORE)
+    buckets = max(8 * stores, rows // PER_BUCKET)
     flag = lambda c: F.max((F.col(c) == 1).cast("int")).alias(c)
     known = labels.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("id")).agg(flag("quality"), flag("toxic"))
     known = materialize(known.select("id", F.coalesce("quality", F.lit(0)).alias("good"), F.coalesce("toxic", F.lit(0)).alias("toxic")), spark, "labels")
@@ -148,7 +151,7 @@ def counters(spark: SparkSession, path: str, labels: DataFrame, batch_bytes: int
     def write(batch: DataFrame, number: int) -> None:
         batch.groupBy(*GROUP).agg(F.sum("n").alias("n")).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    with _state_store(spark):
+    with _state_store(spark, stores):
         query = changes.writeStream.outputMode("update").option("checkpointLocation", log).foreachBatch(write).trigger(availableNow=True).start()
         query.awaitTermination()
     written = spark.read.schema(CHANGE).parquet(out) if query.lastProgress is not None and _exists(spark, out) else spark.createDataFrame([], CHANGE)
@@ -163,14 +166,16 @@ class _state_store:
         "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
         "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
         "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+        # Many small stores: no disk is set aside for each.
+        "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
     }
 
-    def __init__(self, spark: SparkSession):
-        self.conf = spark.conf
+    def __init__(self, spark: SparkSession, stores: int):
+        self.conf, self.wanted = spark.conf, self.WANTED | {"spark.sql.shuffle.partitions": str(stores)}
 
     def __enter__(self):
-        self.before = {k: self.conf.get(k, None) for k in self.WANTED}
-        for k, v in self.WANTED.items():
+        self.before = {k: self.conf.get(k, None) for k in self.wanted}
+        for k, v in self.wanted.items():
             self.conf.set(k, v)
 
     def __exit__(self, *_):
