@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import lexicon
 from ..functions.text import MISSING, PIC, bind, col, contains_any, squeeze, strip, sub
+from .scan import Running, numbered, scan
 
 
 # Fixed value: what is left of bad recognition.
@@ -117,12 +118,13 @@ def query_intents(c) -> Column:
 
 
 def backfill_domain(chunks: DataFrame, manual: str, order: str, label: str = "domain_label") -> DataFrame:
-    """An unlabelled chunk takes the label of a near labelled one. Only given labels count, so it isn't recursive."""
-    w = Window.partitionBy(manual).orderBy(order)
+    """An unlabelled chunk takes the label of a near labelled one. Only given labels count, so it isn't recursive.
+
+    Numbers and nearest labels come from segmented scans: a manual of any size is many tasks' work.
+    """
+    rows = numbered(chunks, [manual], [order], "__n")
     given = F.when(F.col(label) != "", F.struct(F.col("__n").alias("n"), F.col(label).alias("d")))
-    rows = chunks.withColumn("__n", F.row_number().over(w))
-    rows = rows.withColumn("__p", F.last(given, True).over(w.rowsBetween(Window.unboundedPreceding, -1)))
-    rows = rows.withColumn("__f", F.first(given, True).over(w.rowsBetween(1, Window.unboundedFollowing)))
+    rows = scan(rows, [manual], ["__n"], {"__p": Running("previous", given), "__f": Running("next", given)})
     back, ahead = F.col("__n") - F.col("__p.n"), F.col("__f.n") - F.col("__n")
     found = (
         F.when((F.col("__p.d") == F.col("__f.d")) & (back <= 12) & (ahead <= 12), F.col("__p.d"))

@@ -11,12 +11,13 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicon
 from ..functions.text import compact, distinct_terms
-from . import classify, generate
-from .index import rank_bonus, sent, top
+from . import classify, generate, grams
+from .index import rank_bonus, top
 from .ingest import OMNIBUS
 
 # Terms of a query, and rows for each term and in all.
 LIKE_TERMS, TERM_LEAST, TERM_MOST, LEAST_FETCH = 14, 16, 80, 180
+FALLBACK_TERMS, LEAST_MERGED = 10, 40
 
 
 def fetch_size(k: int) -> int:
@@ -26,19 +27,51 @@ def fetch_size(k: int) -> int:
 def like_candidates(queries: DataFrame, chunks: DataFrame, k: int = 10) -> DataFrame:
     """query_id, term, chunk_id, like_score, n: rows that hold a term, the best few of each term.
 
-    The stated queries' terms are sent to every task; each chunk only makes rows for terms that it holds.
+    Rows that hold a term are found by its grams; the queries' terms meet only these.
     """
+    low = chunks.select("chunk_id", "product_name", F.lower("title").alias("lt"), F.lower("text").alias("lx"), F.lower("product_name").alias("lp"), F.length("title").alias("nt"), F.length("text").alias("nx"))
+    terms = like_terms(queries, k)
+    found = grams.holding(low, ["lt", "lx", "lp"], terms).select("chunk_id", "product_name", "nt", "nx", "needle", points().alias("like_score"))
+    pairs = found.join(terms, "needle").where((F.size("products") == 0) | F.array_contains("products", F.col("product_name")))
+    w = Window.partitionBy("query_id", "term").orderBy(F.desc("like_score"), "nt", "nx", "chunk_id")
+    return pairs.withColumn("n", F.row_number().over(w)).where("n <= most").select("query_id", "term", "chunk_id", "like_score", "n")
+
+
+def like_terms(queries: DataFrame, k: int, most: int = LIKE_TERMS) -> DataFrame:
+    """query_id, products, term, place, needle, most: the first terms of each query, and how many rows each may bring."""
     ordered = generate.prioritized(F.col("phrases"), F.col("keywords"), F.col("products"))
-    terms = queries.select("query_id", "products", F.slice(ordered, 1, LIKE_TERMS).alias("t"))
+    terms = queries.select("query_id", "products", F.slice(ordered, 1, most).alias("t"))
     terms = terms.withColumn("most", F.least(F.greatest(F.floor(F.lit(fetch_size(k)) / F.least(F.greatest(F.size("t"), F.lit(1)), F.lit(6))), F.lit(TERM_LEAST)), F.lit(TERM_MOST)))
-    terms = terms.select("query_id", "products", "most", F.explode("t").alias("term")).withColumn("needle", F.lower("term"))
+    return terms.select("query_id", "products", "most", F.posexplode("t").alias("place", "term")).withColumn("needle", F.lower("term"))
+
+
+def points() -> Column:
+    """What a term counts by the fields that hold it."""
+    return 3 * F.col("in_lt").cast("int") + 2 * F.col("in_lp").cast("int") + F.col("in_lx").cast("int")
+
+
+def fetched(queries: DataFrame, chunks: DataFrame, k: int = 10) -> DataFrame:
+    """L2, L4: query_id, chunk_id, like_score, is_fallback: each term's best rows; a query that these give too few chunks
+    gets the shortest rows that hold any of its first terms besides.
+
+    Both lists of a query are cut in one window, before rows are shuffled: the second by as many rows as hold enough
+    chunks, as a chunk comes once for each of these terms at most. Queries are told apart by a count over what is left.
+    """
+    fetch = fetch_size(k)
     low = chunks.select("chunk_id", "product_name", F.lower("title").alias("lt"), F.lower("text").alias("lx"), F.lower("product_name").alias("lp"), F.length("title").alias("nt"), F.length("text").alias("nx"))
-    scope = (F.size("products") == 0) | F.array_contains("products", F.col("product_name"))
-    held = F.col("lt").contains(F.col("needle")) | F.col("lx").contains(F.col("needle")) | F.col("lp").contains(F.col("needle"))
-    pairs = low.join(sent(terms), scope & held)
-    points = 3 * F.col("lt").contains(F.col("needle")).cast("int") + 2 * F.col("lp").contains(F.col("needle")).cast("int") + F.col("lx").contains(F.col("needle")).cast("int")
-    w = Window.partitionBy("query_id", "term").orderBy(points.desc(), "nt", "nx", "chunk_id")
-    return pairs.withColumn("like_score", points).withColumn("n", F.row_number().over(w)).where("n <= most").select("query_id", "term", "chunk_id", "like_score", "n")
+    terms = like_terms(queries, k)
+    found = grams.holding(low, ["lt", "lx", "lp"], terms).select("chunk_id", "product_name", "nt", "nx", "needle", points().alias("like_score"))
+    pairs = found.join(terms, "needle").where((F.size("products") == 0) | F.array_contains("products", F.col("product_name")))
+    # Every row stands in its term's list, and those of the first terms in the query's second list too.
+    both = F.array(F.struct(F.col("place").alias("list"), F.col("like_score").alias("points"), F.col("most").alias("most")), F.when(F.col("place") < FALLBACK_TERMS, F.struct(F.lit(-1).alias("list"), F.lit(0).alias("points"), F.lit(fetch * FALLBACK_TERMS).cast("long").alias("most"))))
+    lists = pairs.select("query_id", "chunk_id", "nt", "nx", "like_score", F.explode(F.filter(both, lambda x: x.isNotNull())).alias("l")).select("*", "l.*")
+    w = Window.partitionBy("query_id", "list").orderBy(F.desc("points"), "nt", "nx", "chunk_id")
+    cut = lists.withColumn("n", F.row_number().over(w)).where((F.col("n") <= fetch * FALLBACK_TERMS) & (F.col("n") <= F.col("most")))
+    named = cut.groupBy("query_id", "chunk_id").agg(F.max(F.when(F.col("list") >= 0, F.col("like_score"))).alias("like_score"), F.max(F.when(F.col("list") < 0, F.lit(1))).alias("any"), F.min("nt").alias("nt"), F.min("nx").alias("nx"))
+    own = Window.partitionBy("query_id")
+    counted = named.withColumn("n_like", F.count("like_score").over(own)).withColumn("n", F.row_number().over(own.orderBy(F.col("any").isNull(), "nt", "nx", "chunk_id")))
+    falls = (F.col("n_like") < max(fetch, LEAST_MERGED)) & F.col("any").isNotNull() & (F.col("n") <= fetch)
+    return counted.where(F.col("like_score").isNotNull() | falls).select("query_id", "chunk_id", "like_score", F.col("like_score").isNull().alias("is_fallback"))
 
 
 def merge(like: DataFrame, fts: DataFrame) -> DataFrame:

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import lexicon
 from ..functions import text as T
 from ..operators import classify, generate, ingest
+from ..operators.scan import numbered
 from ..sources import manuals
 from . import planted
 from .base import TITLED, any_in, lit, query, squeeze, strip, table
@@ -63,8 +63,8 @@ def pack_chunks(spark, sf_dir):
 
 @query("SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS chunk_index FROM documents")
 def chunk_number(spark, sf_dir):
-    w = Window.partitionBy("source").orderBy("doc_id")
-    return table(spark, sf_dir, "documents").select("doc_id", "source", (F.row_number().over(w) - 1).cast("long").alias("chunk_index"))
+    rows = numbered(table(spark, sf_dir, "documents").select("doc_id", "source"), ["source"], ["doc_id"], "n")
+    return rows.select("doc_id", "source", (F.col("n") - 1).alias("chunk_index"))
 
 
 @query("SELECT source, count(*) AS chunk_count, CAST(sum(n_chars) AS BIGINT) AS char_count FROM documents GROUP BY source")

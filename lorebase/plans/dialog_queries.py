@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicon
 from ..functions import text as T
-from ..operators import answer, dialog, evaluate, generate, images
-from ..operators import index as I
+from ..operators import answer, dialog, evaluate, generate, grams, images
 from . import planted
 from .base import TITLED, lit, query, squeeze, strip, table
 from .planted import over_conversations
@@ -337,7 +336,7 @@ def retrieval_recall(spark, sf_dir):
     """Of the documents that hold a question's text, how many are among its first ten."""
     from .search_queries import _bm25
 
-    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), T.strip("text").alias("t"))
-    relevant = table(spark, sf_dir, "documents").join(I.sent(items), F.col("text").contains(F.col("t"))).select("query_id", "doc_id")
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), T.strip("text").alias("needle"))
+    relevant = grams.holding(table(spark, sf_dir, "documents").select("doc_id", "text"), ["text"], items).select("doc_id", "needle").join(items, "needle").select("query_id", "doc_id")
     found = _bm25(spark, sf_dir, 10).select("query_id", "doc_id", "rank")
     return relevant.join(found, ["query_id", "doc_id"], "left").groupBy("query_id").agg(F.count(F.lit(1)).alias("n_relevant"), F.count("rank").alias("n_found"))

@@ -29,6 +29,8 @@ AROUND = {
     9: ("", "\nantidisestablishment of the drip tray in the coffee machine: espresso"),
     10: ("", "\nOne 3\nTwo 4\nThree 5\nFour 6\nFive 7\nSix 8\nSeven 9\nEight 10\nNine 11\nTen 12"),
     12: ("# First part\n", "\n# Second part\nSome more words.\n#\tThird part"),
+    14: ("", "\n电钻电池充电指示灯闪烁。请把底座和电源线的两端接好"),
+    15: ("", "\n甲乙丙丁戊己庚辛壬癸"),
     13: ("# Overview\n", "\nMicrowave oven light, grease filter. A grill with a burner and the earbuds."),
 }
 WHOLE = {11: "Intro 3 Parts of it 5 Care 9"}

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicon
 from ..functions import text as T
-from ..operators import classify, dense, fuse, generate, rank, retrieve
+from ..operators import classify, dense, fuse, generate, grams, rank, retrieve
 from ..operators import index as I
 from . import planted
 from .base import TERMS, TITLED, any_in, lit, query, squeeze, strip, table
@@ -232,6 +232,19 @@ def like_candidates(spark, sf_dir):
     return _like(spark, sf_dir)
 
 
+@query(
+    f"""WITH {TITLED}, {_LIKE}, tf AS (SELECT query_id, lower(term) AS needle FROM pr WHERE n <= 10), la AS (SELECT query_id, doc_id, max(like_score) AS like_score FROM li GROUP BY 1, 2),
+    few AS (SELECT query_id FROM te LEFT JOIN la USING (query_id) GROUP BY 1 HAVING count(DISTINCT doc_id) < {max(rank.fetch_size(K), 40)}),
+    fb AS (SELECT query_id, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY nt, nx, doc_id) AS n FROM (
+        SELECT DISTINCT query_id, doc_id, nt, nx FROM tf JOIN few USING (query_id), lo WHERE contains(lt, needle) OR contains(lx, needle) OR contains(lp, needle))) WHERE n <= {rank.fetch_size(K)})
+    SELECT query_id, doc_id AS chunk_id, like_score, like_score IS NULL AS is_fallback FROM la FULL JOIN fb USING (query_id, doc_id)"""
+)
+def fetched_candidates(spark, sf_dir):
+    """L2, L4: candidates with the fallback of queries that find few."""
+    questions = generate.analyze(table(spark, sf_dir, "benchmark").withColumnRenamed("item_id", "query_id"))
+    return rank.fetched(questions, _chunks(spark, sf_dir), K)
+
+
 @query(
     f"""WITH {TITLED}, {_BM25}, {_LIKE}, la AS (SELECT query_id, doc_id, max(like_score) AS like_score FROM li GROUP BY 1, 2)
     SELECT query_id, doc_id AS chunk_id, like_score, bm25 AS fts_rank, CASE WHEN bm25 IS NULL THEN 0 ELSE 1 END AS fts_hit FROM la FULL JOIN bm USING (query_id, doc_id)"""
@@ -389,7 +402,7 @@ def english_alignment(spark, sf_dir):
 
 @query(f"WITH b AS (SELECT item_id, {strip('text')} AS t FROM benchmark) SELECT item_id, count(*) AS n_docs, min(doc_id) AS first_doc FROM b JOIN documents ON contains(text, t) GROUP BY item_id")
 def benchmark_recall(spark, sf_dir):
-    """Documents that hold a question's text as it is; the questions are few and stated."""
-    items = table(spark, sf_dir, "benchmark").select("item_id", T.strip("text").alias("t"))
-    rows = table(spark, sf_dir, "documents").select("doc_id", "text").join(I.sent(items), F.col("text").contains(F.col("t")))
+    """Documents that hold a question's text as it is, found by grams; a question's text may be that of several."""
+    items = table(spark, sf_dir, "benchmark").select("item_id", T.strip("text").alias("needle"))
+    rows = grams.holding(table(spark, sf_dir, "documents").select("doc_id", "text"), ["text"], items).select("doc_id", "needle").join(items, "needle")
     return rows.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_docs"), F.min("doc_id").alias("first_doc"))
