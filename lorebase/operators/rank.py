@@ -14,6 +14,7 @@ from ..functions.text import compact, distinct_terms
 from . import classify, generate, grams
 from .index import rank_bonus, top
 from .ingest import OMNIBUS
+from .shared import written
 
 # Terms of a query, and rows for each term and in all.
 LIKE_TERMS, TERM_LEAST, TERM_MOST, LEAST_FETCH = 14, 16, 80, 180
@@ -30,7 +31,8 @@ def like_candidates(queries: DataFrame, chunks: DataFrame, k: int = 10) -> DataF
     Rows that hold a term are found by its grams; the queries' terms meet only these.
     """
     low = chunks.select("chunk_id", "product_name", F.lower("title").alias("lt"), F.lower("text").alias("lx"), F.lower("product_name").alias("lp"), F.length("title").alias("nt"), F.length("text").alias("nx"))
-    terms = like_terms(queries, k)
+    # Written, as the query set is small and read more than once.
+    terms = written(like_terms(queries, k), "terms")
     found = grams.holding(low, ["lt", "lx", "lp"], terms).select("chunk_id", "product_name", "nt", "nx", "needle", points().alias("like_score"))
     pairs = found.join(terms, "needle").where((F.size("products") == 0) | F.array_contains("products", F.col("product_name")))
     w = Window.partitionBy("query_id", "term").orderBy(F.desc("like_score"), "nt", "nx", "chunk_id")
@@ -59,7 +61,8 @@ def fetched(queries: DataFrame, chunks: DataFrame, k: int = 10) -> DataFrame:
     """
     fetch = fetch_size(k)
     low = chunks.select("chunk_id", "product_name", F.lower("title").alias("lt"), F.lower("text").alias("lx"), F.lower("product_name").alias("lp"), F.length("title").alias("nt"), F.length("text").alias("nx"))
-    terms = like_terms(queries, k)
+    # Written, as the query set is small and read more than once.
+    terms = written(like_terms(queries, k), "terms")
     found = grams.holding(low, ["lt", "lx", "lp"], terms).select("chunk_id", "product_name", "nt", "nx", "needle", points().alias("like_score"))
     pairs = found.join(terms, "needle").where((F.size("products") == 0) | F.array_contains("products", F.col("product_name")))
     # Every row stands in its term's list, and those of the first terms in the query's second list too.

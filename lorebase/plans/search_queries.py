@@ -233,15 +233,16 @@ def like_candidates(spark, sf_dir):
 
 
 @query(
-    f"""WITH {TITLED}, {_LIKE}, tf AS (SELECT query_id, lower(term) AS needle FROM pr WHERE n <= 10), la AS (SELECT query_id, doc_id, max(like_score) AS like_score FROM li GROUP BY 1, 2),
+    f"""WITH {TITLED}, asked AS (SELECT item_id, text FROM benchmark UNION ALL SELECT -1, 'src1'), {_LIKE.replace('FROM benchmark', 'FROM asked')}, tf AS (SELECT query_id, lower(term) AS needle FROM pr WHERE n <= 10), la AS (SELECT query_id, doc_id, max(like_score) AS like_score FROM li GROUP BY 1, 2),
     few AS (SELECT query_id FROM te LEFT JOIN la USING (query_id) GROUP BY 1 HAVING count(DISTINCT doc_id) < {max(rank.fetch_size(K), 40)}),
     fb AS (SELECT query_id, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY nt, nx, doc_id) AS n FROM (
         SELECT DISTINCT query_id, doc_id, nt, nx FROM tf JOIN few USING (query_id), lo WHERE contains(lt, needle) OR contains(lx, needle) OR contains(lp, needle))) WHERE n <= {rank.fetch_size(K)})
     SELECT query_id, doc_id AS chunk_id, like_score, like_score IS NULL AS is_fallback FROM la FULL JOIN fb USING (query_id, doc_id)"""
 )
 def fetched_candidates(spark, sf_dir):
-    """L2, L4: candidates with the fallback of queries that find few."""
-    questions = generate.analyze(table(spark, sf_dir, "benchmark").withColumnRenamed("item_id", "query_id"))
+    """L2, L4: candidates with the fallback of queries that find few. One more question, -1, has a single term that many rows hold."""
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text").union(spark.range(-1, 0).select("id", F.lit("src1")))
+    questions = generate.analyze(asked)
     return rank.fetched(questions, _chunks(spark, sf_dir), K)
 
 
