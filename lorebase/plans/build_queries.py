@@ -6,11 +6,11 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicon
 from ..functions import text as T
-from ..operators import classify, generate, ingest
+from ..operators import classify, generate, ingest, tables
 from ..operators.scan import numbered
 from ..sources import manuals
 from . import planted
-from .base import TITLED, any_in, lit, query, squeeze, strip, table
+from .base import ORACLE_SQL, TITLED, any_in, lit, query, squeeze, strip, table
 from .planted import over_documents
 
 
@@ -61,6 +61,34 @@ def pack_chunks(spark, sf_dir):
     return packed.select("doc_id", "part", F.length("chunk").cast("long").alias("n_chars"), F.md5(F.col("chunk").cast("binary")).alias("chunk_md5"))
 
 
+# The same rows by table functions in SQL.
+def _by_sql(spark, text: str, **frames):
+    tables.register(spark)
+    return spark.sql(text, **frames)
+
+
+@query(ORACLE_SQL["section_split"])
+def section_split_sql(spark, sf_dir):
+    """V8, G1."""
+    return _by_sql(spark, "SELECT d.doc_id, s.section_index, CAST(length(s.section) AS LONG) AS n_chars, md5(CAST(s.section AS BINARY)) AS section_md5 FROM {docs} d, LATERAL section_rows(d.text) s", docs=planted.documents(spark, sf_dir))
+
+
+@query(ORACLE_SQL["sentence_units"])
+def sentence_units_sql(spark, sf_dir):
+    """V8, G2."""
+    text = """SELECT doc_id, count(pos) AS n_units, md5(CAST(array_join(transform(array_sort(collect_list(CASE WHEN pos IS NOT NULL THEN struct(pos, unit) END)), x -> x.unit), '|') AS BINARY)) AS units_md5
+        FROM {docs} d LEFT JOIN LATERAL unit_rows(d.text) u GROUP BY doc_id"""
+    return _by_sql(spark, text, docs=table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query(ORACLE_SQL["pack_chunks"])
+def pack_chunks_sql(spark, sf_dir):
+    """Units of a document are a partition of the function's table."""
+    text = """WITH units AS (SELECT d.doc_id, u.pos, u.unit FROM {docs} d, LATERAL unit_rows(d.text) u)
+        SELECT doc_id, part, CAST(length(chunk) AS LONG) AS n_chars, md5(CAST(chunk AS BINARY)) AS chunk_md5 FROM chunk_rows(TABLE(units) PARTITION BY doc_id ORDER BY pos)"""
+    return _by_sql(spark, text, docs=table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 @query("SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS chunk_index FROM documents")
 def chunk_number(spark, sf_dir):
     rows = numbered(table(spark, sf_dir, "documents").select("doc_id", "source"), ["source"], ["doc_id"], "n")

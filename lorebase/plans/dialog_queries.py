@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicon
 from ..functions import text as T
-from ..operators import answer, dialog, evaluate, generate, grams, images
+from ..operators import answer, dialog, evaluate, generate, grams, images, tables
 from . import planted
-from .base import TITLED, lit, query, squeeze, strip, table
+from .base import ORACLE_SQL, TITLED, lit, query, squeeze, strip, table
 from .planted import over_conversations
 from .build_queries import _UNITS
 from .search_queries import _BM25, _kept, _questions
@@ -49,6 +49,14 @@ def split_questions(spark, sf_dir):
     return rows.select("conv_id", "turn", "q.sub_id", "q.normalized", "q.depends")
 
 
+@query(ORACLE_SQL["split_questions"])
+def split_questions_sql(spark, sf_dir):
+    """The same by a table function in SQL."""
+    tables.register(spark)
+    turns = planted.conversations(spark, sf_dir).where("role = 'user'").select("conv_id", "turn", "text")
+    return spark.sql("SELECT t.conv_id, t.turn, q.sub_id, q.normalized, q.depends FROM {turns} t, LATERAL question_rows(t.text) q", turns=turns)
+
+
 # D1, D3 as window functions: planted turns, of which every third answer names a source and every second a picture.
 _FOLLOW = "(" + " OR ".join(f"contains(c, {lit(t)})" for t in lexicon.FOLLOW_UP) + ")"
 _RESET, _SWITCH = ("(" + " OR ".join(f"contains(c, {lit(t)})" for t in terms) + ")" for terms in (lexicon.RESET, lexicon.SWITCH))
