@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicon
 from ..functions import text as T
-from ..operators import answer, dialog, evaluate, generate, grams, images, tables
+from ..operators import answer, dialog, evaluate, generate, grams, images, orchestrate, tables
+from ..operators import index as I
 from . import planted
-from .base import ORACLE_SQL, TITLED, lit, query, squeeze, strip, table
+from .base import ORACLE_SQL, TERMS, TITLED, lit, query, squeeze, strip, table
 from .planted import over_conversations
 from .build_queries import _UNITS
 from .search_queries import _BM25, _kept, _questions
@@ -181,6 +182,54 @@ def policy_answer(spark, sf_dir):
     return dialog.policy_answers(rows, topics, scenarios)
 
 
+def _policy(spark):
+    fields = ", ".join(f"{f} string" for f in _FIELDS)
+    return spark.createDataFrame(_TOPICS, f"pos int, topic string, terms array<string>, {fields}"), spark.createDataFrame(_SCENARIOS, f"topic string, pos int, name string, terms array<string>, {fields}")
+
+
+_STATED = " ".join(f"WHEN branch = {lit(b)} THEN {lit(a)}" for b, (a, _) in orchestrate.STATED.items()) + " " + " ".join(f"WHEN branch = 'smalltalk' AND intent = {lit(i)} THEN {lit(a)}" for i, a in orchestrate.REPLIES.items())
+
+
+@query(
+    f"""WITH {planted._TURNS}, sf AS ({ORACLE_SQL["session_fold"]}), sm AS ({ORACLE_SQL["smalltalk"]}), ro AS ({ORACLE_SQL["route"]}), pa AS ({ORACLE_SQL["policy_answer"]}),
+    de AS (
+        SELECT sf.conv_id, sf.turn, sf.conv_id || ':' || sf.turn AS query_id, said.text AS question, sf.resolved, sm.intent, ro.confidence AS route_confidence,
+               CASE WHEN {strip('said.text')} = '' THEN 'blank' WHEN sf.reset THEN 'clear' WHEN sf.needs_clarification THEN 'clarify' WHEN sm.intent <> 'none' THEN 'smalltalk' WHEN ro.route = 'customer_service' THEN 'service' ELSE 'manual' END AS branch
+        FROM sf JOIN said USING (conv_id, turn) JOIN sm USING (conv_id, turn) JOIN ro USING (conv_id, turn)
+    ),
+    qt AS (SELECT DISTINCT query_id, term FROM (SELECT query_id, unnest({TERMS.format('resolved')}) AS term FROM de WHERE branch = 'manual') WHERE length(term) >= 3),
+    {_BM25[_BM25.index('dt AS'):]}, {TITLED}, qw AS (SELECT query_id, list_distinct(list_filter({TERMS.format('question')}, lambda w: length(w) >= 3)) AS terms FROM de),
+    ev AS (SELECT query_id, doc_id, title, source, bm25 AS score, round(bm25 + least(1.1 * q, 5.0), 3) AS evidence_score, q FROM (
+        SELECT bm.*, title, source, len(list_filter(terms, lambda w: contains(regexp_replace(lower(title || chr(10) || text), '\\s+', '', 'g'), w))) AS q FROM bm JOIN titled USING (doc_id) JOIN qw USING (query_id) WHERE rank <= 10)),
+    eo AS (SELECT *, row_number() OVER w AS n, first_value(source) OVER w AS p, first_value(evidence_score) OVER w AS s FROM ev WINDOW w AS (PARTITION BY query_id ORDER BY evidence_score DESC, q DESC, doc_id)),
+    ek AS (SELECT *, regexp_replace(lower(title), '\\s+', '', 'g') AS key FROM eo WHERE s >= 4 AND evidence_score >= 3 AND source = p),
+    ef AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY n) AS r FROM (SELECT *, row_number() OVER (PARTITION BY query_id, key ORDER BY n) AS k FROM ek) WHERE k = 1 OR key = '') WHERE r <= 4),
+    es AS (SELECT query_id, count(*) AS n_evidence, max(doc_id) FILTER (WHERE r = 1) AS first_chunk, max(score) FILTER (WHERE r = 1) AS a, coalesce(max(score) FILTER (WHERE r = 2), 0) AS b FROM ef GROUP BY 1),
+    re AS (SELECT query_id, count(*) AS n_retrieved FROM bm WHERE rank <= 10 GROUP BY 1)
+    SELECT conv_id, turn, CASE WHEN branch = 'manual' AND n_evidence IS NULL THEN 'no_evidence' ELSE branch END AS branch,
+           round(CASE WHEN branch = 'service' THEN least(route_confidence, pa.confidence) WHEN branch = 'manual' AND n_evidence IS NULL THEN 0.15
+                WHEN branch = 'manual' THEN round(least(0.35 + least(a / 50.0::DOUBLE, 0.45) + least(greatest(a - b, 0.0) / 40.0::DOUBLE, 0.15), 0.95), 2)
+                {" ".join(f"WHEN branch = {lit(b)} THEN {c}" for b, (_, c) in orchestrate.STATED.items())} ELSE {orchestrate.REPLY_CONFIDENCE} END::DOUBLE, 2) AS confidence,
+           coalesce(n_retrieved, 0) AS n_retrieved, coalesce(n_evidence, 0) AS n_evidence, CAST(first_chunk AS VARCHAR) AS first_chunk,
+           md5(CASE {_STATED} WHEN branch = 'service' THEN pa.answer WHEN branch = 'manual' AND n_evidence IS NULL THEN {lit(orchestrate.submission.EMPTY_ANSWER)} END) AS answer_md5
+    FROM de LEFT JOIN es USING (query_id) LEFT JOIN re USING (query_id) LEFT JOIN pa USING (query_id)"""
+)
+def answered_turns(spark, sf_dir):
+    """All planted turns through every branch. Extractive answers are beyond SQL, so they have no digest."""
+    docs = table(spark, sf_dir, "documents")
+
+    def search(questions, k):
+        asked = questions.select("query_id", F.explode(F.array_distinct(I.terms("text"))).alias("term")).where(F.length("term") >= 3)
+        found = I.top(I.bm25(asked, I.postings(docs, only=asked.select("term").distinct()), I.statistics(docs)), "query_id", [F.col("bm25").desc(), F.col("doc_id")], k)
+        titled = docs.select("doc_id", T.title("text").alias("title"), "text", F.col("source").alias("product_name"))
+        return found.join(titled, "doc_id").select("query_id", F.col("doc_id").alias("chunk_id"), F.col("bm25").alias("score"), "rank", "title", "text", "product_name")
+
+    own = lambda c: F.array_distinct(F.filter(I.terms(c), lambda w: F.length(w) >= 3))
+    rows = orchestrate.answer_turns(_turns(spark, sf_dir), search, *_policy(spark), terms=own)
+    digest = F.when(F.col("branch") != "manual", F.md5(F.col("answer").cast("binary")))
+    return rows.select("conv_id", "turn", "branch", "confidence", "n_retrieved", "n_evidence", "first_chunk", digest.alias("answer_md5"))
+
+
 @query(
     rf"""WITH s AS (SELECT conv_id, turn, list_filter(list_transform(string_split(regexp_replace(text || ' ' || text, '([。！？.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: {strip('x')}), lambda x: x <> '') AS p FROM conversations),
     e AS (SELECT conv_id, turn, unnest(p) AS x, generate_subscripts(p, 1) AS k FROM s),
