@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import classify, fuse, generate, retrieve
+from ..operators import classify, fuse, generate, retrieve, submission
 from ..operators import index as I
+from ..operators.shared import shared_dir
+from ..sources import replay
 from . import planted
-from .base import ORACLE_SQL, TERMS, query, squeeze, strip, table
+from .base import ORACLE_SQL, TERMS, lit, query, squeeze, strip, table
 from .planted import over_conversations, over_documents
 from .search_queries import _BM25
 
@@ -119,3 +121,48 @@ def file_summaries(spark, sf_dir):
     known, side = F.col("page_id") % 4 != 0, lambda c: F.when(F.col("page_id") % 4 != 0, c)
     line = T.file_summary(F.when(known, "PNG").otherwise("UNKNOWN"), F.octet_length("html"), side((F.col("page_id") % 900).cast("int")), side(F.length("url")))
     return rows.select("page_id", line.alias("summary"))
+
+
+# A log of answers: each assistant's turn, with a label, as a refusal, empty or plain, by its number; every third comes
+# twice, first with other words; every seventh line is broken.
+_TEMPLATE, _OVERRIDE = "我们会尽快为您核实处理。", "请以包装内的说明为准。"
+_SAID = "CASE n % 5 WHEN 0 THEN '结论：' || text WHEN 1 THEN '根据现有资料无法回答此问题。' WHEN 2 THEN '' ELSE text END"
+_ASKED = "CASE WHEN n % 2 = 0 THEN '我要退货' ELSE '怎么充电' END"
+_NUMBERED = "SELECT conv_id || '-' || turn AS id, 7 * conv_id + turn AS n, text FROM conversations WHERE role = 'assistant' AND text IS NOT NULL"
+
+
+def _log(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").where("role = 'assistant' AND text IS NOT NULL").select(F.concat("conv_id", F.lit("-"), "turn").alias("id"), (7 * F.col("conv_id") + F.col("turn")).alias("n"), "text")
+    ids = F.when(F.col("n") % 3 == 0, F.array(F.concat(F.lit("p"), (F.col("n") % 4).cast("string")))).otherwise(F.array().cast("array<string>"))
+    last = F.struct("id", F.col("n").cast("long").alias("at"), F.expr(_ASKED).alias("question"), F.expr(_SAID).alias("answer"), ids.alias("image_ids"))
+    old = F.struct("id", (F.col("n") - 1).cast("long").alias("at"), F.lit("alt").alias("question"), F.lit("an older answer, which no longer counts").alias("answer"), ids.alias("image_ids"))
+    lines = F.array_compact(F.array(F.to_json(last), F.when(F.col("n") % 3 == 0, F.to_json(old)), F.when(F.col("n") % 7 == 0, F.lit('{"id": "broken'))))
+    folder = shared_dir(spark, "answers")
+    rows.select(F.explode(lines).alias("value")).write.text(folder)
+    overrides = rows.where("n % 11 = 0").select("id", F.lit(_OVERRIDE).alias("override"))
+    return replay.read(spark, folder), overrides
+
+
+_READY = rf"""b AS ({_NUMBERED}), s AS (SELECT id, n, {_ASKED} AS question, {_SAID} AS answer, CASE WHEN n % 3 = 0 THEN 'p' || n % 4 END AS pic FROM b),
+    c AS (SELECT *, trim({strip(squeeze("replace(answer, '结论：', '')"))}, ' |;；，,。') AS t FROM s),
+    d AS (SELECT *, CASE WHEN n % 5 = 1 OR length(regexp_replace(t, '\s+', '', 'g')) < 15 THEN NULL WHEN regexp_matches(t, '[。！？.!?]$') THEN t ELSE t || '。' END AS own FROM c),
+    e AS (SELECT *, CASE WHEN n % 11 = 0 THEN {lit(_OVERRIDE)} WHEN own IS NULL AND n % 2 = 0 THEN {lit(_TEMPLATE)}
+        WHEN pic IS NULL THEN coalesce(own, {lit(submission.MANUAL_ANSWER)}) ELSE '"' || rtrim(coalesce(own, {lit(submission.MANUAL_ANSWER)}), '。！？.!?') || '<PIC>。";["' || pic || '"]' END AS ret FROM d)"""
+
+
+@query(f"WITH {_READY} SELECT id, CAST(CASE WHEN n % 3 = 0 THEN 2 ELSE 1 END AS BIGINT) AS n_records, md5(ret) AS ret_md5 FROM e")
+def replayed_answers(spark, sf_dir):
+    """A log of answers read again; the last record of an id, made ready."""
+    log, overrides = _log(spark, sf_dir)
+    rows = replay.renewed(log.answers, overrides, F.lit(_TEMPLATE))
+    return rows.select("id", "n_records", F.md5(F.col("ret").cast("binary")).alias("ret_md5"))
+
+
+@query(f"""WITH {_READY} SELECT count(*) AS total, count(*) FILTER (WHERE pic IS NOT NULL) AS with_images, count(*) FILTER (WHERE contains(ret, '<PIC>')) AS with_pic, count(*) FILTER (WHERE n % 11 = 0) AS cs_specific,
+    count(*) FILTER (WHERE n % 11 <> 0 AND n % 2 = 0 AND n % 5 = 1) AS cs_template, count(*) FILTER (WHERE n % 5 = 1 AND NOT contains(ret, '根据现有资料')) AS refusal_cleaned, count(*) FILTER (WHERE n % 7 = 0) AS broken FROM e""")
+def replay_figures(spark, sf_dir):
+    """Figures of the answers as they are made ready, and broken lines."""
+    log, overrides = _log(spark, sf_dir)
+    figures = submission.reprocess_statistics(replay.renewed(log.answers, overrides, F.lit(_TEMPLATE)))
+    broken = log.broken.agg(F.count(F.lit(1)).alias("broken")).withColumn("k", F.lit(1))
+    return figures.withColumn("k", F.lit(1)).join(broken, "k").drop("k")
