@@ -187,9 +187,9 @@ def picture_suffix(text, ids) -> Column:
 
 
 def file_summary(kind, size, width, height) -> Column:
-    """A line about an uploaded picture."""
+    """A line about an uploaded picture; halves go to the even digit."""
     sides = F.when(col(width).isNull() | col(height).isNull(), F.lit("未知尺寸")).otherwise(F.format_string("%dx%d", col(width), col(height)))
-    return F.concat(col(kind), F.lit("，"), sides, F.lit("，"), F.format_string("%.1fKB", col(size) / F.lit(1024.0)))
+    return F.concat(col(kind), F.lit("，"), sides, F.lit("，"), F.format_string("%.1fKB", F.bround(col(size) / F.lit(1024.0), 1)))
 
 
 def distinct_terms(c) -> Column:
