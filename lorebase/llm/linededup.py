@@ -1,17 +1,18 @@
 """Line dedup by pairwise alignment.
 
-Documents overlap where they share rare lines. For each shared line the first document that holds it (the smallest id) is
-its source; a later document is paired with the sources of its rare lines, the rarest line first, so that a line in n
-documents makes n - 1 pairs, not n * n. Each pair's shared lines are aligned by patience diff: lines that occur once on
-both sides, in the longest order that both keep, hold the alignment, and what lies between is aligned in turn. Aligned
-blocks of enough words are deleted from the later document. A line's source always keeps it.
-
-A passage's lines may each come from other documents than the passage. So the first document that holds a run of
-adjacent key lines (from each line forward, and backward, until there are enough words) is a source of it too, and a
-run's lines go from all later ones, whichever way an alignment cuts them. Each line of a block that any earlier document
-has is in one of these runs, so this finds what aligning all pairs of documents would, with rows in proportion to lines.
-Runs of any number of holders are found so; frequent lines and runs make no pairs, as a common line's source would else
-be sent to most documents.
+Documents overlap where they share a rare line. A line of 20 words is rare enough alone; shorter ones are taken with their
+neighbours, as the shortest runs of adjacent key lines with so many words. The first document that holds a run (the
+smallest id) is its source, and each later holder is paired with it, so that a run in n documents makes n - 1 pairs, not
+n * n. A run only proposes a pair and deletes nothing: the later document's lines are aligned with the source's by patience diff
+(lines that occur once on both sides, in the longest order that both keep, hold the alignment, and what lies between is
+aligned in turn), aligned lines slide to equal places next to their neighbours, and what is in no aligned block is walked
+through once more for moved and repeated blocks. Aligned blocks of enough words are deleted from the later document; a
+line's source always keeps it. What no alignment keeps whole stays: of `x a b`, held against `x a . a b`, the first two
+lines go, and the third is no block of enough words, though each pair of neighbours is common.
+
+Of the source only the passage around the run goes to its later holders: adjacent shared lines with at least as many
+holders as the run. What is sent is thereby no more than the occurrences of the passage's lines, also where a common line
+is in the midst of a long document; a passage of very many holders is sent out in parts of its holders.
 
 Lines of a few words (bullets) are no keys; they go with a block that has the same ones inside in both documents, and a
 block ends where they differ. Blank lines hold no text and aren't compared. Words end at spaces, tabs and the like; a
@@ -40,8 +41,8 @@ from lorebase.functions.text import bind
 
 from .common import bounded_batches, materialize
 
-#: Least words of a line that is a key, and of a block that is deleted; holders of a line or run that still counts as rare.
-KEY_WORDS, BLOCK_WORDS, RARE = 4, 20, 64
+#: Least words of a line that is a key, and of a block that is deleted; holders of a passage that one part of a join has.
+KEY_WORDS, BLOCK_WORDS, PART = 4, 20, 1024
 #: What ends a word, the most characters a word of a spaced line, and the characters of a word in other lines.
 SPACES, LONGEST, CHARACTERS = " \t\r\f\v\u00a0\u3000", 20, 5
 
@@ -105,23 +106,44 @@ def common_blocks(own: list[tuple[int, ...]], other: list[tuple[int, ...]], leas
     """First and last line of each aligned block with enough words. own: key, line, hash, words, gap; other: key, hash, gap.
 
     Keys number a document's key lines, so that a line which the other lacks ends a block; so does another gap (the hash
-    of the lines between a key and the key before; without gaps these lines aren't compared). What the alignment leaves
-    of the own lines is held against the other once more, from each line's first place there on: that finds moved and
-    repeated blocks in one walk.
+    of the lines between a key and the key before; without gaps these lines aren't compared). What is in no block of the
+    alignment is held against the other once more, from the first place there on where a line and the next one are, or the
+    line alone: that finds moved and repeated blocks in one walk.
     """
     theirs = [x[1] for x in other]
-    pairs = align([x[2] for x in own], theirs)
-    aligned = {i for i, _ in pairs}
-    first_place: dict[int, int] = {}
+    found = list(blocks(own, other, slid(own, other, align([x[2] for x in own], theirs)), least))
+    gone = {k for first, last in found for k in range(first, last + 1)}
+    first_place: dict[object, int] = {}
     for j, x in enumerate(theirs):
         first_place.setdefault(x, j)
+        if j + 1 < len(theirs) and other[j + 1][0] == other[j][0] + 1:
+            first_place.setdefault((x, theirs[j + 1], other[j + 1][2:]), j)
     moved, j = [], -1
     for i, x in enumerate(own):
-        if i in aligned or x[2] not in first_place:
+        if x[1] in gone or x[2] not in first_place:
             continue
-        j = j + 1 if moved and moved[-1][0] == i - 1 and j + 1 < len(theirs) and theirs[j + 1] == x[2] else first_place[x[2]]
+        if moved and moved[-1][0] == i - 1 and j + 1 < len(theirs) and theirs[j + 1] == x[2]:
+            j += 1
+        else:
+            after = (x[2], own[i + 1][2], own[i + 1][4:]) if i + 1 < len(own) and own[i + 1][0] == x[0] + 1 else x[2]
+            j = first_place.get(after, first_place[x[2]])
         moved.append((i, j))
-    return [block for way in (pairs, moved) for block in blocks(own, other, way, least)]
+    return found + list(blocks(own, other, moved, least))
+
+
+def slid(own: list[tuple[int, ...]], other: list[tuple[int, ...]], pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Pairs whose lines moved to equal lines next to where their neighbour is, backward first: an alignment leaves the choice."""
+    out = list(pairs)
+    for way in (-1, 1):
+        for n in range(len(out) - 2, -1, -1) if way < 0 else range(1, len(out)):
+            (i, j), (i2, j2) = out[n], out[n - way]
+            if i + 1 != i2 and i2 + 1 != i or j == j2 + way:
+                continue
+            j = j2 + way
+            free = n + way < 0 or n + way >= len(out) or way * (out[n + way][1] - j) > 0
+            if free and 0 <= j < len(other) and other[j][1] == own[i][2]:
+                out[n] = (i, j)
+    return out
 
 
 def blocks(own: list[tuple[int, ...]], other: list[tuple[int, ...]], pairs: list[tuple[int, int]], least: int) -> Iterator[tuple[int, int]]:
@@ -168,10 +190,15 @@ def runs(own: list[tuple[int, ...]], least: int) -> set[tuple[int, int]]:
     return out
 
 
+def _arrow(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    columns = zip(*rows) if rows else [[]] * len(schema.types)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types)], schema=schema)
+
+
 def run_rows(held: DataFrame, least: int) -> DataFrame:
-    """id, v, run, first, last: the hash and lines of each run. held: id, v, own."""
+    """id, v, run, a, b: the hash of each run, and its first and last place among the document's shared keys. held: id, v, own."""
     kind = StructType().add("id", held.schema["id"].dataType)
-    for name, t in (("v", "long"), ("run", "long"), ("first", "integer"), ("last", "integer")):
+    for name, t in (("v", "long"), ("run", "long"), ("a", "integer"), ("b", "integer")):
         kind.add(name, t)
     arrow = to_arrow_schema(kind)
 
@@ -184,12 +211,56 @@ def run_rows(held: DataFrame, least: int) -> DataFrame:
                     # The gap before the first line is no part of the run.
                     parts = [own[a][2], *(y for x in own[a + 1 : b + 1] for y in (x[4], x[2]))]
                     code = xxhash.xxh64_intdigest(struct.pack(f"<{len(parts)}q", *parts))
-                    out.append((i, v, code - (1 << 64) if code >> 63 else code, own[a][1], own[b][1]))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 5, arrow.types)], schema=arrow)
+                    out.append((i, v, code - (1 << 64) if code >> 63 else code, a, b))
+            yield _arrow(out, arrow)
 
     return held.select("id", "v", "own").mapInArrow(work, kind)
 
 
+def around(keys: list[tuple[int, int]], begun: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """First and last place of the passage around each run. keys: number of the key, holders; begun: holders, first, last place."""
+    out, held = [], {}
+    for n, a, b in begun:
+        first, last = held.get(n, (0, -1))
+        if not first <= a <= b <= last:
+            first, last = a, b
+            while first and keys[first - 1][0] == keys[first][0] - 1 and keys[first - 1][1] >= n:
+                first -= 1
+            while last + 1 < len(keys) and keys[last + 1][0] == keys[last][0] + 1 and keys[last + 1][1] >= n:
+                last += 1
+            held[n] = first, last
+        out.append((first, last))
+    return out
+
+
+def passages(held: DataFrame, run: DataFrame) -> DataFrame:
+    """id, v, part, n, runs, other: the passages of sources that hold runs of later documents, n: the most holders of a run."""
+    me = F.struct("id", "v")
+    # A document may hold a run twice: its first place counts.
+    begun = run.groupBy("run").agg(F.min(F.struct("id", "v", "a", "b")).alias("s"), F.max(me).alias("end"), F.count(F.lit(1)).alias("n"))
+    begun = begun.where((F.col("s.id") != F.col("end.id")) | (F.col("s.v") != F.col("end.v")))
+    begun = begun.groupBy(F.col("s.id").alias("id"), F.col("s.v").alias("v")).agg(F.sort_array(F.collect_list(F.struct("n", "s.a", "s.b", "run"))).alias("begun"))
+    kind = StructType().add("id", held.schema["id"].dataType)
+    for name, t in (("v", "long"), ("part", "integer"), ("n", "long"), ("runs", "array<long>"), ("other", "array<struct<k:int,hash:bigint,gap:bigint>>")):
+        kind.add(name, StructType.fromDDL(f"x {t}")["x"].dataType)
+    arrow = to_arrow_schema(kind)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for i, v, mine, first in zip(*(c.to_pylist() for c in batch.columns)):
+                found: dict[tuple[int, int], list] = {}
+                places = around([(x["k"], x["n"]) for x in mine], [(x["n"], x["a"], x["b"]) for x in first])
+                for place, x in zip(places, first):
+                    found.setdefault(place, []).append(x)
+                for part, ((a, b), own) in enumerate(found.items()):
+                    lines = [{"k": x["k"], "hash": x["hash"], "gap": x["gap"]} for x in mine[a : b + 1]]
+                    out.append((i, v, part, max(x["n"] for x in own), [x["run"] for x in own], lines))
+            yield _arrow(out, arrow)
+
+    return held.join(begun, ["id", "v"]).select("id", "v", "own", "begun").mapInArrow(work, kind)
+
+
 def _lines(text):
     return F.split(text, "\n")
 
@@ -212,7 +283,7 @@ def gapped(lines, keys):
     return F.transform(keys, gap)
 
 
-def deletions(docs: DataFrame, key_words: int = KEY_WORDS, block_words: int = BLOCK_WORDS, rare: int = RARE) -> DataFrame:
+def deletions(docs: DataFrame, key_words: int = KEY_WORDS, block_words: int = BLOCK_WORDS) -> DataFrame:
     """id, v, n_gone, kept: how many lines go from each later document, and first line and number of each run that stays.
 
     docs: id, v (hash of the text), text. The last run that stays has no end.
@@ -227,44 +298,44 @@ def deletions(docs: DataFrame, key_words: int = KEY_WORDS, block_words: int = BL
     at = keyed.select("id", "v", F.posexplode("keys").alias("k", "x")).select("id", "v", "k", "x.*").distinct()
     me = F.struct("id", "v")
     # One row for each line and holder; summed up before the shuffle, so that a line in most documents is no load.
-    source = at.groupBy("hash").agg(F.min(me).alias("source"), F.max(me).alias("last"), F.count(F.lit(1)).alias("n")).where("source <> last").select("hash", "source", "n")
-    shared = materialize(at.join(source, "hash"), spark, "shared")
-    held = shared.groupBy("id", "v").agg(F.sort_array(F.collect_list(F.struct("k", "pos", "hash", "words", "gap"))).alias("own"))
+    counted = at.groupBy("hash").agg(F.min(me).alias("first"), F.max(me).alias("last"), F.count(F.lit(1)).alias("n")).where("first <> last").select("hash", "n")
+    held = at.join(counted, "hash").groupBy("id", "v").agg(F.sort_array(F.collect_list(F.struct("k", "pos", "hash", "words", "gap", "n"))).alias("own"))
     held = materialize(held, spark, "held")
     run = materialize(run_rows(held, block_words), spark, "runs")
-    # A document may hold a run twice; n only orders its sources.
-    begun = run.groupBy("run").agg(F.min(me).alias("source"), F.max(me).alias("end"), F.count(F.lit(1)).alias("n")).where("source <> end").drop("end")
-    later_runs = materialize(run.join(begun, "run").where(me != F.col("source")), spark, "laterruns")
-    spans = later_runs.groupBy("id", "v").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
-    ends = shared.where(me != F.col("source")).select("id", "v", "source", "n").union(later_runs.select("id", "v", "source", "n")).where(F.col("n") <= rare)
-    pairs = ends.groupBy("id", "v", "source").agg(F.min("n").alias("n"))
-    others = pairs.join(held.select(F.struct("id", "v").alias("source"), F.transform("own", lambda x: F.struct(x["k"].alias("k"), x["hash"].alias("hash"), x["gap"].alias("gap"))).alias("other")), "source")
-    later = pairs.select("id", "v").distinct()
-    no_spans = F.lit(None).cast(spans.schema["spans"].dataType).alias("spans")
-    later = later.union(spans.select("id", "v")).distinct()
-    rows = held.join(later, ["id", "v"], "left_semi").join(spans, ["id", "v"], "left").select("id", "v", F.lit(0).alias("n"), F.lit(None).cast(others.schema["source"].dataType).alias("source"), "own", F.lit(None).cast(others.schema["other"].dataType).alias("other"), "spans")
-    rows = rows.unionByName(others.select("id", "v", F.col("n").cast("int").alias("n"), "source", F.lit(None).cast(held.schema["own"].dataType).alias("own"), "other", no_spans))
-    near = rows.repartition("id", "v").sortWithinPartitions("id", "v", "n", "source").select("id", "v", "own", "other", "spans")
+    passage = materialize(passages(held, run), spark, "passages")
+    source = F.struct("id", "v").alias("source")
+    begun = passage.select(source, "part", "n", F.explode("runs").alias("run"))
+    pairs = run.join(begun, "run").where(me != F.col("source")).select("id", "v", "source", "part", "n").distinct()
+    pairs = materialize(pairs, spark, "pairs")
+    parts = F.floor(F.col("n") / PART)
+    salted = pairs.withColumn("salt", F.pmod(F.xxhash64("id", "v"), parts + 1))
+    others = salted.join(passage.select(source, "part", "other", F.explode(F.sequence(F.lit(0).cast("long"), parts)).alias("salt")), ["source", "part", "salt"])
+    nothing = lambda frame, name: F.lit(None).cast(frame.schema[name].dataType).alias(name)
+    rows = held.join(pairs.select("id", "v").distinct(), ["id", "v"], "left_semi").select("id", "v", F.lit(0).alias("turn"), "own", nothing(others, "other"))
+    rows = rows.unionByName(others.select("id", "v", F.lit(1).alias("turn"), nothing(held, "own"), "other"))
+    near = rows.repartition("id", "v").sortWithinPartitions("id", "v", "turn").select("id", "v", "own", "other")
     kind = StructType().add("id", docs.schema["id"].dataType).add("v", "long").add("n_gone", "integer").add("kept", StructType.fromDDL("k array<struct<first:int,n:int>>")["k"].dataType)
     arrow = to_arrow_schema(kind)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name, own, gone = None, [], set()
+        name, own, where, gone = None, [], {}, set()
         for batch in batches:
             out = []
-            for i, v, mine, other, known in zip(*(c.to_pylist() for c in batch.columns)):
+            for i, v, mine, other in zip(*(c.to_pylist() for c in batch.columns)):
                 if mine is not None:
                     if gone:
                         out.append((*name, len(gone), stays(gone)))
                     name, own, gone = (i, v), [(x["k"], x["pos"], x["hash"], x["words"], x["gap"]) for x in mine], set()
-                    for x in known or []:
-                        gone.update(range(x["first"], x["last"] + 1))
+                    where = places([x[2] for x in own], 0, len(own))
                 else:
-                    for first, last in common_blocks(own, [(x["k"], x["hash"], x["gap"]) for x in other], block_words):
+                    other = [(x["k"], x["hash"], x["gap"]) for x in other]
+                    # Lines that the other lacks are aligned with nothing.
+                    both = [own[k] for k in sorted(k for x in {x[1] for x in other} for k in where.get(x, []))]
+                    for first, last in common_blocks(both, other, block_words):
                         gone.update(range(first, last + 1))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 4, arrow.types)], schema=arrow)
+            yield _arrow(out, arrow)
         if gone:
-            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((*name, len(gone), stays(gone)), arrow.types)], schema=arrow)
+            yield _arrow([(*name, len(gone), stays(gone))], arrow)
 
     return near.mapInArrow(work, kind)
 
@@ -279,11 +350,11 @@ def stays(gone: set[int]) -> list[dict[str, int]]:
     return [*out, {"first": at, "n": 1 << 30}]
 
 
-def dedup(docs: DataFrame, key_words: int = KEY_WORDS, block_words: int = BLOCK_WORDS, id_col: str = "doc_id", text_col: str = "text", rare: int = RARE) -> DataFrame:
+def dedup(docs: DataFrame, key_words: int = KEY_WORDS, block_words: int = BLOCK_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All columns of docs with the text's deleted lines gone, and __n_lines, __n_removed, which replace columns of these names."""
     spark = docs.sparkSession
     v = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    found = deletions(docs.select(F.col(id_col).alias("id"), v.alias("v"), F.col(text_col).alias("text")), key_words, block_words, rare)
+    found = deletions(docs.select(F.col(id_col).alias("id"), v.alias("v"), F.col(text_col).alias("text")), key_words, block_words)
     # The list grows with the documents: the same join at every size.
     found = materialize(found, spark, "deletions").hint("merge")
     # The row goes along as one value, so that its names meet no other ones.

@@ -75,13 +75,26 @@ def test_passage_of_lines_from_other_documents(spark):
 
 
 def test_equals_all_pairs(spark):
+    """Without lines that a document holds twice, alignment finds every common run."""
     rng = random.Random(24)
     pool = [line(rng, rng.choice([4, 5, 9, 13, 19, 20, 31])) for _ in range(16)] + ["", "ok", "Total: 5"]
-    rows = [(k, "\n".join(rng.choice(pool) if rng.random() < 0.8 else line(rng, 8) for _ in range(rng.randint(1, 14)))) for k in range(150)]
+    rows = [(k, "\n".join(x if rng.random() < 0.8 else line(rng, 8) for x in rng.sample(pool, rng.randint(1, 14)))) for k in range(150)]
     assert dedup(spark, rows) == all_pairs(rows)
     assert sum(t != u for (_, t), u in zip(rows, all_pairs(rows).values())) > 30
 
 
+def test_repeated_lines(spark):
+    """With lines that documents hold over and over, an alignment may cut a common run, and never deletes another line."""
+    rng = random.Random(24)
+    pool = [line(rng, rng.choice([4, 5, 9, 13, 19, 20, 31])) for _ in range(16)] + ["", "ok", "Total: 5"]
+    rows = [(k, "\n".join(rng.choice(pool) if rng.random() < 0.8 else line(rng, 8) for _ in range(rng.randint(1, 14)))) for k in range(150)]
+    got, most = dedup(spark, rows), all_pairs(rows)
+    for i, _ in rows:
+        left = iter(got[i].split("\n"))
+        assert not most[i] or all(x in left for x in most[i].split("\n"))
+    assert sum(got[i] != most[i] for i, _ in rows) <= 2
+
+
 def test_eight_holders_of_a_block(spark):
     """Each line of a block is first held by another document; two later documents hold all of it."""
     rng = random.Random(26)
@@ -114,10 +127,50 @@ def test_columns_of_any_name(spark):
     assert [(r.doc_id, r.text, r["__gone"], r["__n_removed"]) for r in got.orderBy("doc_id").collect()] == [(1, a, 1, 0), (2, "own", 1, 1)]
 
 
-def test_frequent_lines_without_pairs(spark):
-    """Runs of more holders than count as rare go as well."""
+def test_frequent_passages(spark, monkeypatch):
+    """Passages of very many holders are sent to them in parts."""
+    monkeypatch.setattr(linededup, "PART", 16)
     rng = random.Random(29)
     common = [line(rng, 12), line(rng, 12)]
-    rows = [(k, "\n".join([line(rng, 6), *common, line(rng, 6)])) for k in range(linededup.RARE + 20)]
+    rows = [(k, "\n".join([line(rng, 6), *common, line(rng, 6)])) for k in range(84)]
     got = dedup(spark, rows)
     assert got == all_pairs(rows) and sum(common[0] in t for t in got.values()) == 1
+
+
+def keyed(lines, words=12):
+    return [(k, k, x, words, 0) for k, x in enumerate(lines)]
+
+
+def test_alignment_decides():
+    """A common run that crosses an aligned block's end stays; equal lines next to their neighbours are kept together."""
+    of = lambda own, other: sorted(linededup.common_blocks(keyed(own), [x[::2][:2] + (0,) for x in keyed(other)], 20))
+    whole, torn = [1, 2, 3], [1, 2, 9, 2, 3]
+    assert of(whole, torn) == [(0, 1)]
+    hashes = lambda own: {tuple(own[a : b + 1]) for a, b in linededup.runs(keyed(own), 20)}
+    assert {(1, 2), (2, 3)} == hashes(torn) & hashes(whole)
+    assert of([1, 2], [1, 9, 1, 2, 8, 2]) == [(0, 1)]
+    assert of([1, 2], [1, 9, 1, 2]) == of([1, 2], [1, 2, 9, 2]) == [(0, 1)]
+    assert of([3, 4, 7, 1, 2], [1, 2, 8, 3, 4]) == [(0, 1), (3, 4)]
+    assert of([1, 2, 3], [2, 1, 3]) == []
+
+
+def test_passages_around_runs():
+    keys = [(0, 2), (1, 9), (2, 9), (3, 2), (5, 9), (6, 9)]
+    assert linededup.around(keys, [(9, 1, 2), (2, 0, 1), (2, 2, 3), (9, 4, 5)]) == [(1, 2), (0, 3), (0, 3), (4, 5)]
+    assert linededup.around(keys, []) == []
+
+
+def test_against_aligning_all_pairs(spark):
+    """Each document aligned with every earlier whole one deletes the same."""
+    rng = random.Random(30)
+    pool = [line(rng, rng.choice([5, 9, 13, 20, 31])) for _ in range(60)]
+    rows = []
+    for k in range(120):
+        start, n = rng.randrange(len(pool)), rng.randint(1, 9)
+        rows.append((k, "\n".join([line(rng, 8), *pool[start : start + n], line(rng, 8), *rng.sample(pool[:start] + pool[start + n :], 3)])))
+    docs = {i: [(k, k, x, x.count(" ") + 1, 0) for k, x in enumerate(t.split("\n"))] for i, t in rows}
+    want = {}
+    for i, own in docs.items():
+        gone = {k for j in range(i) for first, last in linededup.common_blocks(own, [(x[0], x[2], 0) for x in docs[j]], linededup.BLOCK_WORDS) for k in range(first, last + 1)}
+        want[i] = "\n".join(x[2] for x in own if x[0] not in gone)
+    assert dedup(spark, rows) == want
