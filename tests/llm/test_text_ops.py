@@ -113,6 +113,44 @@ def test_secret_spans():
     assert secrets.joined(secrets.base_spans(text)) == "assign:0:18,access:51:71,hex:72:96"
 
 
+def test_secret_forms():
+    """Keys wrapped, escaped, glued to other characters, encrypted; public keys; texts that only look like keys."""
+    key = rsa_key()
+    named = der(0x30, der(6, b"\x2a\x86\x48") + der(5, b""))
+    box = der(0x30, der(2, b"\0") + named + der(4, key))
+    scheme = der(0x30, der(6, bytes.fromhex("2a864886f70d01050d")) + der(0x30, b""))
+    locked = der(0x30, scheme + der(4, bytes(range(200))))
+    public = der(0x30, named + der(3, b"\0" + key[:150]))
+    small = der(0x30, der(2, b"\1") + der(4, bytes(range(32))))
+    spans = secrets.confirmed_spans
+    for raw, kind in ((key, "der"), (box, "der"), (locked, "der"), (public, "public"), (small, "der")):
+        coded = base64.b64encode(raw).decode()
+        wrapped = [coded[k : k + 64] for k in range(0, len(coded), 64)]
+        for between in ("\n", "\r\n  ", "\\n", "\\r\\n"):
+            body = between.join(wrapped)
+            assert spans(f"a: {body} b") == [(3, 3 + len(body), kind)]
+            name = "PUBLIC KEY" if kind == "public" else "PRIVATE KEY"
+            text = f"-----BEGIN {name}-----{between}{body}{between}-----END {name}-----"
+            assert spans(f'{{"k": "{text}"}}') == [(7, 7 + len(text), "public" if kind == "public" else "pem")]
+        body = coded.replace("/", "\\/")
+        assert spans(f"a {body}") == [(2, 2 + len(body), kind)]
+        bare = coded.rstrip("=")
+        # What follows in the same alphabet is no part of the key.
+        assert spans(f"https://h/{bare}zzzz") == [(10, 10 + len(bare), kind)]
+        assert spans(f"ABC{base64.urlsafe_b64encode(raw).decode()}") == [(3, 3 + len(coded), kind)]
+        digits = raw.hex()
+        for body in (digits, digits.upper(), ":".join(digits[k : k + 2] for k in range(0, len(digits), 2)), "\n".join(digits[k : k + 60] for k in range(0, len(digits), 60))):
+            assert spans(f"x {body} y") == [(2, 2 + len(body), kind)]
+            assert spans(f"f{body}") == [(1, 1 + len(body), kind)]
+        # Of a broken envelope around a whole key, the key is still found.
+        assert raw is not box or spans((raw[:4] + b"\x05" + raw[5:]).hex()) == [(2 * raw.index(key), 2 * raw.index(key) + 2 * len(key), "der")]
+        for broken in (raw[:-1], raw[:4] + b"\x05" + raw[5:] if raw is key else b""):
+            assert spans(base64.b64encode(broken).decode()) == spans(broken.hex()) == []
+    rng = random.Random(8)
+    noise = "".join(rng.choice("MIBCDEFGHabc0123+/=\\n \n") for _ in range(200_000))
+    assert spans(noise) == [] and spans("30" * 5000 + "MI" * 5000) == []
+
+
 def test_nested_envelopes():
     """Any depth of envelopes is parsed; a broken key inside is none."""
     for depth in (0, 1, 1500):
