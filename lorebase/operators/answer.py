@@ -16,7 +16,7 @@ from .submission import alike
 
 # Fixed values of answer texts.
 FALLBACK, NO_ANSWER, SAFETY = "根据现有资料无法", "根据现有资料无法准确回答此问题。", "涉及安全操作时请以原说明书为准。"
-TEMPLATES = 1000
+TEMPLATES, LEAST_KEY = 1000, 4
 PICS, DISCLAIMER = 3, r"请以实际产品型号和说明书原文为准[。]?\s*"
 
 
@@ -25,15 +25,24 @@ def dedupe(c) -> Column:
     t = sub(sub(c, r'<IMG\s+src=""[^>]*/>'), DISCLAIMER)
     parts = F.split(t, "<PIC>")
     t = F.when(F.size(parts) > PICS + 1, F.concat(F.array_join(F.slice(parts, 1, PICS + 1), "<PIC>"), F.array_join(F.slice(parts, PICS + 2, 1 << 20), ""))).otherwise(t)
-    said = F.filter(F.transform(F.split(t, r"(?U)(?<=[。！？.!?])\s+"), lambda s: strip(s)), lambda s: s != "")
     key = lambda s: sub(compact_case(s), r"</?PIC>")
-    keyed = F.filter(F.transform(said, lambda s: F.struct(key(s).alias("k"), s.alias("s"))), lambda x: F.length(x["k"]) >= 4)
+    keyed = F.filter(F.transform(sentences(t), lambda s: F.struct(key(s).alias("k"), s.alias("s"))), lambda x: F.length(x["k"]) >= LEAST_KEY)
     # The first sentence of each key: where a key stands first among all keys.
     whole = lambda rows: bind(F.transform(rows, lambda x: x["k"]), lambda keys: F.array_join(F.transform(F.filter(F.transform(rows, lambda x, k: F.struct(x["s"].alias("s"), (F.array_position(keys, x["k"]) == k + 1).alias("new"))), lambda x: x["new"]), lambda x: x["s"]), " "))
     joined = strip(sub(sub(bind(keyed, whole), r"（相关配图：[^）]*）"), r"(?U)\s{2,}", " "))
     return F.when(joined != "", joined).otherwise(strip(t))
 
 
+def sentences(c) -> Column:
+    """Sentences by their marks and white space, without empty ones."""
+    return F.filter(F.transform(F.split(col(c), r"(?U)(?<=[。！？.!?])\s+"), lambda s: strip(s)), lambda s: s != "")
+
+
+def says_something(c) -> Column:
+    """Whether a sentence is long enough to be kept, white space aside."""
+    return F.exists(sentences(c), lambda s: F.length(compact_case(s)) >= LEAST_KEY)
+
+
 def compact_case(c) -> Column:
     return sub(c, r"(?U)\s+")
 
