@@ -49,8 +49,7 @@ def load(spark: SparkSession, folder: str) -> Index:
 def sparse(questions: DataFrame, index: Index, k: int) -> DataFrame:
     """BM25 over the postings. questions: query_id, text and, for vectors, embedding."""
     terms = questions.select("query_id", F.explode(F.array_distinct(I.terms("text"))).alias("term"))
-    scored = I.bm25(terms, index.postings, index.statistics, key="chunk_id").withColumnRenamed("bm25", "score")
-    return I.top(scored, "query_id", [F.col("score").desc(), F.col("chunk_id")], k)
+    return I.best(I.gathered(terms, index.postings, index.statistics, "chunk_id"), k).withColumnRenamed("bm25", "score")
 
 
 def vector(questions: DataFrame, index: Index, k: int) -> DataFrame:

@@ -27,8 +27,7 @@ def _results(spark, sf_dir):
     """query_id, sub_id, rank, chunk_id, source, score: the first documents of each part by BM25."""
     docs = table(spark, sf_dir, "documents")
     asked = _parts(spark, sf_dir).select(F.struct("query_id", "sub_id").alias("owner"), F.explode(F.array_distinct(I.terms("text"))).alias("term")).where(F.length("term") >= 3)
-    hits = I.bm25(asked, I.postings(docs, only=asked.select("term").distinct()), I.statistics(docs), "owner")
-    first = I.top(hits, "owner", [F.col("bm25").desc(), F.col("doc_id")], PART_K)
+    first = I.best(I.hits(asked, docs), PART_K, "owner")
     return first.join(docs.select("doc_id", "source"), "doc_id").select("owner.query_id", "owner.sub_id", "rank", F.col("doc_id").alias("chunk_id"), "source", F.col("bm25").alias("score"))
 
 

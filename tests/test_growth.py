@@ -1,11 +1,15 @@
 """Registered queries on small tables with odd rows, against their SQL."""
 
 import os
+import random
 from collections import Counter
 
 import duckdb
+import pytest
+from pyspark.sql import functions as F
 
 from lorebase import registry
+from lorebase.operators import index, sums
 
 
 def rows(df):
@@ -29,3 +33,35 @@ def test_answer_dedupe_counts_short_words_together(spark, tmp_path):
     said = ["To ed he of.", "a b.", "a b c d.", "ab", "a. b. c.", "Some words. Some words.", "", None]
     turns = spark.createDataFrame([(k, 0, "user", t) for k, t in enumerate(said)], "conv_id long, turn long, role string, text string")
     assert len(agrees(spark, tmp_path, "answer_dedupe", conversations=turns)) == 4
+
+
+WORDS = ["red", "green", "blue", "lamp", "boat", "über", "灯", "x1"]
+
+
+def documents(spark, n, seed=1):
+    rng = random.Random(seed)
+    rows = [(k, " ".join(rng.choices(WORDS, k=rng.randint(0, 12))), "en", f"src{k % 3}") for k in range(n)]
+    # Copies, an id that comes twice, and no text.
+    rows += [(n + k, "red lamp red boat", "en", "src0") for k in range(9)] + [(3, "blue blue lamp", "en", "src1"), (n + 20, None, "en", "src1"), (n + 21, "", "en", "src2")]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumn("n_chars", F.length("text").cast("long"))
+
+
+@pytest.mark.parametrize("bounds", [{}, {"BLOCK": 2, "PAIRS": 3, "CELLS": 64, "MATRIX": 2}, {"FREQUENT": 2.0}])
+def test_best_rows_by_sums_in_blocks(spark, tmp_path, monkeypatch, bounds):
+    for name, value in bounds.items():
+        monkeypatch.setattr(sums, name, value)
+    monkeypatch.setattr(index, "TERMS_SENT", 3 if "BLOCK" in bounds else 1000)
+    items = spark.createDataFrame([(k, t) for k, t in enumerate(["red lamp", "boat über", "lamp, red!", "zzz", "blue green blue x1", "red", ""])], "item_id long, text string")
+    assert agrees(spark, tmp_path, "bm25_topk", documents=documents(spark, 80), benchmark=items)
+
+
+def test_titles_and_texts_are_found_in_one_pass(spark, tmp_path):
+    items = spark.createDataFrame([(0, "red lamp"), (1, "boat über green")], "item_id long, text string")
+    docs = documents(spark, 60).dropDuplicates(["doc_id"])
+    assert agrees(spark, tmp_path, "keyword_topk", documents=docs, benchmark=items)
+
+
+def test_parts_of_turns(spark, tmp_path):
+    docs = documents(spark, 60).dropDuplicates(["doc_id"])
+    turns = spark.createDataFrame([(k, t, "user" if t % 2 == 0 else "assistant", f"red lamp {WORDS[k % 8]}? boat {WORDS[t]}") for k in range(20) for t in range(4)], "conv_id long, turn long, role string, text string")
+    assert agrees(spark, tmp_path, "part_references", documents=docs, conversations=turns)
