@@ -14,8 +14,8 @@ from pyspark.sql.types import StructType
 
 from .index import top
 
-#: Query vectors that one pass over the corpus carries.
-BLOCK = 4096
+#: Query vectors that one pass over the corpus carries, and cosines that a task holds at once.
+BLOCK, CELLS = 4096, 1 << 20
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", block: int = BLOCK) -> DataFrame:
@@ -37,8 +37,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id",
         q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-30)
 
         def run(batches: Iterator[pa.RecordBatch], ids=ids, q=q) -> Iterator[pa.RecordBatch]:
-            best = None
-            for batch in batches:
+            best, step = None, max(1, CELLS // max(1, len(ids)))
+            for batch in (whole.slice(at, step) for whole in batches for at in range(0, whole.num_rows, step)):
                 own, values = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
                 if not len(own) or not len(ids):
                     continue

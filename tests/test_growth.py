@@ -9,7 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from lorebase import registry
-from lorebase.operators import index, sums
+from lorebase.registry import QUERIES
+from lorebase.operators import dense, index, scan, sums
 
 
 def rows(df):
@@ -65,3 +66,21 @@ def test_parts_of_turns(spark, tmp_path):
     docs = documents(spark, 60).dropDuplicates(["doc_id"])
     turns = spark.createDataFrame([(k, t, "user" if t % 2 == 0 else "assistant", f"red lamp {WORDS[k % 8]}? boat {WORDS[t]}") for k in range(20) for t in range(4)], "conv_id long, turn long, role string, text string")
     assert agrees(spark, tmp_path, "part_references", documents=docs, conversations=turns)
+
+
+def test_vector_search_holds_bounded_blocks(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = spark.createDataFrame([(k, [float(rng.randint(-3, 3)) for _ in range(4)]) for k in range(120)], "vec_id long, embedding array<float>").coalesce(1)
+    whole = dense.search(rows, rows.where("vec_id % 10 = 0"), 7).collect()
+    monkeypatch.setattr(dense, "CELLS", 50)
+    assert sorted(dense.search(rows, rows.where("vec_id % 10 = 0"), 7).collect()) == sorted(whole)
+
+
+def test_texts_of_chunks_stay_out_of_scans(spark, tmp_path, monkeypatch):
+    seen = []
+    write = scan.written
+    monkeypatch.setattr(scan, "written", lambda df, what: seen.append(df.columns) or write(df, what))
+    docs = documents(spark, 20).withColumn("text", F.concat("text", F.lit(" is a long enough sentence about the camera lens and 3 more things.")))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    out = QUERIES["knowledge_base"](spark, str(tmp_path))
+    assert out.count() > 0 and seen and not any("text" in columns for columns in seen)
