@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from . import classify, generate
+from .shared import written
 
 # Fixed value: the manual that holds many English products.
 OMNIBUS = "汇总英文"
@@ -59,7 +60,10 @@ def chunk_manuals(manuals: DataFrame, max_chars: int = generate.MAX_CHARS) -> Da
     english = F.col("product_name") == OMNIBUS
     domain = F.when(english, classify.domain(F.concat("title", F.lit("\n"), "text"))).otherwise("")
     out = out.withColumns({"chunk_id": T.chunk_id("manual_id", "chunk_index", "text"), "char_count": F.length("text"), "is_toc": classify.toc_like("text"), "has_ocr_noise": classify.ocr_noise("text"), "semantic_type": classify.semantic_type("title", "text"), "domain_label": domain})
-    out = classify.backfill_domain(out, "manual_id", "chunk_index").withColumn("domain_inferred", F.col("domain_inferred") & english)
+    # Written once; only ids and labels go through the scans.
+    out = written(out.withColumn("__row", F.monotonically_increasing_id()), "chunks")
+    near = classify.backfill_domain(out.select("__row", "manual_id", "chunk_index", "domain_label"), "manual_id", "chunk_index")
+    out = out.drop("domain_label").join(near.select("__row", "domain_label", "domain_inferred"), "__row").withColumn("domain_inferred", F.col("domain_inferred") & english)
     out = out.withColumn("domain_label", F.when(english, F.col("domain_label")).otherwise(""))
     unlabelled = english & (F.col("domain_label") == "") | F.col("domain_inferred") & F.lit(False)
     score = classify.clean_score(F.col("is_toc"), F.col("has_ocr_noise"), unlabelled | F.col("domain_inferred")) + F.when(F.col("domain_inferred"), 0.05).otherwise(0.0)
