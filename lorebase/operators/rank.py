@@ -30,15 +30,27 @@ def like_candidates(queries: DataFrame, chunks: DataFrame, k: int = 10) -> DataF
 
     Rows that hold a term are found by its grams; the queries' terms meet only these.
     """
-    low = chunks.select("chunk_id", "product_name", F.lower("title").alias("lt"), F.lower("text").alias("lx"), F.lower("product_name").alias("lp"), F.length("title").alias("nt"), F.length("text").alias("nx"))
     # Written, as the query set is small and read more than once.
     terms = written(like_terms(queries, k), "terms")
-    found = grams.holding(low, ["lt", "lx", "lp"], terms).select("chunk_id", "product_name", "nt", "nx", "needle", points().alias("like_score"))
+    found = firsts(held(chunks, terms), [], "like_score", TERM_MOST)
     pairs = found.join(terms, "needle").where((F.size("products") == 0) | F.array_contains("products", F.col("product_name")))
     w = Window.partitionBy("query_id", "term").orderBy(F.desc("like_score"), "nt", "nx", "chunk_id")
     return pairs.withColumn("n", F.row_number().over(w)).where("n <= most").select("query_id", "term", "chunk_id", "like_score", "n")
 
 
+def held(chunks: DataFrame, terms: DataFrame) -> DataFrame:
+    """chunk_id, product_name, nt, nx, needle, like_score: the rows that hold a needle."""
+    low = chunks.select("chunk_id", "product_name", F.lower("title").alias("lt"), F.lower("text").alias("lx"), F.lower("product_name").alias("lp"), F.length("title").alias("nt"), F.length("text").alias("nx"))
+    return grams.holding(low, ["lt", "lx", "lp"], terms).select("chunk_id", "product_name", "nt", "nx", "needle", points().alias("like_score"))
+
+
+def firsts(found: DataFrame, by: list[str], score: str, most: int) -> DataFrame:
+    """The first rows of each needle and product: no query needs more of them, whatever products it names. The plan leaves
+    out the others before it shuffles."""
+    w = Window.partitionBy("needle", "product_name", *by).orderBy(F.desc(score), "nt", "nx", "chunk_id")
+    return found.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= most).drop("__n")
+
+
 def like_terms(queries: DataFrame, k: int, most: int = LIKE_TERMS) -> DataFrame:
     """query_id, products, term, place, needle, most: the first terms of each query, and how many rows each may bring."""
     ordered = generate.prioritized(F.col("phrases"), F.col("keywords"), F.col("products"))
@@ -60,14 +72,14 @@ def fetched(queries: DataFrame, chunks: DataFrame, k: int = 10) -> DataFrame:
     chunks, as a chunk comes once for each of these terms at most. Queries are told apart by a count over what is left.
     """
     fetch = fetch_size(k)
-    low = chunks.select("chunk_id", "product_name", F.lower("title").alias("lt"), F.lower("text").alias("lx"), F.lower("product_name").alias("lp"), F.length("title").alias("nt"), F.length("text").alias("nx"))
     # Written, as the query set is small and read more than once.
     terms = written(like_terms(queries, k), "terms")
-    found = grams.holding(low, ["lt", "lx", "lp"], terms).select("chunk_id", "product_name", "nt", "nx", "needle", points().alias("like_score"))
-    pairs = found.join(terms, "needle").where((F.size("products") == 0) | F.array_contains("products", F.col("product_name")))
-    # Every row stands in its term's list, and those of the first terms in the query's second list too.
-    both = F.array(F.struct(F.col("place").alias("list"), F.col("like_score").alias("points"), F.col("most").alias("most")), F.when(F.col("place") < FALLBACK_TERMS, F.struct(F.lit(-1).alias("list"), F.lit(0).alias("points"), F.lit(fetch * FALLBACK_TERMS).cast("long").alias("most"))))
-    lists = pairs.select("query_id", "chunk_id", "nt", "nx", "like_score", F.explode(F.filter(both, lambda x: x.isNotNull())).alias("l")).select("*", "l.*")
+    # Every row stands in its needle's list, and in the list of the shortest rows too.
+    both = F.array(F.struct(F.lit(False).alias("short"), F.col("like_score").alias("points")), F.struct(F.lit(True).alias("short"), F.lit(0).alias("points")))
+    found = held(chunks, terms).select("*", F.explode(both).alias("l")).select("chunk_id", "product_name", "nt", "nx", "needle", "like_score", "l.*")
+    pairs = firsts(found, ["short"], "points", max(TERM_MOST, fetch)).join(terms, "needle").where((F.size("products") == 0) | F.array_contains("products", F.col("product_name")))
+    # Only the first terms bring rows to the query's second list.
+    lists = pairs.where(~F.col("short") | (F.col("place") < FALLBACK_TERMS)).withColumns({"list": F.when(F.col("short"), -1).otherwise(F.col("place")), "most": F.when(F.col("short"), fetch * FALLBACK_TERMS).otherwise(F.col("most"))})
     w = Window.partitionBy("query_id", "list").orderBy(F.desc("points"), "nt", "nx", "chunk_id")
     cut = lists.withColumn("n", F.row_number().over(w)).where((F.col("n") <= fetch * FALLBACK_TERMS) & (F.col("n") <= F.col("most")))
     named = cut.groupBy("query_id", "chunk_id").agg(F.max(F.when(F.col("list") >= 0, F.col("like_score"))).alias("like_score"), F.max(F.when(F.col("list") < 0, F.lit(1))).alias("any"), F.min("nt").alias("nt"), F.min("nx").alias("nx"))
