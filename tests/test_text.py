@@ -157,3 +157,10 @@ def test_pictures(one):
     webp = b"RIFF\0\0\0\0WEBPVP8X" + b"\0" * 8 + (99).to_bytes(3, "little") + (49).to_bytes(3, "little")
     assert [size(x) and (size(x)[0], tuple(size(x)[1])) for x in (png, gif, jpeg, webp)] == [("PNG", (640, 480)), ("GIF", (3, 4)), ("JPEG", (7, 9)), ("WEBP", (100, 50))]
     assert size(b"text")[0] == "UNKNOWN" and size(b"text")[1] is None
+
+
+def test_pictures_lists_are_made_only_when_asked_for(spark):
+    from lorebase.registry import QUERIES
+
+    plan = QUERIES["visual_terms"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "issue_terms" in plan and "other_terms" not in plan and "regexp_extract_all" not in plan
