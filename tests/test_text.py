@@ -164,3 +164,10 @@ def test_pictures_lists_are_made_only_when_asked_for(spark):
 
     plan = QUERIES["visual_terms"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "issue_terms" in plan and "other_terms" not in plan and "regexp_extract_all" not in plan
+
+
+def test_glued_words_are_no_loop_of_replacements(spark):
+    texts = ["Donot", "word.Word a1b camelCase lf x9.Y", "thepoweroutlet", None, "", "elf lf", "aB aBc 9z,Z"]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").select("k", T.ocr_repair("t").alias("r"))
+    assert "aggregate(" not in df._jdf.queryExecution().optimizedPlan().toString()
+    assert [r.r for r in df.orderBy("k").collect()] == ["Do not", "word. Word a 1 b camel Case If x 9. Y", "the power outlet", None, "", "elf If", "aB a Bc 9 z, Z"]
