@@ -79,6 +79,8 @@ TELLS_HOW = ("go to", "press", "select", "turn", "open", "close", "move", "enter
 ASIDES = r"(?i)^(note:|note |and it |it also |this device support)"
 POINTS_BACK = r"(?i)^(this |these |it |they |the device |the labels )"
 BONUS, MOST_BONUS, PENALTY = 2.0, 6.0, 3.0
+#: Chunks that an extractive answer reads.
+CHUNKS = 3
 
 
 def bonus(c) -> Column:
@@ -95,7 +97,7 @@ def extractive(evidence: DataFrame, query: str = "query", pictures: int = 0) ->
     left out, or takes its place if it says more.
     """
     how, clean = F.col("__q").rlike(ASKS_HOW), lambda t: tidy_sentence(t)
-    first = evidence.where("evidence_rank <= 3").select("query_id", "evidence_rank", "terms", F.col(query).alias("__q"), evidence_text("title").alias("title"), "text")
+    first = evidence.where(f"evidence_rank <= {CHUNKS}").select("query_id", "evidence_rank", "terms", F.col(query).alias("__q"), evidence_text("title").alias("title"), "text")
     extra = lambda t: F.when(how, bonus(t)).otherwise(0.0)
     titled = F.when((F.col("title") != "") & ~classify.toc_noise("title"), F.struct((-(overlap(F.col("title"), F.col("terms")) + 2.0 + extra("title"))).alias("a"), (F.length("title") > 160).cast("int").alias("b"), "evidence_rank", F.col("title").alias("text")))
 

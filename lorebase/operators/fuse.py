@@ -47,8 +47,11 @@ def fuse_variants(rows: DataFrame, key: str = "chunk_id") -> DataFrame:
 
 
 def evidence_score(rows: DataFrame) -> DataFrame:
-    """Adds evidence_score and the overlaps. rows: score, title, text, n_images, variant_hits, query_terms, image_terms, component_terms, status_terms, issue_terms."""
-    rows = rows.withColumns({"__t": compact("title"), "__x": compact("text")})
+    """Adds evidence_score and the overlaps. rows: score, title, text, n_images, variant_hits, query_terms, image_terms, component_terms, status_terms, issue_terms.
+
+    Rows that share a title and a text may have them as __t and __x in place of these, made compact once."""
+    if "__x" not in rows.columns:
+        rows = rows.withColumns({"__t": compact("title"), "__x": compact("text")})
     both = F.concat("__t", "__x")  # compact texts have no line end between them
     q, i, u = (overlap_in(both, F.col(c)) for c in ("query_terms", "image_terms", "issue_terms"))
     tc, xc, ts, xs = (overlap_in(F.col(w), F.col(c)) for c in ("component_terms", "status_terms") for w in ("__t", "__x"))
@@ -87,20 +90,30 @@ def filter_evidence(rows: DataFrame, order: list[Column], score: str = "evidence
     return top(first, "query_id", [F.col("__n")], kept, "evidence_rank").drop("__n", "__p", "__s", "__k")
 
 
-def context_parts(rows: DataFrame, most: int = CONTEXT_CHARS) -> DataFrame:
-    """Adds part, kept_chars and is_reference: whole parts while they fit, the first that doesn't is cut if enough is left.
-
-    Lengths are positive, so that a running sum tells where parts stop fitting. rows: query_id, evidence_rank, part.
-    """
+def context_sizes(rows: DataFrame, size: Column, most: int = CONTEXT_CHARS) -> DataFrame:
+    """Adds kept_chars and is_reference to the rows whose part fits, or is the first that doesn't and is cut: all that
+    is decided of a context without its texts. size: a part's length. rows: query_id, evidence_rank."""
     w = Window.partitionBy("query_id").orderBy("evidence_rank")
-    size = F.length("part")
-    out = rows.withColumn("__upto", F.sum(size).over(w)).withColumn("__before", F.col("__upto") - size)
+    out = rows.withColumn("__size", size).withColumn("__upto", F.sum("__size").over(w)).withColumn("__before", F.col("__upto") - F.col("__size"))
     whole = F.col("__upto") <= most
     out = out.withColumn("__first", (~whole) & (F.coalesce(F.lag(F.col("__upto")).over(w), F.lit(0)) <= most))
     left = F.lit(most) - F.col("__before")
     cut = F.col("__first") & (left > CUT_LEAST)
-    out = out.where(whole | cut).withColumn("kept_chars", F.when(whole, size).otherwise(left)).withColumn("is_reference", whole)
-    return out.withColumn("part", F.when(whole, F.col("part")).otherwise(F.concat(F.substring("part", F.lit(1), left.cast("int")), F.lit("……")))).drop("__upto", "__before", "__first")
+    out = out.where(whole | cut).withColumn("kept_chars", F.when(whole, F.col("__size")).otherwise(left)).withColumn("is_reference", whole)
+    return out.drop("__size", "__upto", "__before", "__first")
+
+
+def cut_part(part: Column) -> Column:
+    """A part as far as it is kept, beside kept_chars and is_reference."""
+    return F.when(F.col("is_reference"), part).otherwise(F.concat(F.substring(part, F.lit(1), F.col("kept_chars").cast("int")), F.lit("……")))
+
+
+def context_parts(rows: DataFrame, most: int = CONTEXT_CHARS) -> DataFrame:
+    """Adds part, kept_chars and is_reference: whole parts while they fit, the first that doesn't is cut if enough is left.
+
+    Lengths are positive, so that a running sum tells where parts stop fitting. rows: query_id, evidence_rank, part.
+    """
+    return context_sizes(rows, F.length("part"), most).withColumn("part", cut_part(F.col("part")))
 
 
 def part_text(n: Column, product: Column, title: Column, score: Column, text: Column, ids: Column | None = None) -> Column:

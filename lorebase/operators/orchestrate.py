@@ -23,10 +23,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import strip
+from ..functions.text import compact, strip
 from . import answer as A
 from . import dialog, evaluate, fuse, generate, submission
-from .shared import written
+from .index import sent_blocks
+from .shared import shared_dir, written
 
 # Stated answers and what they are worth.
 STATED = {
@@ -41,7 +42,7 @@ REPLIES = {
 }
 REPLY_CONFIDENCE, NO_EVIDENCE_CONFIDENCE, FETCHED = 0.99, 0.15, 10
 
-#: What answers a table of questions (query_id, text) with rows of query_id, chunk_id, score, rank, title, text, product_name.
+#: What answers a table of questions (query_id, text) with rows of query_id, chunk_id, score and, where no table of chunks is given, title, text, product_name.
 Search = Callable[[DataFrame, int], DataFrame]
 
 
@@ -88,29 +89,69 @@ def service_answers(rows: DataFrame, topics: DataFrame, scenarios: DataFrame) ->
     return own.join(said, "query_id").select(*_row("service", A.service_format("answer"), F.least("route_confidence", "confidence"), F.array(F.lit("customer_service_policy"))))
 
 
-def evidence(found: DataFrame, questions: DataFrame) -> DataFrame:
-    """What holds up of the rows that were found. questions: query_id, query_terms (those of the turn itself)."""
-    none = F.array().cast("array<string>")
-    rows = found.join(questions, "query_id").withColumns({"n_images": F.lit(0), "variant_hits": F.lit(1), "image_terms": none, "component_terms": none, "status_terms": none, "issue_terms": none})
-    return fuse.filter_evidence(fuse.evidence_score(rows), fuse.evidence_order())
-
-
-def manual_answers(rows: DataFrame, search: Search, terms: Callable[[Column | str], Column], client=None, k: int = FETCHED) -> DataFrame:
+def evidence(found: DataFrame, questions: DataFrame, chunks: DataFrame) -> DataFrame:
+    """What holds up of the rows that were found, without their texts: these are read where they are, and what was found
+    goes to them in blocks of bounded size, each a pass over the chunks. found: query_id, chunk_id, score. questions:
+    query_id, query_terms (those of the turn itself). Adds title, product_name and n_text, the length of the trimmed text."""
+    folder, none = shared_dir(found.sparkSession, "scored"), F.array().cast("array<string>")
+    kind = None
+    for pairs, asked in sent_blocks(found, questions, by="query_id"):
+        # A chunk's text is made compact once for all questions that found it.
+        rows = chunks.join(F.broadcast(pairs.groupBy("chunk_id").agg(F.collect_list(F.struct("query_id", "score")).alias("__of"))), "chunk_id")
+        rows = rows.select("chunk_id", "title", "product_name", F.length(F.trim("text")).alias("n_text"), compact("title").alias("__t"), compact("text").alias("__x"), "__of")
+        rows = rows.select("*", F.explode("__of").alias("__p")).select("*", "__p.*").drop("__of", "__p").join(asked, "query_id")
+        rows = rows.withColumns({"n_images": F.lit(0), "variant_hits": F.lit(1), "image_terms": none, "component_terms": none, "status_terms": none, "issue_terms": none})
+        scored = fuse.evidence_score(rows).drop("query_terms", "image_terms", "component_terms", "status_terms", "issue_terms")
+        scored.write.mode("append").parquet(folder)
+        kind = scored.schema
+    return fuse.filter_evidence(found.sparkSession.read.schema(kind).parquet(folder), fuse.evidence_order())
+
+
+def _said(kept: DataFrame, questions: DataFrame, asked: DataFrame, chunks: DataFrame, client) -> DataFrame:
+    """key, answer, confidence, error, faithfulness of what has evidence. kept: as evidence gives it. asked: query_id, key, query,
+    summary: what is answered out of a question's evidence. Texts go where answers are made, and no further."""
+    spark, folder, kind, empty = kept.sparkSession, shared_dir(kept.sparkSession, "said"), None, F.lit("")
+    part = lambda text: fuse.part_text(F.col("evidence_rank"), F.col("product_name"), F.col("title"), F.col("score"), text)
+    sized = written(fuse.context_sizes(kept.select("query_id", "evidence_rank", "chunk_id", "product_name", "title", "score", "n_text"), F.length(part(empty)) + F.col("n_text")), "sized")
+    sure = fuse.confidence(kept.select("query_id", "score", F.col("evidence_rank").alias("rank_")), "score", "rank_")
+    texts, first = chunks.select("chunk_id", "text"), asked.groupBy("query_id").agg(F.min("query").alias("query"))
+    best = kept.where(f"evidence_rank <= {A.CHUNKS}").select("query_id", "chunk_id", "evidence_rank", "title")
+    for own, fit, terms, queries in sent_blocks(best, sized, questions.withColumnRenamed("query_terms", "terms"), first, by="query_id"):
+        fallback = A.extractive(texts.join(own, "chunk_id").join(terms, "query_id").join(queries, "query_id")).withColumnRenamed("answer", "fallback")
+        parts = texts.join(fit, "chunk_id").select("query_id", F.struct("evidence_rank", fuse.cut_part(part(F.col("text"))).alias("part")).alias("p"))
+        context = parts.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("p")), lambda x: x["part"]), "\n\n").alias("context"))
+        prompts = asked.join(context, "query_id").join(fallback, "query_id").join(sure, "query_id").withColumn("prompt", A.prompt(empty, F.col("summary"), empty, F.array(F.col("context")), F.col("query")))
+        said = A.answer_with(prompts, client).withColumn("answer", submission.manual_answer("answer", F.array().cast("array<string>")))
+        said = said.select("key", "answer", "confidence", "error", evaluate.faithfulness("answer", "context").alias("faithfulness"))
+        said.write.mode("append").parquet(folder)
+        kind = said.schema
+    return spark.read.schema(kind).parquet(folder)
+
+
+def manual_answers(rows: DataFrame, search: Search, terms: Callable[[Column | str], Column], client=None, k: int = FETCHED, chunks: DataFrame | None = None) -> DataFrame:
+    """Turns that say the same are searched for and, without a client, answered once. chunks: chunk_id, title, text, product_name of
+    all chunks; without them the rows that search gives must have these columns."""
     own = rows.where("branch = 'manual'")
-    found = search(own.select("query_id", F.col("resolved").alias("text")).distinct(), k)
-    kept = written(evidence(found, own.select("query_id", terms("question").alias("query_terms")).distinct()), "evidence")
+    said = F.array_sort(F.collect_set(F.struct("question", "resolved")))
+    turns = written(own.groupBy("query_id").agg(said.alias("said"), F.min("summary").alias("summary")).select(F.col("query_id").alias("turn_id"), "said", "summary", F.sha2(F.to_json("said"), 256).alias("case")), "asked")
+    cases = written(turns.groupBy("case").agg(F.first("said").alias("said")).withColumn("query_id", F.monotonically_increasing_id()), "cases")
+    each = cases.select("query_id", F.explode("said").alias("s"))
+    found = search(each.select("query_id", F.col("s.resolved").alias("text")).distinct(), k)
+    if chunks is None:
+        found = written(found, "texts")
+        chunks = found.select("chunk_id", "title", "text", "product_name").dropDuplicates(["chunk_id"])
+    found = written(found.select("query_id", "chunk_id", "score"), "found")
+    questions = written(each.select("query_id", terms("s.question").alias("query_terms")).distinct(), "questions")
+    kept = written(evidence(found, questions, chunks), "evidence")
     counts = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_retrieved"))
-    parts = fuse.context_parts(kept.select("query_id", "evidence_rank", fuse.part_text(F.col("evidence_rank"), F.col("product_name"), F.col("title"), F.col("score"), F.col("text")).alias("part")))
-    context = parts.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("evidence_rank", "part"))), lambda x: x["part"]), "\n\n").alias("context"))
     best = kept.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_evidence"), F.min_by("chunk_id", "evidence_rank").alias("first"), F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("evidence_rank", "product_name"))), lambda x: x["product_name"])).alias("sources"))
-    asked = own.select("query_id", "question", F.col("resolved").alias("query"), "summary").dropDuplicates(["query_id"])
-    fallback = A.extractive(kept.select("query_id", "evidence_rank", "title", "text", "query_terms").withColumnRenamed("query_terms", "terms").join(asked.select("query_id", "query"), "query_id")).withColumnRenamed("answer", "fallback")
-    sure = fuse.confidence(kept.withColumnRenamed("evidence_rank", "rank_"), "score", "rank_")
-    empty = F.lit("")
-    prompts = asked.join(context, "query_id").join(fallback, "query_id").join(sure, "query_id").withColumn("prompt", A.prompt(empty, F.col("summary"), empty, F.array(F.col("context")), F.col("query")))
-    said = A.answer_with(prompts, client).withColumn("answer", submission.manual_answer("answer", F.array().cast("array<string>")))
-    said = said.withColumn("faithfulness", evaluate.faithfulness("answer", "context"))
-    done = own.select("conv_id", "turn", "query_id").join(counts, "query_id", "left").join(best, "query_id", "left").join(said.select("query_id", "answer", "confidence", "error", "faithfulness"), "query_id", "left")
+    of = turns.join(cases.select("case", "query_id"), "case").select("turn_id", "query_id", F.get("said", F.lit(0))["resolved"].alias("query"), "summary")
+    # Only a client is told what was said before, so that only its answers differ for turns that say the same.
+    key = F.col("query_id").cast("string") if client is None else F.col("turn_id")
+    asked = of.select("query_id", key.alias("key"), "query", F.lit("").alias("summary") if client is None else F.col("summary")).distinct()
+    answered = _said(kept, questions, asked, chunks, client)
+    done = own.select("conv_id", "turn", F.col("query_id").alias("turn_id")).join(of.select("turn_id", "query_id", key.alias("key")), "turn_id")
+    done = done.join(counts, "query_id", "left").join(best, "query_id", "left").join(answered, "key", "left")
     some = F.col("answer").isNotNull()
     return done.select(*_row(
         F.when(some, "manual").otherwise("no_evidence"), F.coalesce("answer", F.lit(submission.EMPTY_ANSWER)), F.coalesce("confidence", F.lit(NO_EVIDENCE_CONFIDENCE)), F.coalesce("sources", F.array().cast("array<string>")),
@@ -118,8 +159,8 @@ def manual_answers(rows: DataFrame, search: Search, terms: Callable[[Column | st
     ))
 
 
-def answer_turns(turns: DataFrame, search: Search, topics: DataFrame, scenarios: DataFrame, client=None, terms: Callable[[Column | str], Column] | None = None, k: int = FETCHED) -> DataFrame:
+def answer_turns(turns: DataFrame, search: Search, topics: DataFrame, scenarios: DataFrame, client=None, terms: Callable[[Column | str], Column] | None = None, k: int = FETCHED, chunks: DataFrame | None = None) -> DataFrame:
     """conv_id, turn, branch, answer, confidence, sources, n_retrieved, n_evidence, first_chunk, faithfulness, error."""
     rows = written(decisions(turns), "decisions")
     own_terms = terms or (lambda c: F.transform(generate.keywords(c), lambda w: F.lower(w)))
-    return stated_answers(rows).unionByName(service_answers(rows, topics, scenarios)).unionByName(manual_answers(rows, search, own_terms, client, k))
+    return stated_answers(rows).unionByName(service_answers(rows, topics, scenarios)).unionByName(manual_answers(rows, search, own_terms, client, k, chunks))
