@@ -36,7 +36,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from .common import bounded_batches, by_bytes, local_path, remove, spread_files
-from .segments import SPACE, Memo
+from .segments import SPACE, ColumnMemo, begins, raw, runs, wide_before
 
 #: Least, usual (as bits of the rolling hash) and most ids of a chunk; ids that the hash sees.
 LEAST, BITS, MOST, WINDOW = 256, 10, 8192, 32
@@ -45,6 +45,25 @@ PACK, DIGEST = 32 << 20, 16
 MAGIC = b"IDPACK01"
 #: Bytes of new segments that one call of the library encodes, about; documents of a shard at most, about.
 JOINED, SHARD = 1 << 18, 500_000
+#: White space of ASCII as Python has it; letters, and characters that are neither letters nor white space, of ASCII.
+BLANK, LETTER, MARK = SPACE.copy(), np.zeros(256, bool), np.zeros(256, bool)
+BLANK[28:32] = True
+LETTER[[*range(65, 91), *range(97, 123)]] = True
+MARK[33:127] = ~LETTER[33:127]
+
+
+def cuts(data: np.ndarray, texts: np.ndarray) -> np.ndarray:
+    """First bytes of segments: those of `begins`, and ASCII digits and marks right behind a letter.
+
+    Each match of the pattern of ByteLevel that holds a letter ends where the letters end, and none looks at what
+    follows one; so words are the same segments whatever mark they stand before. Letters are those of ASCII and Latin-1.
+    """
+    cut = np.zeros(len(data), bool)
+    cut[begins(data, texts)] = True
+    at = np.flatnonzero(MARK[data[1:]] & ~MARK[data[:-1]]) + 1
+    last, before = data[at - 1], data[np.maximum(at - 2, 0)]
+    cut[at[LETTER[last] | (before == 0xC3) & (last >= 0x80) & (last != 0x97) & (last != 0xB7)]] = True
+    return np.flatnonzero(cut)
 
 
 class Texts:
@@ -60,7 +79,7 @@ class Texts:
         #: Only for this way of cutting texts is a segment's encoding that of the whole text at its place.
         self.by_segment = rules["normalizer"] is None and first.get("type") == "ByteLevel" and first.get("use_regex") and not first.get("add_prefix_space")
         self.special = [t["content"] for t in rules["added_tokens"]]
-        self.memo = Memo(self._segments)
+        self.memo = ColumnMemo(self._segments, cuts)
         if self.by_segment:
             #: Bytes of each id: a token is written with one character for each byte.
             self.bytes_of = np.zeros(self.library.get_vocab_size(), np.int64)
@@ -71,42 +90,49 @@ class Texts:
     def _one(self, text: str) -> list[int]:
         return self.library.encode(text, add_special_tokens=False).ids
 
-    def _segments(self, segments: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    def _segments(self, segments: pa.BinaryArray) -> tuple[np.ndarray, np.ndarray]:
         """Encodes many segments as few texts and cuts the ids where the segments' bytes end.
 
         A segment that begins with white space keeps apart from the one before it; others are put behind a line end,
         whose id is taken out again. Segments that end with white space would take in what follows: these go alone.
         """
-        ids: list[np.ndarray] = [np.empty(0, np.uint32)] * len(segments)
-        texts, held, size = [], [], 0
-        for k, s in enumerate(segments):
-            t = s.decode()
-            if t[-1].isspace() or t[0].isspace() and s[0] >= 0x80:
-                ids[k] = np.array(self._one(t), np.uint32)
-                continue
-            texts.append(t if SPACE[s[0]] else "\n" + t)
-            held.append(k)
-            size += len(s)
-            if size > JOINED:
-                self._joined(texts, held, segments, ids)
-                texts, held, size = [], [], 0
-        if held:
-            self._joined(texts, held, segments, ids)
-        return np.concatenate(ids), np.fromiter(map(len, ids), np.int64, len(ids))
-
-    def _joined(self, texts: list[str], held: list[int], segments: list[bytes], out: list[np.ndarray]) -> None:
-        found = np.array(self.library.encode_batch_fast(["".join(texts)], add_special_tokens=False)[0].ids, np.uint32)
-        sizes = np.fromiter((len(segments[k]) for k in held), np.int64, len(held))
-        behind = np.fromiter((not SPACE[segments[k][0]] for k in held), bool, len(held))
-        upto = np.cumsum(self.bytes_of[found])
-        ends = np.searchsorted(upto, np.cumsum(sizes + behind)) + 1
-        if (upto[ends - 1] != np.cumsum(sizes + behind)).any():
+        data, at = raw(segments)
+        starts, ends, n = at[:-1], at[1:], len(data)
+        alone = BLANK[data[ends - 1]] | wide_before(data, ends)
+        high = np.flatnonzero(data[starts] >= 0x80)
+        alone[high] |= wide_before(data, np.minimum(starts[high] + 2, n)) | wide_before(data, np.minimum(starts[high] + 3, n))
+        behind = ~SPACE[data[starts[~alone]]]
+        joined = pc.binary_join_element_wise(pc.if_else(pa.array(behind), b"\n", b""), segments.filter(pa.array(~alone)), b"")
+        data, at = raw(joined)
+        parts, first = [(np.empty(0, np.uint32), np.empty(0, np.int64))], 0
+        while first < len(behind):
+            last = max(first + 1, int(np.searchsorted(at, at[first] + JOINED)))
+            last = min(last, len(behind))
+            parts.append(self._joined(data[at[first] : at[last]].tobytes().decode(), at[first + 1 : last + 1] - at[first], behind[first:last]))
+            first = last
+        for s in segments.filter(pa.array(alone)).to_pylist():
+            own = np.array(self._one(s.decode()), np.uint32)
+            parts.append((own, np.array([len(own)])))
+        ids, sizes = (np.concatenate(x) for x in zip(*parts))
+        if not alone.any():
+            return ids, sizes
+        place = np.empty(len(sizes), np.int64)
+        place[np.concatenate([np.flatnonzero(~alone), np.flatnonzero(alone)])] = np.arange(len(sizes))
+        return runs(ids, (np.cumsum(sizes) - sizes)[place], sizes[place])[0], sizes[place]
+
+    def _joined(self, text: str, upto: np.ndarray, behind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of segments joined to a text, and the number of each one's; upto: where they end in its bytes."""
+        found = np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+        reached = np.cumsum(self.bytes_of[found])
+        ends = np.searchsorted(reached, upto) + 1
+        if (reached[ends - 1] != upto).any():
             raise ValueError("a token crosses from one segment to the next")
-        starts = np.r_[0, ends[:-1]] + behind
-        if (found[starts[behind] - 1] != self.line_end).any():
+        starts = np.r_[0, ends[:-1]]
+        if (found[starts[behind]] != self.line_end).any():
             raise ValueError("a line end was merged with the segment behind it")
-        for k, s, e in zip(held, starts.tolist(), ends.tolist()):
-            out[k] = found[s:e]
+        kept = np.ones(len(found), bool)
+        kept[starts[behind]] = False
+        return found[kept], ends - starts - behind
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a column in a row, and where each text's begin (one more than texts)."""

@@ -26,6 +26,8 @@ WIDE2 = np.array([0xC285, 0xC2A0])
 WIDE3 = np.array([0xE19A80, *range(0xE28080, 0xE2808B), 0xE280A8, 0xE280A9, 0xE280AF, 0xE2819F, 0xE38080])
 #: Segments that a worker remembers, how often a batch must hold one, and the longest; what is forgotten costs time alone.
 MOST_ROWS, OFTEN, MOST_BYTES = 200_000, 2, 48
+#: How many times as many stay where they are held as a column.
+ROOM = 3
 
 
 def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -46,20 +48,37 @@ def begins(data: np.ndarray, texts: np.ndarray, spaces: np.ndarray = SPACE) -> n
     begin = np.zeros(len(data), bool)
     begin[1:] = space[1:] & ~space[:-1]
     high = np.flatnonzero(begin[1:] & (data[:-1] >= 0x80)) + 1
-    if len(high):
-        two = data[high - 1].astype(np.int64) | data[np.maximum(high - 2, 0)].astype(np.int64) << 8
-        three = two | data[np.maximum(high - 3, 0)].astype(np.int64) << 16
-        begin[high[np.isin(two, WIDE2) | np.isin(three, WIDE3)]] = False
+    begin[high[wide_before(data, high)]] = False
     begin[texts[:-1][np.diff(texts) > 0]] = True
     return np.flatnonzero(begin)
 
 
-def numbered(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
-    """The number of each segment among the distinct ones, and these."""
+def wide_before(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether white space beyond ASCII ends right before these places."""
+    if not len(at):
+        return np.zeros(0, bool)
+    two = data[at - 1].astype(np.int64) | data[np.maximum(at - 2, 0)].astype(np.int64) << 8
+    three = two | data[np.maximum(at - 3, 0)].astype(np.int64) << 16
+    return np.isin(two, WIDE2) | np.isin(three, WIDE3)
+
+
+def coded(data: np.ndarray, starts: np.ndarray) -> pa.DictionaryArray:
+    """The segments as a column of numbers of the distinct ones."""
     offsets = np.append(starts, len(data)).astype(np.int32)
     whole = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
-    coded = whole.dictionary_encode()
-    return coded.indices.to_numpy(), coded.dictionary.to_pylist()
+    return whole.dictionary_encode()
+
+
+def numbered(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+    """The number of each segment among the distinct ones, and these."""
+    found = coded(data, starts)
+    return found.indices.to_numpy(), found.dictionary.to_pylist()
+
+
+def runs(flat: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs of an array that begin there, in a row, and where each ends in it."""
+    upto = np.cumsum(size)
+    return flat[np.repeat(begin - (upto - size), size) + np.arange(upto[-1] if len(upto) else 0)], upto
 
 
 class Memo:
@@ -111,8 +130,61 @@ class Memo:
             self._add(ids, sizes)
             rows, used = rows + kept, used + int(sizes[:kept].sum())
         place = codes[index]
-        sizes = self.size[place]
-        upto = np.cumsum(sizes)
-        out = self.flat[np.repeat(self.begin[place] - (upto - sizes), sizes) + np.arange(upto[-1])]
+        out, upto = runs(self.flat, self.begin[place], self.size[place])
+        self.rows, self.used = rows, used
+        return out, np.r_[0, upto][np.searchsorted(starts, texts)]
+
+
+class ColumnMemo(Memo):
+    """As Memo, for an `encode` that takes a column of distinct segments; cut gives the places where those begin.
+
+    What it remembers is a column too and takes a fraction of the room of a dict, so that all but long segments stay.
+    When they are too many, those that no other batch had since they came, or since the last time, are forgotten.
+    """
+
+    def __init__(self, encode: Callable[[pa.BinaryArray], tuple[np.ndarray, np.ndarray]], cut: Callable[[np.ndarray, np.ndarray], np.ndarray] = begins):
+        super().__init__(encode)
+        self.cut = cut
+
+    def clear(self) -> None:
+        super().clear()
+        self.known, self.met = pa.array([], pa.binary()), np.empty(0, np.int32)
+
+    def _forget(self, most: int) -> None:
+        kept = np.argsort(-self.met, kind="stable")[: most // 2]
+        kept = kept[self.met[kept] > 1]
+        known, size = self.known.take(pa.array(kept)), self.size[kept]
+        ids, _ = runs(self.flat, self.begin[kept], size)
+        self.clear()
+        self._add(ids, size)
+        self.known, self.met = known, np.ones(len(kept), np.int32)
+
+    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        data, texts = raw(column)
+        if not len(data):
+            return np.empty(0, np.uint32), np.zeros(len(texts), np.int64)
+        if self.rows > ROOM * MOST_ROWS:
+            self._forget(ROOM * MOST_ROWS)
+        starts = self.cut(data, texts)
+        found = coded(data, starts)
+        distinct = found.dictionary
+        codes = pc.fill_null(pc.index_in(distinct, value_set=self.known), -1).to_numpy().astype(np.int64)
+        new = np.flatnonzero(codes < 0)
+        self.met[codes[codes >= 0]] += 1
+        rows, used = self.rows, self.used
+        if len(new):
+            # Long segments are hardly met again: they come last and are forgotten after the batch.
+            long = pc.binary_length(distinct).to_numpy()[new] > MOST_BYTES
+            new = np.concatenate([new[~long], new[long]])
+            segments = distinct.take(pa.array(new))
+            ids, sizes = self.encode_new(segments)
+            codes[new] = np.arange(rows, rows + len(new))
+            kept = len(new) - int(long.sum())
+            self.known = pa.concat_arrays([self.known, segments.slice(0, kept)])
+            self.met = np.concatenate([self.met, np.ones(kept, np.int32)])
+            self._add(ids, sizes)
+            rows, used = rows + kept, used + int(sizes[:kept].sum())
+        place = codes[found.indices.to_numpy()]
+        out, upto = runs(self.flat, self.begin[place], self.size[place])
         self.rows, self.used = rows, used
         return out, np.r_[0, upto][np.searchsorted(starts, texts)]
