@@ -7,7 +7,7 @@
 Each gives the rows of the column operator of the same kind in generate. A partition of chunk_rows is one document's
 units; it holds their lengths' state and the chunk that is being filled, not the document.
 
-Cases: null and blank texts give no rows; rows of units without a text are passed over; ties keep SQL's order.
+Cases: null and blank texts give no rows (but for unit_rows(text, true)); rows of units without a text are passed over; ties keep SQL's order.
 """
 
 from __future__ import annotations
@@ -23,12 +23,14 @@ from .generate import MAX_CHARS
 
 # Where sections, units and lines end, and what a question may begin with.
 HEADING, MARKER = re.compile(r"(?m)(?=^#\s+)"), re.compile(r"(\[\[PIC:[^\]]+\]\])")
-UNIT_END, QUESTION_END = re.compile(r"(?<=[。！？!?；;])\s+|\n+"), re.compile(r"\n|(?<=[？?])")
+#: White space as the column operators have it; for Python U+001C to U+001F are white space too.
+SPACE = "".join(c for c in map(chr, range(0x3001)) if c.isspace() and not "\x1c" <= c <= "\x1f")
+UNIT_END, QUESTION_END = re.compile(rf"(?<=[。！？!?；;])[{SPACE}]+|\n+"), re.compile(r"\n|(?<=[？?])")
 FILLER = re.compile(r"^(请问|我想咨询一下|我想了解一下|我想问一下|帮我看一下|想问一下|我想知道|麻烦问一下)[，,\s]*")
 
 
 def stripped(parts: list[str]) -> Iterator[str]:
-    return (p.strip() for p in parts if p.strip())
+    return (p.strip(SPACE) for p in parts if p.strip(SPACE))
 
 
 @udtf(returnType="section_index int, section string")
@@ -41,10 +43,11 @@ class SectionRows:
 
 @udtf(returnType="pos int, unit string")
 class UnitRows:
-    """G2."""
+    """G2. outer: a text without units has a row of nulls. A LEFT JOIN LATERAL doesn't keep it: Spark's plan for Python functions is that of an inner join."""
 
-    def eval(self, text: str):
-        yield from enumerate(stripped(UNIT_END.split(MARKER.sub("\n\\1\n", text or ""))))
+    def eval(self, text: str, outer: bool = False):
+        units = list(stripped(UNIT_END.split(MARKER.sub("\n\\1\n", text or ""))))
+        yield from enumerate(units) if units or not outer else [(None, None)]
 
 
 @udtf(returnType="sub_id string, text string, normalized string, intent string, depends boolean")

@@ -84,3 +84,9 @@ def test_texts_of_chunks_stay_out_of_scans(spark, tmp_path, monkeypatch):
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     out = QUERIES["knowledge_base"](spark, str(tmp_path))
     assert out.count() > 0 and seen and not any("text" in columns for columns in seen)
+
+
+def test_documents_without_units_stay(spark, tmp_path):
+    said = [(0, "One! Two? x"), (1, ""), (2, " \n "), (3, None), (4, "a! b"), (4, "c; d"), (None, "n"), (None, ""), (5, "end of it!"), (6, "a! \x1c b\x1f"), (7, "\x1d")]
+    docs = spark.createDataFrame([(k, t, "en", "src0", len(t or "")) for k, t in said], "doc_id long, text string, lang string, source string, n_chars long")
+    assert len(agrees(spark, tmp_path, "sentence_units_sql", documents=docs)) == len(said)
