@@ -127,3 +127,10 @@ def test_frequent_terms_are_not_added_up_for_all_rows():
     seconds = time.process_time()
     best.add(np.arange(n), place, row, weight)
     assert time.process_time() - seconds < 2.5 and (best.scores > 3).all()
+
+
+def test_answers_of_parts(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sums, "ROWS", 16)
+    docs = documents(spark, 60).dropDuplicates(["doc_id"])
+    turns = spark.createDataFrame([(k, t, "user" if t % 2 == 0 else "assistant", f"red lamp {WORDS[k % 8]}? boat {WORDS[t]}") for k in range(20) for t in range(4)] + [(30, 0, "user", None), (31, 0, "user", "zzz?"), (32, 0, "user", "")], "conv_id long, turn long, role string, text string")
+    assert len(agrees(spark, tmp_path, "part_answers", documents=docs, conversations=turns)) == 42
