@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..functions.text import bind, col, compact, overlap, sentence_key, squeeze, strip, sub, tidy_sentence
+from ..functions.text import bind, col, compact, overlap, overlap_keys, sentence_key, squeeze, strip, sub, term_keys, tidy_sentence
 from ..functions.text import evidence as evidence_text
 from . import classify, generate
 from .submission import alike
@@ -101,30 +101,39 @@ def extractive(evidence: DataFrame, query: str = "query", pictures: int = 0) ->
     extra = lambda t: F.when(how, bonus(t)).otherwise(0.0)
     titled = F.when((F.col("title") != "") & ~classify.toc_noise("title"), F.struct((-(overlap(F.col("title"), F.col("terms")) + 2.0 + extra("title"))).alias("a"), (F.length("title") > 160).cast("int").alias("b"), "evidence_rank", F.col("title").alias("text")))
 
-    def scored(s, k):
-        points = overlap(s, F.col("terms"))
-        return F.struct(
+    def scored(s, k, keys):
+        made = lambda points: F.struct(
             (-(points + extra(s) - F.when(how & s.rlike(ASIDES), PENALTY).otherwise(0.0))).alias("a"), (F.length(s) > 220).cast("int").alias("b"), F.col("evidence_rank").alias("r"), k.alias("k"), s.alias("text"), ((points > 0) | (F.length(s) >= 80)).alias("fit"),
         )
+        return bind(overlap_keys(s, keys), made)
 
-    # Sentences of a table of contents and those without a term are no candidates.
-    said = F.filter(F.transform(F.filter(generate.evidence_sentences("text"), lambda s: ~classify.toc_noise(s)), scored), lambda x: x["fit"])
+    # Sentences of a table of contents and those without a term are no candidates. The terms are made ready once for all sentences.
+    kept = lambda keys: F.filter(F.transform(F.filter(generate.evidence_sentences("text"), lambda s: ~classify.toc_noise(s)), lambda s, k: scored(s, k, keys)), lambda x: x["fit"])
+    said = bind(term_keys(F.col("terms")), kept)
     rows = first.select("query_id", "__q", titled.alias("t"), said.alias("s"), F.struct("evidence_rank", F.left(evidence_text(F.concat_ws(" ", "title", "text")), F.lit(320)).alias("text")).alias("f"))
     one = rows.groupBy("query_id").agg(F.first("__q").alias("__q"), F.min("t.a").isNotNull().alias("any"), F.min("t").alias("t"), F.array_sort(F.flatten(F.collect_list("s"))).alias("s"), F.min("f").alias("f"))
     usable = F.filter("s", lambda x: ~(how & x["text"].rlike(r":\s*$")))
     title = F.coalesce(F.col("t.text"), F.lit(""))
 
+    # What is said and the title go with their keys, so that each is made once.
+    state = lambda title, names, said, keys: F.struct(title.alias("title"), names.alias("names"), said.alias("said"), keys.alias("keys"))
+
     def step(held, x):
-        key, names = sentence_key(x["text"]), sentence_key(held["title"])
-        repeats = (held["title"] != "") & alike(key, names, 0)
-        longer = (F.length(x["text"]) > F.length(held["title"]) + 20) & key.contains(names)
-        better = repeats & (longer | (classify.truncated_heading(held["title"]) & (bonus(x["text"]) > 0)))
-        again = (key == "") | F.exists(held["said"], lambda h: alike(key, sentence_key(h), 0))
+        own = lambda key: F.when(key == "", held).otherwise(bind((held["title"] != "") & alike(key, held["names"], 0), lambda repeats: placed(held, x, key, repeats)))
         aside = how & (F.size(held["said"]) > 0) & x["text"].rlike(ASIDES)
-        new = F.struct(F.when(better, clean(x["text"])).otherwise(held["title"]).alias("title"), F.when(repeats | again, held["said"]).otherwise(F.concat(held["said"], F.array(clean(x["text"])))).alias("said"))
-        return F.when((F.size(held["said"]) >= 3) | aside | (key == ""), held).otherwise(new)
+        return F.when((F.size(held["said"]) >= 3) | aside, held).otherwise(bind(sentence_key(x["text"]), own))
 
-    chosen = F.aggregate(usable, F.struct(title.alias("title"), F.array().cast("array<string>").alias("said")), step)
+    def placed(held, x, key, repeats):
+        longer = (F.length(x["text"]) > F.length(held["title"]) + 20) & key.contains(held["names"])
+        better = repeats & (longer | (classify.truncated_heading(held["title"]) & (bonus(x["text"]) > 0)))
+        again = F.exists(held["keys"], lambda h: alike(key, h, 0))
+        text = clean(x["text"])
+        named = lambda t: state(t, sentence_key(t), held["said"], held["keys"])
+        more = lambda t: state(held["title"], held["names"], F.concat(held["said"], F.array(t)), F.concat(held["keys"], F.array(sentence_key(t))))
+        return F.when(better, bind(text, named)).when(repeats | again, held).otherwise(bind(text, more))
+
+    none = F.array().cast("array<string>")
+    chosen = F.aggregate(usable, bind(title, lambda t: state(t, sentence_key(t), none, none)), step)
     out = one.withColumn("c", chosen).withColumn("said", F.when(F.size("c.said") > 0, F.col("c.said")).otherwise(F.array(clean(F.col("f.text")))))
     out = out.select("query_id", "__q", "said", F.when(F.col("c.title") == "", "").otherwise(clean(F.col("c.title"))).alias("title"), F.get("said", F.lit(0)).alias("top"))
     same = alike(sentence_key("title"), sentence_key("top"), 0)

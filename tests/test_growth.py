@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lorebase import registry
 from lorebase.registry import QUERIES
-from lorebase.operators import dense, index, scan, sums
+from lorebase.operators import answer, dense, index, scan, sums
 
 
 def rows(df):
@@ -134,3 +134,13 @@ def test_answers_of_parts(spark, tmp_path, monkeypatch):
     docs = documents(spark, 60).dropDuplicates(["doc_id"])
     turns = spark.createDataFrame([(k, t, "user" if t % 2 == 0 else "assistant", f"red lamp {WORDS[k % 8]}? boat {WORDS[t]}") for k in range(20) for t in range(4)] + [(30, 0, "user", None), (31, 0, "user", "zzz?"), (32, 0, "user", "")], "conv_id long, turn long, role string, text string")
     assert len(agrees(spark, tmp_path, "part_answers", documents=docs, conversations=turns)) == 42
+
+
+def test_extractive_answers_make_keys_once(spark):
+    text = "Press the red lamp to open the boat. Press the red lamp to open the boat! The lamp is green and it stays so for a while. Red lamp of the boat goes out after a day."
+    rows = spark.createDataFrame([(1, 1, "Red lamp", text, ["lamp", "red"], "how to open it"), (2, 1, "", text, [], "the boat"), (2, 2, "Lamp", "", [], "the boat")], "query_id long, evidence_rank int, title string, text string, terms array<string>, query string")
+    made = answer.extractive(rows)
+    # 121 when each step of the fold made the keys of what was said before.
+    assert made._jdf.queryExecution().analyzed().toString().count("regexp_replace") < 100
+    said = {r.query_id: r.answer for r in made.collect()}
+    assert said[1].startswith("Press the red lamp to open the boat") and said[1].count("Press") == 1 and "stays so" in said[1] and "goes out" in said[2]
