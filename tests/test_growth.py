@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lorebase import registry
 from lorebase.registry import QUERIES
-from lorebase.operators import answer, dense, index, scan, sums
+from lorebase.operators import answer, dense, generate, index, scan, sums
 
 
 def rows(df):
@@ -144,3 +144,12 @@ def test_extractive_answers_make_keys_once(spark):
     assert made._jdf.queryExecution().analyzed().toString().count("regexp_replace") < 100
     said = {r.query_id: r.answer for r in made.collect()}
     assert said[1].startswith("Press the red lamp to open the boat") and said[1].count("Press") == 1 and "stays so" in said[1] and "goes out" in said[2]
+
+
+def test_visual_terms_has_all_four_lists(spark, tmp_path):
+    said = ["The of red.Lamp-x 3.5 a b1", "lamp lamp LAMP of", "VR头显 ok 指示灯为什么一直在闪烁呢", "按键默认密码的注意事项", "甲乙丙丁戊己庚辛壬癸", "", None, "红灯亮 图片 设备 电池组安装屏幕按钮接口开关旋钮", "abcdefghijklm xy ab", "EOS100更换 的 什么 充电器", "x", "请按住红灯与蓝灯三秒后再看说明书上的标识", "1.2.3 4 55", "ab 一"]
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t or "")) for k, t in enumerate(said * 3)] + [(3, "copy id", "en", "s", 7), (None, "no id at all", "en", "s", 9)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = agrees(spark, tmp_path, "visual_terms", documents=docs)
+    assert sum(r[4] not in (None, "") for r in got) > 20 and any("LAMP" in (r[4] or "") for r in got)
+    own = docs.select(generate.visual_terms("text")["other_terms"].alias("a"), generate.further_terms("text").alias("b")).collect()
+    assert all(r.a == r.b for r in own) and any(r.a for r in own)
